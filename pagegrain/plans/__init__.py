@@ -6,7 +6,7 @@ import importlib
 
 from pagegrain.plans import registry
 
-AREAS = ["urls"]
+AREAS = ["urls", "texts"]
 
 
 def load():

@@ -247,3 +247,59 @@ FROM lineitem GROUP BY l_suppkey, l_partkey
 UNION ALL
 SELECT concat('https://www.site.example.com/p/', cast(l_partkey AS string)), 'https://www.site.example.com/' FROM lineitem GROUP BY l_partkey
 """)
+
+# ---- text of every spelling the text columns tell apart ---------------------------------
+view("number_text", ["events"], """
+SELECT event_id,
+       CASE event_id % 10
+         WHEN 0 THEN concat('$', cast(1 + event_id % 9 AS string), ',', lpad(cast(event_id % 1000 AS string), 3, '0'), '.50')
+         WHEN 1 THEN concat(cast(1 + event_id % 9 AS string), '.', lpad(cast(event_id % 1000 AS string), 3, '0'), ',99 EUR')
+         WHEN 2 THEN concat(cast(event_id % 100 AS string), ',5')
+         WHEN 3 THEN concat('1.', lpad(cast(event_id % 1000 AS string), 3, '0'), '.567')
+         WHEN 4 THEN cast(event_id AS string)
+         WHEN 5 THEN concat('-', cast(event_id % 50 AS string), '.25')
+         WHEN 6 THEN 'n/a'
+         WHEN 7 THEN concat('about ', cast(event_id % 7 AS string), ' of them')
+         WHEN 8 THEN concat(cast(event_id % 900 AS string), ',', lpad(cast(event_id % 1000 AS string), 3, '0'))
+         ELSE concat('AUD ', cast(event_id % 300 AS string)) END AS txt
+FROM events
+""")
+view("date_text", ["events"], """
+SELECT event_id,
+       CASE event_id % 9
+         WHEN 0 THEN concat('2024-01-', lpad(cast(1 + user_id % 28 AS string), 2, '0'), 'T03:04:05Z')
+         WHEN 1 THEN concat('2024-02-', lpad(cast(1 + user_id % 28 AS string), 2, '0'))
+         WHEN 2 THEN concat('Tue, ', lpad(cast(1 + user_id % 28 AS string), 2, '0'), ' Mar 2024 03:04:05 GMT')
+         WHEN 3 THEN concat(cast(1 + user_id % 28 AS string), ' Apr 2024 13:14:00 +0200')
+         WHEN 4 THEN cast(1700000000 + event_id AS string)
+         WHEN 5 THEN 'yesterday'
+         WHEN 6 THEN concat('2024-05-', lpad(cast(1 + user_id % 28 AS string), 2, '0'), ' 10:20:30')
+         WHEN 7 THEN concat('2024-06-', lpad(cast(1 + user_id % 28 AS string), 2, '0'), 'T10:20:30+05:30')
+         ELSE '2024-13-45' END AS txt,
+       CASE event_id % 8
+         WHEN 0 THEN concat(cast(1 + user_id % 9 AS string), ' days ago - a story') WHEN 1 THEN '2026-10-09 - Something happened'
+         WHEN 2 THEN concat(cast(1 + user_id % 28 AS string), ' Sept 2026 - Something') WHEN 3 THEN concat('October ', cast(1 + user_id % 28 AS string), 'th, 2026 Something')
+         WHEN 4 THEN concat('Dec ', cast(1 + user_id % 28 AS string), ' - Something') WHEN 5 THEN 'a week ago - text'
+         WHEN 6 THEN 'Yesterday it rained' ELSE 'No date in this text' END AS snippet
+FROM events
+""")
+view("responses", ["events"], """
+SELECT event_id,
+       CASE event_id % 14
+         WHEN 0 THEN 'server=cloudflare;cf-ray=1' WHEN 1 THEN 'X-DataDome=1' WHEN 2 THEN 'set-cookie=_pxhd' WHEN 3 THEN 'x-kpsdk-ct=1'
+         WHEN 4 THEN 'set-cookie=visid_incap_1' WHEN 5 THEN 'server=AkamaiGHost' WHEN 6 THEN 'x-amzn-waf-action=challenge'
+         WHEN 7 THEN 'x-vercel-mitigated=deny' WHEN 8 THEN 'x-sucuri-id=7' WHEN 9 THEN 'server=nginx;set-cookie=datadome=1'
+         ELSE 'server=nginx' END AS headers,
+       CASE event_id % 11 WHEN 0 THEN 'Incapsula incident' WHEN 1 THEN 'see /cdn-cgi/challenge-platform' WHEN 2 THEN 'px-captcha'
+         WHEN 3 THEN 'Vercel Security Checkpoint' ELSE 'hello' END AS body,
+       CASE event_id % 9 WHEN 0 THEN 200 WHEN 1 THEN 401 WHEN 2 THEN 403 WHEN 3 THEN 429 WHEN 4 THEN 404 WHEN 5 THEN 410
+         WHEN 6 THEN 418 WHEN 7 THEN 503 ELSE 301 END AS status
+FROM events
+""")
+view("answers", ["conversations"], """
+SELECT conv_id, turn,
+       concat(text, CASE (conv_id + turn) % 5 WHEN 0 THEN '' WHEN 1 THEN concat(chr(10), 'ANSWER: The Answer is ', cast(conv_id AS string))
+              WHEN 2 THEN concat(chr(10), 'ANSWER: no', chr(10), 'ANSWER: 1,2', lpad(cast(conv_id % 100 AS string), 2, '0'), '.5 apples')
+              WHEN 3 THEN concat(chr(10), 'ANSWER: code-', role) ELSE ' so ANSWER:   42  ' END) AS txt
+FROM conversations
+""")
