@@ -6,7 +6,7 @@ import importlib
 
 from pagegrain.plans import registry
 
-AREAS = ["urls", "texts"]
+AREAS = ["urls", "texts", "pages"]
 
 
 def load():

@@ -303,3 +303,52 @@ SELECT conv_id, turn,
               WHEN 3 THEN concat(chr(10), 'ANSWER: code-', role) ELSE ' so ANSWER:   42  ' END) AS txt
 FROM conversations
 """)
+
+# ---- markdown and product pages -----------------------------------------------------------
+view("md_docs", ["documents"], """
+SELECT doc_id,
+       CASE doc_id % 5
+         WHEN 0 THEN concat('Title: Page', chr(10), repeat(concat('[Category page](https://a.test/c)', chr(10)), 90), 'Sign in', chr(10), text)
+         WHEN 1 THEN concat('# Head', chr(10), text, chr(10), 'Copyright 2026 Example Holdings Limited. All rights reserved by their owners.')
+         WHEN 2 THEN concat('# Head', chr(10), '```', chr(10), text, chr(10), '```', chr(10), 'Home', chr(10), 'About us')
+         WHEN 3 THEN concat(repeat(concat('[Story](https://a.test/s) more', chr(10)), 60), 'We use cookies to make this page work for everyone who reads it.', chr(10), text)
+         ELSE text END AS content
+FROM documents
+""")
+view("product_pages", ["part"], """
+SELECT p_partkey AS page_id,
+       concat('https://www.shop', cast(p_size AS string), '.example.com/product/', cast(p_partkey AS string), '-a-very-plain-', replace(p_name, ' ', '-'), '?ref=x') AS url,
+       concat('<!DOCTYPE html><html><head><title>', p_name, ' | Shop ', cast(p_size AS string), '</title>',
+              '<meta property="og:title" content="', p_name, ' by ', p_brand, '"><meta name="Description" content="A ', p_name, '.">',
+              '<meta property="og:image" content="/img/', cast(p_partkey AS string), '.jpg">',
+              CASE p_partkey % 3 WHEN 0 THEN concat('<meta property="article:published_time" content="2024-01-', lpad(cast(1 + p_size % 28 AS string), 2, '0'), 'T08:00:00Z">') ELSE '' END,
+              '<link rel="alternate" type="application/rss+xml" href="/feed.xml"><link rel="alternate" type="application/atom+xml" href="https://a.test/atom">',
+              '<script type="application/ld+json">{"@context":"https://schema.org","@graph":[{"@type":"BreadcrumbList","name":"Home"},{"@type":"Product","name":"', p_name,
+              '","sku":"L-', cast(p_partkey AS string), '","brand":{"@type":"Brand","name":"', p_brand, '"},"image":["/img/', cast(p_partkey AS string), '.jpg"],"datePublished":"2024-02-',
+              lpad(cast(1 + p_size % 28 AS string), 2, '0'), '","offers":{"@type":"Offer","price":"1,2', lpad(cast(p_size AS string), 2, '0'), '.50","priceCurrency":"AUD"},"aggregateRating":{"ratingValue":"4.',
+              cast(p_size % 10 AS string), '","reviewCount":"', cast(p_partkey AS string), '"}}]}</script>',
+              '<script type="application/json" id="__NEXT_DATA__">{"props":{"menu":[{"title":"Home","href":"/"},{"title":"All","href":"/all"},{"title":"New","href":"/new"}],"items":[',
+              '{"name":"', p_name, ' one","url":"/product/1', cast(p_partkey AS string), '-x","price":', cast(p_size AS string), ',"id":1,"sku":"a","stock":3},',
+              '{"name":"', p_name, ' two","url":"/product/2', cast(p_partkey AS string), '-x","price":', cast(p_size + 1 AS string), ',"id":2,"sku":"b","stock":0},',
+              '{"name":"', p_name, ' three","url":"/product/3', cast(p_partkey AS string), '-x","price":', cast(p_size + 2 AS string), ',"id":3,"sku":"c","stock":9}]}}</script>',
+              '</head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/c/', p_type, '">', p_type, '</a></li></ul></nav><main><article><h1>', p_name, '</h1>',
+              '<p>The <b>', p_name, '</b> is made by ', p_brand, ' in size ', cast(p_size AS string), ', and it costs $', cast(p_size * 2 + 10 AS string), ' with <a href="/ship">shipping</a> included for every order over a long enough text to count as a paragraph of the page.</p>',
+              '<div itemscope itemtype="https://schema.org/Product"><span itemprop="name">', p_name, '</span><span itemprop="price" content="1.2', lpad(cast(p_size AS string), 2, '0'), ',50">x</span></div>',
+              '<a href="/product/1', cast(p_partkey AS string), '-a-very-plain-ring"><img src="/img/1', cast(p_partkey AS string), '.jpg" alt="', p_name, ' one"></a>',
+              '<a href="/product/2', cast(p_partkey AS string), '-a-very-plain-ring" title="Two">', p_name, ' two</a>',
+              '<time datetime="2024-03-', lpad(cast(1 + p_size % 28 AS string), 2, '0'), '">March</time>',
+              '<ul><li>First point that is long enough</li><li>Second <em>point</em></li></ul><table><tr><th>Size</th><th>Brand</th></tr><tr><td>', cast(p_size AS string), '</td><td>', p_brand, '</td></tr></table>',
+              '</article></main><footer>&copy; Shop &middot; All rights reserved</footer></body></html>') AS html
+FROM part
+""")
+view("listing_md", ["part"], """
+SELECT p_partkey AS page_id,
+       concat('https://www.shop', cast(p_size AS string), '.example.com/c/', cast(p_partkey AS string)) AS url,
+       concat('# Shop ', cast(p_size AS string), chr(10), chr(10), '- [Category one](/c/1)', chr(10), '- [Category two](/c/2)', chr(10), '- [Category three](/c/3)', chr(10), chr(10),
+         '[![', p_name, ' A](/img/', cast(p_partkey AS string), 'a.jpg)](/product/', cast(p_partkey AS string), 'a)', chr(10), '[', p_name, ' A](/product/', cast(p_partkey AS string), 'a)', chr(10), '$', cast(p_size + 20 AS string), chr(10), 'Save $5!', chr(10), '$', cast(p_size + 15 AS string), chr(10), 'in stock', chr(10),
+         '[', p_name, ' B](/product/', cast(p_partkey AS string), 'b)', chr(10), '$', cast(p_size + 30 AS string), chr(10), 'SOLD OUT', chr(10),
+         '[', p_name, ' C](/product/', cast(p_partkey AS string), 'c)', chr(10), '$', cast(p_size + 40 AS string), chr(10), 'Only 3 left', chr(10), 'Posted 3 days ago', chr(10),
+         '[', p_name, ' D](/product/', cast(p_partkey AS string), 'd)', chr(10), '$', cast(p_size + 50 AS string), chr(10), '4.5 out of 5 (12 reviews)', chr(10),
+         '[Privacy](/privacy) [Contact](/contact)', chr(10)) AS content
+FROM part
+""")
