@@ -115,15 +115,16 @@ def elements(pages: DataFrame) -> DataFrame:
     """One row per element of ``pages(page_id, html)``, in document order."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ("tag", "ancestors", "attrs", "text", "loose_text", "linked", "holds", "chrome", "loose")
         for batch in batches:
+            columns: dict[str, list] = {name: [] for name in ("page_id", "pos", *names)}
             for page_id, html in zip(batch["page_id"], batch["html"]):
-                nodes = parse(html)
-                yield pd.DataFrame({
-                    "page_id": [page_id] * len(nodes), "pos": range(len(nodes)), "tag": [node["tag"] for node in nodes],
-                    "ancestors": [node["ancestors"] for node in nodes], "attrs": [node["attrs"] for node in nodes],
-                    "text": [node["text"] for node in nodes], "loose_text": [node["loose_text"] for node in nodes],
-                    "linked": [node["linked"] for node in nodes], "holds": [node["holds"] for node in nodes],
-                    "chrome": [node["chrome"] for node in nodes], "loose_chrome": [node["loose"] for node in nodes]})
+                for pos, node in enumerate(parse(html)):
+                    columns["page_id"].append(page_id)
+                    columns["pos"].append(pos)
+                    for name in names:
+                        columns[name].append(node[name])
+            yield pd.DataFrame(columns).rename(columns={"loose": "loose_chrome"})
 
     return pages.select("page_id", "html").mapInPandas(read, SCHEMA)
 
@@ -362,11 +363,9 @@ def to_markdown(pages: DataFrame) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from urllib.parse import urljoin
         for batch in batches:
-            for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"]):
-                runs = markdown_runs(parse(html), lambda link, url=url: urljoin(url or "", link))
-                yield pd.DataFrame({"page_id": [page_id] * len(runs), "pos": range(len(runs)), "kind": [run[0] for run in runs],
-                                    "prefix": [run[1] for run in runs], "cell": [run[2] for run in runs],
-                                    "text": [run[3] for run in runs]})
+            rows = [(page_id, pos, *run) for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"])
+                    for pos, run in enumerate(markdown_runs(parse(html), lambda link, url=url: urljoin(url or "", link)))]
+            yield pd.DataFrame(rows, columns=["page_id", "pos", "kind", "prefix", "cell", "text"])
 
     runs = pages.select("page_id", "url", "html").mapInPandas(read, RUNS)
     grouped = runs.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "prefix", "cell", "text"))).alias("runs"))

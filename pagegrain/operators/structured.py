@@ -106,41 +106,41 @@ def meta_tags(pages: DataFrame) -> DataFrame:
 
 
 # ---- values -----------------------------------------------------------------------------
-def _first_item(value: Column) -> Column:
-    usable = F.filter(items_of(value), lambda item: ~F.coalesce(F.is_variant_null(item), F.lit(True)) & (
-        F.coalesce(as_text(item), F.lit("x")) != ""))
-    return F.coalesce(F.try_element_at(usable, F.lit(1)), F.when(items_of(value).isNull(), value))
+def _json_path(json: Column, path: str) -> Column:
+    """A dotted path inside a JSON object; a list on the way gives its first element."""
+    parts = path.split(".")
+    spots = ["$" + "".join(f"['{part}']" for part in parts)]
+    for at in range(1, len(parts)):
+        spots.append("$" + "".join(f"['{part}']" + ("[0]" if index + 1 == at else "") for index, part in enumerate(parts)))
+    return F.coalesce(*[F.get_json_object(json, spot) for spot in spots])
 
 
-def dotted(value: Column, path: str) -> Column:
-    """A dotted path inside an object; a list on the way gives its first usable element."""
-    for part in path.split("."):
-        value = get(_first_item(value), part)
-    return value
+def _unlisted(raw: Column) -> Column:
+    return F.when(raw.startswith("["), F.get_json_object(raw, "$[0]")).otherwise(raw)
+
+
+def _named(raw: Column) -> Column:
+    """An object as its name, value, url, id or text."""
+    inner = [blank_to_null(F.get_json_object(raw, f"$['{key}']")) for key in ("name", "@value", "value", "url", "@id", "text")]
+    return F.when(raw.startswith("{"), F.coalesce(*inner)).otherwise(raw)
+
+
+_EMPTY_WORDS = ["", "null", "none", "n/a", "undefined", "-"]
 
 
-def scalar_text(value: Column, depth: int = 2) -> Column:
-    """A value as text: of a list its first usable element, of an object its name, value, url, id or text."""
-    single = _first_item(value)
-    own = as_text(single)
-    if depth == 0:
-        return own
-    inner = [scalar_text(get(single, key), depth - 1) for key in ("name", "@value", "value", "url", "@id", "text")]
-    return F.coalesce(own, *[blank_to_null(item) for item in inner])
+def _present_number(raw: Column) -> Column:
+    return texts.locale_number(F.when(~F.lower(F.trim(raw)).isin(_EMPTY_WORDS), raw))
 
 
-def coerce_text(text: Column, kind: str) -> Column:
-    """Text as a property's type, kept as text for one column of mixed properties; null when it cannot be."""
-    present = F.when(~F.lower(F.trim(text)).isin("", "null", "none", "n/a", "undefined", "-"), text)
-    if kind in ("number", "integer"):
-        number = texts.locale_number(present)
-        whole = number == F.floor(number)
-        plain = F.when(whole, number.cast("bigint").cast("string")).otherwise(number.cast("string"))
-        return F.when(whole, plain) if kind == "integer" else plain
-    if kind == "boolean":
-        low = F.lower(F.trim(present))
-        return first_of([(low.isin("true", "yes", "1", "instock"), "true"), (low.isin("false", "no", "0"), "false")])
-    return blank_to_null(F.trim(F.regexp_replace(present, r"\s+", " ")))
+def _typed_text(raw: Column, number: Column, kind: Column) -> Column:
+    """A value as a property's type, kept as text so that mixed properties share one column; null when it cannot be."""
+    low = F.lower(F.trim(raw))
+    whole = number == F.floor(number)
+    shown = F.when(whole, number.cast("bigint").cast("string")).otherwise(number.cast("string"))
+    return first_of([
+        (kind == "integer", F.when(whole, shown)), (kind == "number", shown),
+        (kind == "boolean", first_of([(low.isin("true", "yes", "1", "instock"), "true"), (low.isin("false", "no", "0"), "false")]))],
+        F.when(~low.isin(_EMPTY_WORDS), F.trim(F.regexp_replace(raw, r"\s+", " "))))
 
 
 def candidate_paths(name: str, spec: dict) -> list[str]:
@@ -157,9 +157,26 @@ def schema_candidates(schema: dict, nodes: DataFrame) -> DataFrame:
         for priority, path in enumerate(candidate_paths(name, spec)):
             if not path.startswith("meta:"):
                 offered.append(F.struct(F.lit(name).alias("property"), F.lit(priority).alias("priority"), F.lit(path).alias("path"),
-                                        coerce_text(scalar_text(dotted(F.col("node"), path)), spec.get("type", "string")).alias("value")))
-    rows = nodes.select("page_id", "ord", "types", F.explode(F.array(*offered)).alias("o"))
-    return rows.select("page_id", "ord", "types", "o.*").where(F.col("value").isNotNull())
+                                        F.lit(spec.get("type", "string")).alias("kind"), _json_path(F.col("json"), path).alias("raw")))
+    def with_raw(fn):
+        return lambda item: F.struct(*[item[name].alias(name) for name in ("property", "priority", "path", "kind")],
+                                     fn(item["raw"]).alias("raw"))
+
+    def with_number(item):
+        return F.struct(*[item[name].alias(name) for name in ("property", "priority", "path", "kind", "raw")],
+                        F.when(item["kind"].isin("number", "integer"), _present_number(item["raw"])).alias("number"))
+
+    def with_value(item):
+        return F.struct(*[item[name].alias(name) for name in ("property", "priority", "path")],
+                        _typed_text(item["raw"], item["number"], item["kind"]).alias("value"))
+
+    df = nodes.select("page_id", "ord", "types", F.to_json("node").alias("json")).withColumn("offers", F.array(*offered))
+    df = df.withColumn("offers", F.filter("offers", lambda item: item["raw"].isNotNull()))
+    # One projection per step, and nulls dropped inside the array, so that no step is repeated inside a filter.
+    for step in (with_raw(_unlisted), with_raw(_named), with_raw(_unlisted), with_raw(_named), with_number, with_value):
+        df = df.withColumn("offers", F.transform("offers", step))
+    rows = df.select("page_id", "ord", "types", F.explode(F.filter("offers", lambda item: item["value"].isNotNull())).alias("o"))
+    return rows.select("page_id", "ord", "types", "o.*")
 
 
 def preferred_objects(schema: dict, nodes: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -194,22 +211,24 @@ def fill_schema(schema: dict, nodes: DataFrame, meta: DataFrame, embedded: DataF
     # One row per synonym: bounded by the schema, so it is broadcast.
     metas = F.broadcast(spark.createDataFrame(wanted or [("", 0, "", "")], "property string, priority int, key string, kind string"))
 
-    def typed(value):
-        return first_of([(F.col("kind") == kind, coerce_text(value, kind)) for kind in ("number", "integer", "boolean")],
-                        coerce_text(value, "string"))
+    def typed(rows):
+        return rows.withColumn("number", F.when(F.col("kind").isin("number", "integer"), _present_number(F.col("raw")))).withColumn(
+            "value", _typed_text(F.col("raw"), F.col("number"), F.col("kind")))
 
     first_meta = meta.groupBy("page_id", "key").agg(F.min_by("value", "pos").alias("raw"))
-    from_meta = first_meta.join(metas, "key").select(
-        "page_id", "property", "priority", F.lit(0).alias("tier"), F.lit("").alias("ord"), typed(F.col("raw")).alias("value"),
+    from_meta = typed(first_meta.join(metas, "key")).select(
+        "page_id", "property", "priority", F.lit(0).alias("tier"), F.lit("").alias("ord"), "value",
         F.concat(F.lit("meta:"), "key").alias("source"))
     names = F.broadcast(spark.createDataFrame(sorted(set(keys)), "property string, name string, kind string"))
     scalars = deep_scalars(embedded)
-    from_embedded = scalars.join(names, "name").select(
-        "page_id", "property", F.lit(1_000).alias("priority"), F.lit(0).alias("tier"), "ord", typed(F.col("raw")).alias("value"),
+    from_embedded = typed(scalars.join(names, "name")).select(
+        "page_id", "property", F.lit(1_000).alias("priority"), F.lit(0).alias("tier"), "ord", "value",
         F.lit("embedded_json").alias("source"))
-    rows = from_nodes.unionByName(from_meta).unionByName(from_embedded).where(F.col("value").isNotNull())
-    best = rows.groupBy("page_id", "property").agg(F.min_by(F.struct("value", "source"), F.struct("priority", "tier", "ord")).alias("b"))
-    return best.select("page_id", "property", "b.value", "b.source")
+    rows = from_nodes.unionByName(from_meta).unionByName(from_embedded)
+    # A null order is skipped, so a value that could not be typed never wins.
+    order = F.when(F.col("value").isNotNull(), F.struct("priority", "tier", "ord"))
+    best = rows.groupBy("page_id", "property").agg(F.min_by(F.struct("value", "source"), order).alias("b"))
+    return best.where(F.col("b").isNotNull()).select("page_id", "property", "b.value", "b.source")
 
 
 def schema_report(schema: dict, pages: DataFrame, filled: DataFrame) -> DataFrame:
@@ -478,14 +497,19 @@ def streamed_payload(html: Column, marker: str | None = None) -> Column:
 
 
 def json_after(text: Column, marker: str | None = None) -> Column:
-    """The first JSON object or list after ``marker``: cut at each closing bracket until it parses as a whole."""
+    """The first JSON object or list after ``marker``: read token by token until its brackets close."""
     if marker is not None:
-        at = F.locate(marker, text) if isinstance(text, str) else F.position(F.lit(marker), text)
+        at = F.position(F.lit(marker), text)
         text = F.when(at > 0, F.substring(text, at + len(marker), F.length(text)))
     body = F.regexp_extract(text, r"(?s)([{\[].*)$", 1)
-    closing = F.when(body.startswith("{"), "}").otherwise("]")
-    ends = F.split(body, r"(?<=[}\]])")
-    # Only prefixes that end in the right bracket can parse; the first that does is the value.
-    heads = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ends), F.lit(1))), lambda n: F.array_join(F.slice(ends, F.lit(1), n), ""))
-    parsed = F.filter(F.transform(heads, lambda head: F.when(F.endswith(head, closing), F.try_parse_json(head))), lambda v: v.isNotNull())
-    return F.when(body != "", F.try_element_at(parsed, F.lit(1)))
+    tokens = find_all(body, r'"(?:[^"\\]|\\.)*"|[{}\[\]]|[^"{}\[\]]+|"', 0)
+
+    def step(state, token):
+        change = F.when(token.isin("{", "["), 1).when(token.isin("}", "]"), -1).otherwise(0)
+        done = state["done"] | (state["depth"] + change == 0)
+        return F.struct((state["depth"] + F.when(state["done"], 0).otherwise(change)).alias("depth"),
+                        (state["taken"] + F.when(state["done"], 0).otherwise(1)).alias("taken"), done.alias("done"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("taken"), F.lit(False).alias("done"))
+    taken = F.aggregate(tokens, start, step, lambda state: state["taken"])
+    return F.when(body != "", F.try_parse_json(F.array_join(F.slice(tokens, F.lit(1), taken), "")))

@@ -343,7 +343,7 @@ FROM part
 """)
 view("listing_md", ["part"], """
 SELECT p_partkey AS page_id,
-       concat('https://www.shop', cast(p_size AS string), '.example.com/c/', cast(p_partkey AS string)) AS url,
+       concat('https://www.shop', cast(p_size AS string), '.example.com/listing/', cast(p_partkey AS string)) AS url,
        concat('# Shop ', cast(p_size AS string), chr(10), chr(10), '- [Category one](/c/1)', chr(10), '- [Category two](/c/2)', chr(10), '- [Category three](/c/3)', chr(10), chr(10),
          '[![', p_name, ' A](/img/', cast(p_partkey AS string), 'a.jpg)](/product/', cast(p_partkey AS string), 'a)', chr(10), '[', p_name, ' A](/product/', cast(p_partkey AS string), 'a)', chr(10), '$', cast(p_size + 20 AS string), chr(10), 'Save $5!', chr(10), '$', cast(p_size + 15 AS string), chr(10), 'in stock', chr(10),
          '[', p_name, ' B](/product/', cast(p_partkey AS string), 'b)', chr(10), '$', cast(p_size + 30 AS string), chr(10), 'SOLD OUT', chr(10),
@@ -352,3 +352,11 @@ SELECT p_partkey AS page_id,
          '[Privacy](/privacy) [Contact](/contact)', chr(10)) AS content
 FROM part
 """)
+view("shop_json", ["part"], """
+SELECT p_partkey AS page_id, concat('https://shop', cast(p_size AS string), '.example.com/en-au/collections/', replace(p_name, ' ', '-')) AS url,
+       concat('{"products":[{"title":"', p_name, '  one","handle":"h1-', cast(p_partkey AS string), '","variants":[{"price":"', cast(p_size + 5 AS string), '.00","compare_at_price":"', cast(p_size + 9 AS string),
+         '.00","available":false},{"price":"', cast(p_size + 7 AS string), '.50","compare_at_price":"', cast(p_size + 3 AS string), '.00","available":', CASE p_partkey % 2 WHEN 0 THEN 'true' ELSE 'false' END,
+         '}],"images":[{"src":"https://i.test/1.jpg"}]},{"title":"', p_name, ' two","handle":"h2-', cast(p_partkey AS string), '","variants":[{"price":"9.99","compare_at_price":null}],"images":[]}]}') AS body,
+       CASE p_partkey % 3 WHEN 0 THEN '<script>Shopify.shop = 1</script>' WHEN 1 THEN '<img src="//cdn.shopify.com/s/files/1"><img src="//cdn.shopify.com/s/files/2"><img src="/cdn/shop/files/3">' ELSE '<p>plain</p>' END AS html
+FROM part
+""")
