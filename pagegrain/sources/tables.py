@@ -360,3 +360,18 @@ SELECT p_partkey AS page_id, concat('https://shop', cast(p_size AS string), '.ex
        CASE p_partkey % 3 WHEN 0 THEN '<script>Shopify.shop = 1</script>' WHEN 1 THEN '<img src="//cdn.shopify.com/s/files/1"><img src="//cdn.shopify.com/s/files/2"><img src="/cdn/shop/files/3">' ELSE '<p>plain</p>' END AS html
 FROM part
 """)
+# Reads that came back as pages, walls, login forms and error pages.
+view("reads", ["events"], """
+SELECT event_id, concat('https://www.site', cast(user_id AS string), '.example.com/p/', cast(event_id AS string)) AS requested_url,
+       CASE event_id % 13 WHEN 0 THEN concat('https://www.site', cast(user_id AS string), '.example.com/') WHEN 1 THEN 'https://login.example.com/signin'
+         WHEN 2 THEN concat('https://www.site', cast(user_id AS string), '.example.com/captcha') WHEN 3 THEN concat('https://www.site', cast(user_id AS string), '.example.com/error/404')
+         ELSE concat('https://www.site', cast(user_id AS string), '.example.com/p/', cast(event_id AS string)) END AS final_url,
+       CASE event_id % 11 WHEN 0 THEN 'Site - Access denied' WHEN 1 THEN 'Just a moment...' WHEN 2 THEN '# Page not found | Shop' WHEN 3 THEN 'Log in to Site'
+         WHEN 4 THEN concat('site', cast(user_id AS string)) WHEN 5 THEN 'Error' ELSE concat('Item ', cast(event_id AS string)) END AS title,
+       concat(CASE event_id % 17 WHEN 0 THEN 'Please verify you are a human. ' WHEN 1 THEN 'ERR_CONNECTION_REFUSED ' WHEN 2 THEN 'The site is down for maintenance. '
+           WHEN 3 THEN 'Please sign in to read. ' WHEN 4 THEN 'Enter your password to log in. ' WHEN 5 THEN 'This page doesn''t exist here. ' WHEN 6 THEN 'Price $0.00 '
+           WHEN 7 THEN '{{ item.name }} NaN undefined {{x}} ' WHEN 8 THEN 'Subscribe to continue reading. ' WHEN 9 THEN 'Select a date to see prices. '
+           WHEN 10 THEN 'No products found in this store. ' WHEN 11 THEN 'Cookies: we use cookies, cookie consent. ' WHEN 12 THEN '' ELSE 'Only $15.50 today. ' END,
+         CASE WHEN event_id % 17 = 12 THEN '' ELSE repeat(concat(event_type, ' words of the page go on. '), cast(event_id % 150 AS int)) END) AS body
+FROM events
+""")
