@@ -375,3 +375,14 @@ SELECT event_id, concat('https://www.site', cast(user_id AS string), '.example.c
          CASE WHEN event_id % 17 = 12 THEN '' ELSE repeat(concat(event_type, ' words of the page go on. '), cast(event_id % 150 AS int)) END) AS body
 FROM events
 """)
+view("journal_full", ["journal"], """
+SELECT j.trace_id, j.attempt_ordinal, j.observed_at, j.domain, '/p/{number}/x' AS path_pattern, 'read' AS operation, cast(NULL AS string) AS adapter,
+       cast(NULL AS string) AS adapter_version, cast(NULL AS string) AS adapter_binding_id, 'public' AS identity_class, repeat('c', 64) AS acquisition_context,
+       j.provider, '1' AS provider_version, repeat('a', 64) AS provider_binding_id, j.outcome, j.failure_code, j.latency_ms, j.pos
+FROM journal j
+""")
+view("verifications", ["attempts", "events"], """
+SELECT a.trace_id, a.provider, '1' AS provider_version, repeat('a', 64) AS provider_binding_id, 'read' AS operation, cast(NULL AS string) AS adapter,
+       cast(NULL AS string) AS adapter_version, cast(NULL AS string) AS adapter_binding_id, repeat('c', 64) AS acquisition_context, a.observed_at, a.attempt_ordinal
+FROM attempts a JOIN events e ON e.event_id = a.event_id WHERE e.event_type IN ('view', 'click')
+""")
