@@ -386,3 +386,10 @@ SELECT a.trace_id, a.provider, '1' AS provider_version, repeat('a', 64) AS provi
        cast(NULL AS string) AS adapter_version, cast(NULL AS string) AS adapter_binding_id, repeat('c', 64) AS acquisition_context, a.observed_at, a.attempt_ordinal
 FROM attempts a JOIN events e ON e.event_id = a.event_id WHERE e.event_type IN ('view', 'click')
 """)
+view("hit_queries", ["orders"], """
+SELECT o_orderkey AS query_id,
+       CASE o_orderkey % 8 WHEN 0 THEN 'red widget' WHEN 1 THEN 'latest news on gears' WHEN 2 THEN 'acme gear github' WHEN 3 THEN 'widget stock price today'
+         WHEN 4 THEN 'Acme announcement about a bolt' WHEN 5 THEN 'paper on ring gear' WHEN 6 THEN 'python library for rings' ELSE 'Example' END AS query,
+       CASE o_orderkey % 3 WHEN 0 THEN 'year' ELSE NULL END AS recency
+FROM orders
+""")
