@@ -6,7 +6,7 @@ import importlib
 
 from pagegrain.plans import registry
 
-AREAS = ["urls", "texts", "pages", "structures", "grades", "journals", "benches", "searches"]
+AREAS = ["urls", "texts", "pages", "structures", "grades", "journals", "benches", "searches", "graphs"]
 
 
 def load():
