@@ -46,7 +46,7 @@ def with_lines(docs: DataFrame, content: Column, name: str = "lines") -> DataFra
     # Text between fence lines: every second piece is inside a fence.
     pieces = F.split(F.coalesce(content, F.lit("")), r"(?m)^[ \t]*(?:```|~~~)[^\n]*$", -1)
     rows = F.flatten(F.transform(pieces, lambda piece, at: F.transform(
-        F.filter(each(texts.lines_of(piece), F.trim), lambda line: line != ""),
+        F.filter(each(texts.lines_of(piece), lambda part: F.trim(part)), lambda line: line != ""),
         lambda line: F.struct(line.alias("line"), _plain(line).alias("plain"), (at % 2 == 1).alias("fenced")))))
     # Three projections, so that no rule repeats the work of the step before it.
     df = docs.withColumn(name, rows).withColumn(name, F.transform(name, _read))

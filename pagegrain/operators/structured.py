@@ -234,10 +234,10 @@ def fill_schema(schema: dict, nodes: DataFrame, meta: DataFrame, embedded: DataF
 def schema_report(schema: dict, pages: DataFrame, filled: DataFrame) -> DataFrame:
     """Per page: how many properties were found, which required ones are missing, and whether the data is complete."""
     required = [name for name in schema.get("required", []) if name in schema["properties"]]
-    found = filled.groupBy("page_id").agg(F.collect_set("property").alias("found"),
+    found = filled.groupBy("page_id").agg(F.collect_set("property").alias("filled"),
                                           F.map_from_entries(F.collect_list(F.struct("property", "value"))).alias("data"))
     rows = pages.select("page_id").join(found, "page_id", "left")
-    have = F.coalesce("found", F.array().cast("array<string>"))
+    have = F.coalesce("filled", F.array().cast("array<string>"))
     missing = F.filter(words_in(required) if required else F.array().cast("array<string>"), lambda name: ~F.array_contains(have, name))
     return rows.select("page_id", F.size(have).alias("found"), F.lit(len(schema["properties"])).alias("of"),
                        missing.alias("missing"), (F.size(missing) == 0).alias("valid"), "data")

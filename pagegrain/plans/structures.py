@@ -174,7 +174,7 @@ LISTING = with_views("listing_md")
 
 
 @query("j22_markdown_blocks", """SELECT p_partkey AS page_id, unnest(['/c/1', '/c/2', '/c/3', '/product/' || p_partkey || 'a', '/product/' || p_partkey || 'b',
-  '/product/' || p_partkey || 'c', '/product/' || p_partkey || 'd']) AS path, unnest([1, 1, 1, 6, 3, 4, 3]) AS lines FROM part""")
+  '/product/' || p_partkey || 'c', '/product/' || p_partkey || 'd']) AS path, unnest([1, 1, 1, 6, 3, 4, 4]) AS lines FROM part""")
 def j22(t):
     rows = records.record_blocks(t.listing_md)
     return rows.select("page_id", urls.path("target").alias("path"), F.size("lines").alias("lines"))
@@ -278,7 +278,7 @@ def a20(t):
     return structured.longest_list(structured.embedded_json(t.product_pages)).select("page_id", "rows")
 
 
-@query("a19_page_price_count", """SELECT p_partkey AS page_id, 4 AS prices FROM part""")
+@query("a19_page_price_count", """SELECT p_partkey AS page_id, 5 AS prices FROM part""")
 def a19(t):
     rows = prices.with_prices(t.listing_md.select("page_id", "content"), F.col("content"), "found")
     return rows.select("page_id", prices.plain_count(F.col("found")).alias("prices"))
@@ -356,6 +356,22 @@ def f3(t):
     return registry.project(rows)
 
 
+@query("f4_search_sources", """SELECT 'github' AS source, cast(count(*) AS bigint) AS hits FROM part UNION ALL SELECT 'open_library', count(*) FROM part""")
+def f4(t):
+    from pagegrain.sources import payloads
+    registry = registries.Sources()
+    registry.register("github", payloads.github)
+    registry.register("open_library", payloads.open_library)
+    registry.register("arxiv", payloads.arxiv)
+    registry.enable("arxiv", False)
+    key = F.col("p_partkey").cast("string")
+    code = F.concat(F.lit('{"items":[{"html_url":"https://github.com/a/'), key, F.lit('","full_name":"a"}]}'))
+    books = F.concat(F.lit('{"docs":[{"key":"/works/'), key, F.lit('","title":"t","author_name":["A","B"],"first_publish_year":1999}]}'))
+    rows = t.part.select(F.col("p_partkey").alias("payload_id"), F.lit("github").alias("source"), code.alias("body")).unionByName(
+        t.part.select(F.col("p_partkey").alias("payload_id"), F.lit("open_library").alias("source"), books.alias("body")))
+    return payloads.normalise(rows, registry.freeze()).groupBy("source").agg(F.count(F.lit(1)).alias("hits"))
+
+
 @query("f5_site_modules", f"""SELECT p_partkey AS page_id, unnest(['items', 'items', 'menu', 'menu', 'menu']) AS module, unnest([0, 1, 0, 1, 2]) AS pos,
   unnest([p_name || ' one', p_name || ' two', 'Home', 'All', 'New']) AS name FROM part""")
 def f5(t):
