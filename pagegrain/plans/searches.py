@@ -12,7 +12,8 @@ from pagegrain.plans.urls import _key_sql
 from pagegrain.sources.tables import with_views
 
 HITS, LOG = with_views("hits"), with_views("query_log")
-NOW = F.lit("1999-01-01 00:00:00").cast("timestamp")
+def _now():
+    return F.lit("1999-01-01 00:00:00").cast("timestamp")
 _ID = "query_id, source, rank, item_id, url"
 _CANON = _key_sql(f"regexp_replace({duck.path('url')}, '/index\\.(?:html?|php)$', '')", duck.like("split_part(x, '=', 1)", fixed.TRACK_CANONICAL))
 _PLAIN = _key_sql(duck.path("url"), duck.like("x", fixed.TRACK_RESULT_KEY))
@@ -25,7 +26,7 @@ def _hits(t):
 
 def _checked(t):
     extra = {"stars": F.col("stars"), "fork": F.col("item_id") % 50 == 0, "archived": F.lit(False)}
-    return search.check_results(_hits(t).withColumn("published", F.date_format("published", "yyyy-MM-dd HH:mm:ss")), t.hit_queries, NOW, extra)
+    return search.check_results(_hits(t).withColumn("published", F.date_format("published", "yyyy-MM-dd HH:mm:ss")), t.hit_queries, _now(), extra)
 
 
 @query("g15_on_query")
@@ -56,7 +57,7 @@ def g18(t):
 @query("g19_option_filter", f"""{HITS} SELECT coalesce(CASE WHEN {duck.bare_host('url')} = 'github.com' THEN 'excluded' WHEN NOT ({duck.bare_host('url')} = 'example.com' OR ends_with({duck.bare_host('url')}, '.example.com')) THEN 'off_site'
   WHEN published < timestamp '1999-01-01' - interval 366 day THEN 'too_old' END, 'kept') AS dropped, cast(count(*) AS bigint) AS n, cast(count(*) FILTER (published IS NULL) AS bigint) AS undated FROM hits GROUP BY 1""")
 def g19(t):
-    rows = search.filter_options(t.hits.withColumn("published", F.col("published").cast("timestamp")), NOW, ["github.com"], "example.com", "year")
+    rows = search.filter_options(t.hits.withColumn("published", F.col("published").cast("timestamp")), _now(), ["github.com"], "example.com", "year")
     return rows.groupBy(F.coalesce("dropped", F.lit("kept")).alias("dropped")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("published").isNull()).alias("undated"))
 
 
@@ -88,7 +89,7 @@ def g25(t):
     rows = t.hits.withColumn("entity", F.lit(r"(?i)\b(ring|gear)s?\b")).withColumn("page_title", F.lit(None).cast("string")).withColumn(
         "page_text", F.lit(None).cast("string")).withColumn("recency", F.lit("year")).withColumn("specific", F.lit(True)).withColumn("published", F.col("published").cast("timestamp"))
     why = F.array_join(F.transform("why", lambda item: F.concat(item, F.lit(","))), "")
-    return search.bench_judge(rows, NOW).select("query_id", "source", "rank", "item_id", "url", why.alias("why"))
+    return search.bench_judge(rows, _now()).select("query_id", "source", "rank", "item_id", "url", why.alias("why"))
 
 
 @query("g27_verticals")

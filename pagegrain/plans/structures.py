@@ -11,7 +11,8 @@ from pagegrain.plans.pages import every_page, resolve_sql, squeeze_sql, unescape
 from pagegrain.plans.registry import query
 from pagegrain.sources.tables import with_views
 
-NOW = F.lit("2024-02-15 12:00:00").cast("timestamp")
+def _now():
+    return F.lit("2024-02-15 12:00:00").cast("timestamp")
 PRODUCT_SCHEMA = {
     "title": "Product", "type": "object", "required": ["name", "price", "gtin"],
     "properties": {"name": {"type": "string"}, "price": {"type": "number"}, "currency": {"type": "string"},
@@ -91,7 +92,7 @@ def j7(t):
   CASE WHEN p_partkey % 3 = 0 THEN 'meta:article:published_time' ELSE 'jsonld' END AS origin FROM part
 WHERE p_partkey % 3 = 0 OR 1 + p_size % 28 <= 17""")
 def j8(t):
-    return structured.page_dates(t.product_pages, NOW).select("page_id", F.date_format("published", "yyyy-MM-dd HH:mm:ss").alias("published"), "origin")
+    return structured.page_dates(t.product_pages, _now()).select("page_id", F.date_format("published", "yyyy-MM-dd HH:mm:ss").alias("published"), "origin")
 
 
 @query("j9_record_fields", """SELECT p_partkey AS card_id, p_name AS field_role, 'item.name' AS field_role_source,

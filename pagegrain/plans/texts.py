@@ -9,7 +9,8 @@ from pagegrain.plans import duck
 from pagegrain.plans.registry import query
 from pagegrain.sources.tables import with_views
 
-NOW = F.lit("2026-10-12 12:00:00").cast("timestamp")
+def _now():
+    return F.lit("2026-10-12 12:00:00").cast("timestamp")
 
 
 @query("t1_key_terms")
@@ -160,13 +161,13 @@ def t16(t):
 
 @query("t17_lead_date")
 def t17(t):
-    return t.date_text.select("event_id", texts.lead_date(F.col("snippet"), NOW).cast("string").alias("lead_date"))
+    return t.date_text.select("event_id", texts.lead_date(F.col("snippet"), _now()).cast("string").alias("lead_date"))
 
 
 @query("t18_published")
 def t18(t):
     found = texts.published(F.when(F.col("event_id") % 3 == 0, F.col("txt")), F.col("snippet"), F.lit("A title"),
-                            F.lit("https://a.test/2026/10/05/story"), NOW)
+                            F.lit("https://a.test/2026/10/05/story"), _now())
     return t.date_text.select("event_id", found["at"].cast("string").alias("published"), found["origin"].alias("origin"))
 
 

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 BASE = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
         "conversations").split()
 
+# Tables whose rows cost much work each (text, markup, long expressions).
+WIDE_ROWS = ("pages", "documents", "events", "part", "conversations")
+_SCAN_TASKS: dict[str, int] = {}
+
 # name -> (views and tables it reads, SQL)
 VIEWS: dict[str, tuple[list[str], str]] = {}
 
@@ -49,12 +53,28 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
 
+    def _spread(self, name: str) -> int:
+        """How many partitions to spread a table over: none when its scan already keeps every core busy (any large table), the
+        session's parallelism when a small file arrives as one or two tasks."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in _SCAN_TASKS:
+            _SCAN_TASKS[path] = self.spark.read.parquet(path).rdd.getNumPartitions()
+        cores = self.spark.sparkContext.defaultParallelism
+        return cores if name in WIDE_ROWS and _SCAN_TASKS[path] * 2 <= cores else 0
+
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        tasks = self._spread(name)
+        return df.repartition(tasks) if tasks else df
+
+    def _scan_sql(self, name: str) -> str:
+        tasks = self._spread(name)
+        hint = f"/*+ REPARTITION({tasks}) */ " if tasks else ""
+        return f"{name} AS (SELECT {hint}* FROM parquet.`{self.sf_dir}/{name}.parquet`)"
 
     def derived(self, name: str) -> DataFrame:
         ordered = _ordered([name], [])
-        ctes = [f"{base} AS (SELECT * FROM parquet.`{self.sf_dir}/{base}.parquet`)" for base in _bases(ordered)]
+        ctes = [self._scan_sql(base) for base in _bases(ordered)]
         ctes += [f"{part} AS (\n{VIEWS[part][1]}\n)" for part in ordered]
         return self.spark.sql("WITH " + ",\n".join(ctes) + f"\nSELECT * FROM {name}")
 
