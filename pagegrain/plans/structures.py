@@ -200,7 +200,7 @@ def j24(t):
 
 
 _RL = duck.text(fixed.RECORD_LINK)
-_PLAIN = squeeze_sql(f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '!\\[([^\\]]*)\\]\\([^)]*\\)?', '', 'g'), {_RL}, '\\2', 'g'), "
+_PLAIN = squeeze_sql(f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, {duck.text(fixed.RECORD_IMAGE)}, '', 'g'), {_RL}, '\\2', 'g'), "
                      f"'[*_`#>]+', ' ', 'g'), '^\\s*(?:[-+]|\\d+\\.)\\s+', '')")
 
 
