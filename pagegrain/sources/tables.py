@@ -171,7 +171,7 @@ SELECT p_partkey AS query_id,
          WHEN 16 THEN 'how to reverse a list in python' WHEN 17 THEN 'TypeError: cannot read properties of undefined'
          WHEN 18 THEN 'fix segfault in my_function()' WHEN 19 THEN 'npm install fails with ERR_OSSL_EVP_UNSUPPORTED'
          WHEN 20 THEN 'public library for kids near me' WHEN 21 THEN 'Python the snake'
-         WHEN 22 THEN concat('cheap flights to ', p_type) WHEN 23 THEN concat('Anthropic announces new ', p_name)
+         WHEN 22 THEN concat('cheap flights to ', p_type) WHEN 23 THEN concat('Acme announces new ', p_name)
          WHEN 24 THEN 'OpenAI press release' WHEN 25 THEN 'how I wrote my first novel'
          WHEN 26 THEN concat('go library for ', p_name) WHEN 27 THEN 'httpx python github'
          WHEN 28 THEN 'python web framework' WHEN 29 THEN concat('Hugging Face ', p_name)

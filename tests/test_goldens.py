@@ -27,7 +27,7 @@ def test_verticals(spark):
     cases = {"paper on diffusion models": "papers", "openai news": "news", "Nvidia today": "news", "who wrote Hamlet": "reference",
              "capital of Mongolia": "reference", "how to reverse a list in python": "qa", "TypeError: cannot read properties of undefined": "qa",
              "rust borrow checker error E0382": "qa", "Go to market strategy": "web", "public library for kids near me": "web",
-             "Anthropic announces new model": "web", "how I wrote my first novel": "web", "": "web", "what happened with Tesla this week": "news"}
+             "Acme announces new model": "web", "how I wrote my first novel": "web", "": "web", "what happened with Tesla this week": "news"}
     got = column(spark, list(cases), lambda q: search.infer_vertical(q, F.lit(None).cast("string"), F.size(texts.entity_runs(q)) > 0)["vertical"])
     assert dict(zip(cases, got)) == cases
 
