@@ -124,6 +124,10 @@ def j2(t):
     return pages.with_text(t.pages).select("page_id", "title", "text")
 
 
+# RE2's non-word class knows ASCII only; the rule means letters and digits of any alphabet.
+NAV_TOKEN_ANY_ALPHABET = fixed.NAV_TOKEN.replace(r"[\W_]", r"[^\p{L}\p{N}]")
+
+
 # The line rules again, on exploded rows: link share from link text over letters.
 def lines_ctes() -> str:
     link = "!?\\[([^\\]]*)\\]\\(([^)]*)\\)"
@@ -138,7 +142,7 @@ l2 AS (SELECT *, count(*) FILTER (fence) OVER (PARTITION BY doc_id ORDER BY ln)
 l3 AS (SELECT doc_id, ln, line, fenced, {plain} AS plain, CASE WHEN {shown} > 0 THEN {linked} / {shown} ELSE 1.0 END AS share,
     regexp_matches(line, '{link}') AS has_link FROM l2 WHERE line <> '' AND NOT fence),
 l4 AS (SELECT doc_id, ln, line, plain, CASE WHEN fenced THEN 'code'
-    WHEN (has_link AND share >= 0.6) OR ({duck.like('plain', fixed.NAV_TOKEN)} AND length(plain) <= 40 AND NOT starts_with(line, '#')) THEN 'nav'
+    WHEN (has_link AND share >= 0.6) OR ({duck.like('plain', NAV_TOKEN_ANY_ALPHABET)} AND length(plain) <= 40 AND NOT starts_with(line, '#')) THEN 'nav'
     WHEN starts_with(line, '#') OR regexp_matches(line, '(?i)^(title|url source|published time|markdown content|description):') THEN 'neutral'
     WHEN {prose} AND {duck.like('plain', fixed.CONSENT)} THEN 'consent' WHEN {prose} AND {duck.like('plain', fixed.FOOTER)} THEN 'footer'
     WHEN {prose} THEN 'prose'
