@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.llm import decontaminate, line_dedup, mixing, ngram_join, quality_rules, toxicity
+from pagegrain.llm import byte_network, decontaminate, language_model, line_dedup, mixing, ngram_join, quality_rules, toxicity, url_filter, wrappers
 from pagegrain.llm.common import table
 
 
@@ -22,19 +22,64 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped", "emptied", F.md5("text").alias("text_md5"))
 
 
+def op6_byte_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_network.byte_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return mixing.mix(docs, mixing.labelled_domains(docs, labels), mixing.TARGETS)
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {fn.__name__: fn for fn in (op1_quality_rules, op2_ngram_join, op3_toxicity, op5_line_dedup, op8_mixing, op10_decontamination)}
-ORACLES: dict[str, str] = {}
+QUERIES = {fn.__name__: fn for fn in (
+    op1_quality_rules, op2_ngram_join, op3_toxicity, op4_language_model, op5_line_dedup, op6_byte_quality, op7_main_text, op8_mixing, op9_url_filter,
+    op10_decontamination)}
+
+
+def _glob_regex(glob: str) -> str:
+    out, at = "", 0
+    while at < len(glob):
+        wide = glob.startswith("**", at)
+        out += ".*" if wide else "[^/]*" if glob[at] == "*" else "[^/]" if glob[at] == "?" else "\\" + glob[at] if not glob[at].isalnum() else glob[at]
+        at += 2 if wide else 1
+    return f"(?s)^{out}$"
+
+
+def _url_sql() -> str:
+    rules = url_filter.Automaton(url_filter.default_rules()).rules
+
+    def pick(value):
+        return "CASE " + " ".join(f"WHEN regexp_matches('.' || host || path, '{_glob_regex(rule.glob)}') THEN {value(rule)}" for rule in rules)
+
+    name = pick(lambda rule: f"'{rule.name}'" if rule.name else "NULL")
+    verdict = pick(lambda rule: f"'{rule.verdict}'")
+    return f"""
+WITH parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages)
+SELECT page_id, host, path, {name} ELSE NULL END AS rule, {verdict} ELSE 'allow' END AS verdict FROM parts"""
+
+
+ORACLES: dict[str, str] = {"op9_url_filter": _url_sql()}
