@@ -47,7 +47,7 @@ def _terms_of(text: Column, stemmed: bool) -> Column:
 
     strong = F.array_distinct(each(F.filter(kept, lambda raw: ~weak(raw)), form))
     platform = F.array_distinct(each(F.filter(kept, weak), form))
-    return F.slice(F.when(F.size(strong) > 0, strong).otherwise(platform), 1, 8)
+    return F.when(F.size(strong) > 0, strong).otherwise(platform)
 
 
 def _terms(query, stemmed: bool) -> Column:
@@ -343,7 +343,7 @@ def story_key(title: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """The key under which two pages of one poll hold the same text."""
-    return F.sha2(F.lower(F.substring(squeeze(F.coalesce(text, F.lit(""))), 1, 3000)), 256)
+    return F.sha2(F.lower(squeeze(F.coalesce(text, F.lit("")))), 256)
 
 
 # ---- markdown lines -----------------------------------------------------------------------

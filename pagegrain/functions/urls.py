@@ -363,12 +363,12 @@ def url_words(url) -> Column:
             & ~word.isin(fixed.URL_FILLER) & ~word.isin(fixed.STOPWORDS) & ~word.contains("search")))
 
     by_segment = F.filter(each(F.reverse(segments(path(url))), telling), lambda words: F.size(words) > 0)
-    from_path = F.array_join(F.slice(F.try_element_at(by_segment, F.lit(1)), 1, 6), " ")
+    from_path = F.array_join(F.try_element_at(by_segment, F.lit(1)), " ")
     plain = F.filter(_values(url, lambda key: F.lit(True)), lambda value: (
         F.trim(value).rlike(r"^\p{L}{3,}(?:[ +]\p{L}{2,}){0,5}$") & ~F.lower(F.trim(value)).isin(fixed.OPTION_VALUES)))
     chosen = F.coalesce(F.when(F.size(asked) > 0, F.array_join(asked, " ")), from_path,
                         F.when(F.size(plain) == 1, F.try_element_at(plain, F.lit(1))), F.lit(""))
-    return F.substring(F.trim(F.regexp_replace(F.replace(chosen, F.lit("+"), F.lit(" ")), r"\s+", " ")), 1, 80)
+    return F.trim(F.regexp_replace(F.replace(chosen, F.lit("+"), F.lit(" ")), r"\s+", " "))
 
 
 def stem(word: Column) -> Column:
@@ -378,7 +378,7 @@ def stem(word: Column) -> Column:
 
 
 def query_terms(url, expect: Column | None = None) -> Column:
-    """Up to ten lightly stemmed words the results of a search URL should mention."""
+    """The lightly stemmed words the results of a search URL should mention."""
     asked = _values(url, is_query_key)
     where = path(url)
     last = unquote(F.coalesce(F.try_element_at(segments(where), F.lit(-1)), F.lit("")))
@@ -389,16 +389,16 @@ def query_terms(url, expect: Column | None = None) -> Column:
         F.coalesce(from_path, F.array().cast("array<string>")))
     words = base if expect is None else F.concat(base, F.flatten(each(expect, lambda value: find_all(F.lower(value), WORD))))
     kept = F.filter(words, lambda word: (F.length(word) >= 3) & ~word.isin(fixed.STOPWORDS) & ~word.rlike(r"^\p{N}+$"))
-    return F.slice(F.array_distinct(each(kept, stem)), 1, 10)
+    return F.array_distinct(each(kept, stem))
 
 
 def asked_stems(url) -> Column:
-    """Up to five five-letter stems of what a URL asks for."""
+    """Five-letter stems of what a URL asks for."""
     values = F.array_join(_values(url, lambda key: F.lit(True)), " ")
     last = F.coalesce(F.try_element_at(segments(path(url)), F.lit(-1)), F.lit(""))
     text = F.when(F.trim(values) != "", values).otherwise(last)
     words = F.filter(find_all(F.lower(text), r"[\p{L}\p{N}]{3,}"), lambda word: ~word.isin(fixed.TERM_GENERIC))
-    return F.slice(F.array_distinct(each(words, lambda word: F.substring(word, 1, 5))), 1, 5)
+    return F.array_distinct(each(words, lambda word: F.substring(word, 1, 5)))
 
 
 def strip_credentials(url) -> Column:

@@ -6,7 +6,9 @@ checkpointed, so a lost executor replays one level and the plan never grows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import itertools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagegrain.functions import urls
@@ -15,15 +17,20 @@ from pagegrain.functions.ordering import rank_in_group, running_sum
 from pagegrain.session import cut
 
 
-def site_map(entries: DataFrame, root: str, subdomains: bool = False, limit: int = 5000) -> DataFrame:
-    """A site's URLs, once each, sitemap before page links: url, source, rank. ``entries(url, source, source_pos, pos)``."""
+# Positions of one chunk of a ranking.
+CHUNK = 100_000
+
+
+def site_map(entries: DataFrame, root: str, subdomains: bool = False, limit: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """A site's URLs, once each, sitemap before page links: url, source, rank. ``entries(url, source, source_pos, pos)``; ``chunk``
+    positions are ranked in one task."""
     rows = entries.withColumn("key", urls.crawl_normal("url"))
     rows = rows.where(urls.same_site_crawl(urls.host("url"), F.lit(root), subdomains) & ~urls.not_a_page("url"))
     first = rows.groupBy("key").agg(F.min(F.struct("source_pos", "pos", "source")).alias("f"))
     ranked = rank_in_group(first.select(F.lit(root).alias("site"), F.col("key").alias("url"), F.col("f.source").alias("source"), F.col("f.source_pos").alias("source_pos"),
                                         F.col("f.pos").alias("pos")), ["site"], [F.col("pos"), F.col("url")],
-                           F.struct("source_pos", F.floor(F.col("pos") / 100_000).alias("b")), "rank")
-    return ranked.where(F.col("rank") <= limit).select("url", "source", "rank")
+                           F.struct("source_pos", F.floor(F.col("pos") / chunk).alias("b")), "rank")
+    return (ranked if limit is None else ranked.where(F.col("rank") <= limit)).select("url", "source", "rank")
 
 
 def rank_by_words(rows: DataFrame, words: list[str]) -> DataFrame:
@@ -53,7 +60,8 @@ def crawl(edges: DataFrame, start: str, max_depth: int = 2, limit: int | None =
     verdict = first_of([(~site | ~inside, "outside"), (filtered, "filtered"), (barred, "robots")], "ok")
     normal = edges.select(urls.crawl_normal("src").alias("src"), urls.crawl_normal("dst").alias("url")).distinct()
     frontier = spark.range(1).select(urls.crawl_normal(F.lit(start)).alias("url"), F.lit(0).alias("depth"))
-    seen, pages, skips = frontier.select("url"), frontier, None
+    seen, pages = frontier.select("url"), frontier
+    skips = spark.createDataFrame([], "reason string, n long")
     total = 1
     for depth in range(1, max_depth + 1):
         found = normal.join(frontier.select(F.col("url").alias("src")), "src").select("url")
@@ -67,7 +75,7 @@ def crawl(edges: DataFrame, start: str, max_depth: int = 2, limit: int | None =
             level = cut(level)
         n = level.count()
         dropped = fresh.where(F.col("verdict").isin("filtered", "robots")).groupBy(F.col("verdict").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-        skips = dropped if skips is None else skips.unionByName(dropped)
+        skips = skips.unionByName(dropped)
         if n == 0:
             break
         pages, frontier, total = cut(pages.unionByName(level)), level, total + n
@@ -77,11 +85,11 @@ def crawl(edges: DataFrame, start: str, max_depth: int = 2, limit: int | None =
     return pages, skipped
 
 
-def sitemap_walk(children: DataFrame, roots: DataFrame, max_rounds: int = 10) -> DataFrame:
+def sitemap_walk(children: DataFrame, roots: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Every sitemap reachable from ``roots(sitemap)`` over ``children(sitemap, child)``, once: sitemap, depth."""
     seen = roots.select("sitemap").distinct().withColumn("depth", F.lit(0))
     frontier = seen
-    for depth in range(1, max_rounds + 1):
+    for depth in itertools.count(1) if max_rounds is None else range(1, max_rounds + 1):
         found = children.join(frontier.select("sitemap"), "sitemap").select(F.col("child").alias("sitemap")).distinct()
         frontier = cut(found.join(seen.select("sitemap"), "sitemap", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
@@ -154,27 +162,28 @@ def second_opinion(pairs: DataFrame) -> DataFrame:
 
 
 # ---- what is new ---------------------------------------------------------------------------
-def pick_child_sitemaps(children: DataFrame, limit: int = 3) -> DataFrame:
-    """The children most likely to hold new pages: news-like names, then newest, then the latest date in the name."""
-    from pyspark.sql import Window
+def pick_child_sitemaps(children: DataFrame, limit: int | None = None) -> DataFrame:
+    """The children most likely to hold new pages first: news-like names, then newest, then the latest date in the name."""
     low = F.lower("child")
     news = low.rlike("news|post|article|blog|latest|recent").cast("int")
     dates = F.transform(F.regexp_extract_all(low, F.lit(r"20\d\d[-_/]?(?:\d\d)?"), F.lit(0)), lambda text: F.regexp_replace(text, "[-_/]", ""))
     newest = F.coalesce(F.array_max(dates), F.lit(""))
     order = Window.partitionBy("sitemap").orderBy(news.desc(), F.coalesce("published", F.lit("")).desc(), newest.desc(), "child")
-    return children.where(F.col("child") != "").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    ranked = children.where(F.col("child") != "").withColumn("rank", F.row_number().over(order))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def except_seen(entries: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
     return entries.join(seen.select(*keys).distinct(), keys, "left_anti")
 
 
-def newest_entries(entries: DataFrame, cap: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(newest ``cap`` entries per site with their rank, per-site counts with the overflow): undated ones come last."""
-    from pyspark.sql import Window
+def newest_entries(entries: DataFrame, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entries per site with their rank, newest first, the first ``cap`` if given; per-site counts with what is beyond ``cap``): undated ones come last."""
     order = Window.partitionBy("site").orderBy(F.col("published").desc_nulls_last(), "url")
-    top = entries.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
-    counts = entries.groupBy("site").agg(F.count(F.lit(1)).alias("entries")).withColumn("more", F.greatest(F.col("entries") - cap, F.lit(0)))
+    top = entries.withColumn("rank", F.row_number().over(order))
+    top = top if cap is None else top.where(F.col("rank") <= cap)
+    counts = entries.groupBy("site").agg(F.count(F.lit(1)).alias("entries")).withColumn(
+        "more", F.lit(0).cast("long") if cap is None else F.greatest(F.col("entries") - cap, F.lit(0)))
     return top, counts
 
 

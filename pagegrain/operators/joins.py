@@ -67,9 +67,10 @@ def match_recipes(reads: DataFrame, recipes: DataFrame) -> DataFrame:
 def robots_allowed(pages: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     """Whether robots rules let a URL be read: the first rule of its host (by ``rule_pos``) whose prefix its path starts with."""
     rows = pages.withColumn("_host", urls.host("url")).withColumn("_path", F.when(urls.path("url") == "", "/").otherwise(urls.path("url")))
-    hits = rows.select(key, "_host", "_path").join(rules.withColumnRenamed("host", "_host"), "_host").where(F.startswith("_path", "prefix"))
-    first = hits.groupBy(key).agg(F.min_by("allow", "rule_pos").alias("allow"))
-    return rows.drop("_host", "_path").join(first, key, "left").withColumn("allow", F.coalesce("allow", F.lit(True)))
+    # A host's rules are one robots file: one array, tried in order inside the URL's row.
+    listed = rules.groupBy(F.col("host").alias("_host")).agg(F.array_sort(F.collect_list(F.struct("rule_pos", "prefix", "allow"))).alias("_rules"))
+    first = F.get(F.filter("_rules", lambda rule: F.startswith(F.col("_path"), rule["prefix"])), F.lit(0))["allow"]
+    return rows.join(listed, "_host", "left").withColumn("allow", F.coalesce(first, F.lit(True))).drop("_host", "_path", "_rules")
 
 
 def siblings(pages: DataFrame, limit: int = 3) -> DataFrame:

@@ -5,12 +5,13 @@ Everything per trace, tool or origin is an aggregate that combines before the sh
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagegrain.functions import urls
 from pagegrain.functions.columns import c, first_of
 from pagegrain.functions.ordering import medians, running_sum
+from pagegrain.session import cut
 
 SCHEMA_TAG = "route-observation/v1"
 KEY = ["trace_id", "provider", "provider_version", "provider_binding_id", "operation", "adapter", "adapter_version",
@@ -129,6 +130,7 @@ def _join_all(base: DataFrame, others: list[DataFrame], keys: list[str]) -> Data
 
 def capability_summary(rows: DataFrame, keys: list[str] = GROUP) -> DataFrame:
     """Samples, successes, verified successes, failures by code and the exact median latency per group of canonical rows."""
+    rows = cut(rows)
     timed = rows.withColumn("_latency", F.when((F.col("latency_ms") >= 0) & ~F.isnan("latency_ms"), F.col("latency_ms")))
     base = timed.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("sample_count"), F.count_if(F.col("outcome") == "observed").alias("observed_count"),
@@ -156,7 +158,7 @@ def route_tail(rows: DataFrame, scope: list[str]) -> DataFrame:
     A scope's tail is what follows the last failure of its last failing trace, plus every later trace: two aggregates and a
     join, with no sort of a scope's rows.
     """
-    keys = [*scope, "trace_id"]
+    keys, rows = [*scope, "trace_id"], cut(rows)
     failed, legacy = F.col("outcome") == "failed", F.col("attempt_ordinal").isNull()
     marks = rows.groupBy(*keys).agg(
         F.max("observed_at").alias("trace_time"), F.max(legacy).alias("legacy"), F.max(failed).alias("has_failure"),
@@ -165,23 +167,32 @@ def route_tail(rows: DataFrame, scope: list[str]) -> DataFrame:
     after = ~F.col("has_failure") | F.when(F.col("legacy"), F.col("observed_at") > F.col("failed_time")).otherwise(
         F.col("attempt_ordinal") > F.col("failed_at"))
     joined = joined.withColumn("in_tail", ~failed & F.coalesce(after, F.lit(False)))
+    # A latency counts when it is a number from 0 on, short of infinity.
+    timed = F.when((F.col("latency_ms") >= 0) & (F.col("latency_ms") < float("inf")), F.col("latency_ms"))
+    # Read several times below: computed once.
+    joined = cut(joined.withColumn("timed", timed))
     told = joined.groupBy(*keys, "trace_time", "has_failure").agg(
         F.count_if("in_tail").alias("observed"), F.count_if(F.col("in_tail") & F.col("verified")).alias("verified_n"),
-        F.count(F.when(F.col("in_tail"), F.col("latency_ms"))).alias("latencies"), F.avg(F.when(F.col("in_tail"), F.col("latency_ms"))).alias("typical"))
+        F.count(F.when(F.col("in_tail"), F.col("timed"))).alias("latencies"),
+        # What happened in the trace, by which equal traces are told apart: a trace's name must not move evidence. A trace has one attempt per tool.
+        F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", F.coalesce(F.lpad(F.col("attempt_ordinal").cast("string"), 9, "0"), F.lit("")), "outcome", F.col(
+            "verified").cast("string"), F.coalesce(F.round(F.col("timed") * 1000).cast("bigint").cast("string"), F.lit(""))))), ";"), 256).alias("digest"))
+    told = _join_all(told, [medians(joined.where("in_tail"), keys, "timed", "typical").drop("n")], keys)
     kind = first_of([(~F.col("has_failure"), 0), (F.col("observed") > 0, 1)], 2)
     rank = F.struct(F.col("trace_time"), kind.alias("kind"), (-F.least("observed", "verified_n", "latencies")).alias("floor"),
                     (-F.col("verified_n")).alias("v"), (-F.col("latencies")).alias("l"), (-F.col("observed")).alias("o"),
-                    F.coalesce("typical", F.lit(float("inf"))).alias("m"), F.col("trace_id").alias("t"))
+                    F.coalesce("typical", F.lit(float("inf"))).alias("m"), F.col("digest").alias("t"))
     told = told.withColumn("rank", rank)
     last = told.groupBy(*scope).agg(F.max(F.when(F.col("has_failure"), F.col("rank"))).alias("last_failed"), F.max("rank").alias("last"))
     placed = joined.join(told.select(*keys, "rank"), keys).join(last, scope)
     later = F.col("last_failed").isNull() | (F.col("rank") >= F.col("last_failed"))
-    return placed.where(F.col("in_tail") & later).drop("rank", "last_failed", "last", "has_failure", "failed_at", "failed_time", "legacy", "trace_time")
+    return placed.where(F.col("in_tail") & later).drop("rank", "last_failed", "last", "has_failure", "failed_at", "failed_time", "legacy", "trace_time", "timed")
 
 
 def tool_evidence(rows: DataFrame, scope: list[str], minimum: int = 2, verified_only: bool = True) -> DataFrame:
     """Per scope (which ends in the tool): samples, successes after the last failure, their median, and whether it may lead."""
-    tail = route_tail(rows, scope)
+    rows = cut(rows)
+    tail = cut(route_tail(rows, scope))
     counts = rows.groupBy(*scope).agg(F.count(F.lit(1)).alias("samples"))
     after = tail.groupBy(*scope).agg(F.count(F.lit(1)).alias("successes"), F.count_if("verified").alias("verified_successes"),
                                      F.count("latency_ms").alias("latencies"))
@@ -195,9 +206,8 @@ def tool_evidence(rows: DataFrame, scope: list[str], minimum: int = 2, verified_
 
 def tool_order(evidence: DataFrame, candidates: DataFrame, place: list[str]) -> DataFrame:
     """Tools of each place in order: eligible ones by median latency, the rest as registered. ``candidates(provider, position)``."""
-    from pyspark.sql import Window
     # A place has as many rows as there are tools, so this window is small.
-    rows = evidence.join(F.broadcast(candidates), "provider")
+    rows = evidence.join(candidates, "provider")
     order = Window.partitionBy(*place).orderBy(F.when(F.col("eligible"), 0).otherwise(1), F.when(F.col("eligible"), F.col("median_ms")), "position")
     return rows.withColumn("rank", F.row_number().over(order))
 
@@ -238,7 +248,6 @@ def smoothed_rate(wins: Column, tries: Column) -> Column:
 
 def evidence_order(stats: DataFrame, place: list[str], minimum: int, hopeless: int) -> DataFrame:
     """Tools proven for a place first (best smoothed rate), untried and middling ones as they stand, hopeless ones last."""
-    from pyspark.sql import Window
     rate = smoothed_rate(F.col("wins"), F.col("tries"))
     tier = first_of([((F.col("tries") >= minimum) & (rate >= 0.5), 0), ((F.col("wins") == 0) & (F.col("tries") >= hopeless), 2)], 1)
     rows = stats.withColumn("rate", rate).withColumn("tier", tier)
@@ -248,7 +257,6 @@ def evidence_order(stats: DataFrame, place: list[str], minimum: int, hopeless: i
 
 def cost_order(stats: DataFrame, place: list[str]) -> DataFrame:
     """Paid tools by cost over the chance of success; those of unknown cost follow by that chance."""
-    from pyspark.sql import Window
     rate = smoothed_rate(F.col("wins"), F.col("tries"))
     order = Window.partitionBy(*place).orderBy(F.col("cost_usd").isNull(), F.coalesce(F.col("cost_usd") / rate, -rate), "position")
     return stats.withColumn("rank", F.row_number().over(order))
@@ -266,19 +274,20 @@ def splice_paid(order: DataFrame, place: list[str], after: int) -> DataFrame:
 
 # ---- as-of rules --------------------------------------------------------------------------------
 def cached_asof(requests: DataFrame, observations: DataFrame, ttl_seconds: int) -> DataFrame:
-    """For each request the latest observation of its key no older than the TTL. Both sides meet per key and TTL-sized time slot,
-    so a key with very many rows is spread over its slots."""
+    """For each request the latest observation of its key no older than the TTL. A key is cut into TTL-sized time slots: within one, a
+    running maximum over requests and observations in order of time; from the slot before, only its latest observation counts."""
     def slot(at):
         return F.floor(F.unix_timestamp(at) / ttl_seconds)
 
-    seen = observations.select("key", F.col("observed_at").alias("seen_at"), slot(F.col("observed_at")).alias("slot"))
-    # A slot needs only its latest row before the request, or the latest of the slot before.
-    asked = requests.select("request_id", "key", "requested_at", F.explode(F.array(
-        slot(F.col("requested_at")), slot(F.col("requested_at")) - 1)).alias("slot"))
-    fresh = asked.join(seen, ["key", "slot"]).where((F.col("seen_at") <= F.col("requested_at")) & (
-        F.unix_timestamp("requested_at") - F.unix_timestamp("seen_at") <= ttl_seconds))
-    best = fresh.groupBy("request_id").agg(F.max("seen_at").alias("cached_at"))
-    return requests.join(best, "request_id", "left")
+    seen = observations.select("key", F.col("observed_at").alias("at"), F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"), F.col("observed_at").alias("seen_at"))
+    asked = requests.select("key", F.col("requested_at").alias("at"), "request_id", F.lit(None).cast(observations.schema["observed_at"].dataType).alias("seen_at"))
+    # At the same moment an observation comes first.
+    running = Window.partitionBy("key", "slot").orderBy("at", F.col("request_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = seen.unionByName(asked).withColumn("slot", slot(F.col("at"))).withColumn("within", F.max("seen_at").over(running))
+    last = observations.groupBy("key", (slot(F.col("observed_at")) + 1).alias("slot")).agg(F.max("observed_at").alias("earlier"))
+    found = both.where(F.col("request_id").isNotNull()).join(last, ["key", "slot"], "left").withColumn("cached_at", F.coalesce("within", "earlier"))
+    fresh = found.where(F.unix_timestamp("at") - F.unix_timestamp("cached_at") <= ttl_seconds).select("request_id", "cached_at")
+    return requests.join(fresh, "request_id", "left")
 
 
 def origin_hints(attempts: DataFrame, ttl_seconds: int = 86_400) -> DataFrame:
@@ -302,7 +311,6 @@ def spacing_audit(reads: DataFrame, gap_seconds: float = 2.0, cool_seconds: floa
     Rows meet per origin and cool-down-sized slot (their own and the one before), so a busy origin spreads over time.
     ``reads(read_id, domain, at, blocked)``.
     """
-    from pyspark.sql import Window
     base = reads.withColumn("seconds", F.col("at").cast("timestamp").cast("double"))
     slot = F.floor(F.col("seconds") / cool_seconds)
     # Each row also visits the next slot as history, where it is never judged.
@@ -334,7 +342,6 @@ def untried(candidates: DataFrame, attempts: DataFrame, retries: DataFrame) -> D
 
     Chains are followed by doubling: each round joins every trace to the ancestor its ancestor found.
     """
-    from pagegrain.session import cut
     links = retries.where(F.col("retry_of").isNotNull()).select("trace_id", F.col("retry_of").alias("ancestor"))
     reach = links
     while True:

@@ -13,7 +13,7 @@ from pagegrain.functions import fixed, urls
 from pagegrain.functions.columns import c, each, find, find_all, squeeze, unescape
 
 ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)')[^>]*>(.*?)</a\s*>"""
-MD_ANCHOR = r"\[([^\]]{0,300})\]\((https?://[^)\s#]+|/[^)\s#]*)"
+MD_ANCHOR = r"\[([^\]]*)\]\((https?://[^)\s#]+|/[^)\s#]*)"
 _ALT = r"""(?is)<img\b[^>]*?\balt\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 _LABELS = r"""(?i)\b(?:title|aria-label|alt)\s*=\s*["']([^"']*)["']"""
 

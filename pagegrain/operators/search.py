@@ -5,7 +5,7 @@ What a query asks for is worked out once on the queries table; hits join it on `
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagegrain.functions import fixed, texts, urls
@@ -193,8 +193,7 @@ def check_results(hits: DataFrame, queries: DataFrame, now: Column, extra: dict[
 def _canonical_score() -> Column:
     """How much a result is the thing named: its repository (more for the owner and its stars), or its domain."""
     parts = each(urls.segments(urls.path("url")), lambda part: F.replace(F.lower(part), F.lit("-"), F.lit("")))
-    forge = F.array_join(F.slice(F.reverse(F.split(urls.no_www(F.col("host")), r"\.")), 1, 2), ".").isin(
-        [".".join(reversed(name.split("."))) for name in fixed.FORGE_HOSTS])
+    forge = F.substring_index(urls.no_www(F.col("host")), ".", -2).isin(fixed.FORGE_HOSTS)
     owner, repo = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))
     owned = F.coalesce(F.array_contains("names", owner), F.lit(False))
     named = F.coalesce(F.array_contains("names", repo), F.lit(False))
@@ -295,16 +294,17 @@ def filter_options(hits: DataFrame, now: Column, excluded: list[str], site: str
 
 
 # ---- order and fusion -----------------------------------------------------------------------------
-def accepted(verdicts: DataFrame) -> DataFrame:
+def accepted(verdicts: DataFrame, order: tuple[str, ...] = ("pos",)) -> DataFrame:
     """Passing results in order: dated in the window first, then relevance with the source prior, then the source's own order.
 
-    ``verdicts(query_id, passed, in_window, windowed, relevance, prior, pos)``. A chunk is one tier and score, cut by position.
+    ``verdicts(query_id, passed, in_window, windowed, relevance, prior, pos)``; ``order`` names the columns that order equal scores. A chunk is
+    one tier and score, cut by position.
     """
     tier = F.when(F.col("windowed") & ~F.coalesce("in_window", F.lit(False)), 1).otherwise(0)
     score = F.round(F.col("relevance") + fixed.PRIOR_WEIGHT * F.coalesce("prior", F.lit(0.0)), 6)
     rows = verdicts.where("passed").withColumn("tier", tier).withColumn("score", score)
     chunk = F.struct(F.col("tier"), (-F.col("score")).alias("score"), F.floor(F.col("pos") / 100_000).alias("block"))
-    return rank_in_group(rows, ["query_id"], [F.col("pos")], chunk, "rank")
+    return rank_in_group(rows, ["query_id"], [F.col(name) for name in order], chunk, "rank")
 
 
 def fuse(hits: DataFrame, key: Column, k: int = 60) -> DataFrame:
@@ -319,10 +319,12 @@ def fuse(hits: DataFrame, key: Column, k: int = 60) -> DataFrame:
 
 
 def merge(fused: DataFrame, extra_order: list[tuple[str, Column]] | None = None) -> DataFrame:
-    """Fused pages in order: any leading keys (tier, relevance), the fusion score at five decimals, first appearance."""
+    """Fused pages in order: any leading keys (tier, relevance), the fusion score, first appearance; the score is shown at five decimals.
+
+    Twelve decimals order the scores: beyond them a sum depends on the order of its terms."""
     rows = fused.withColumn("score", F.round("fusion", 5))
     lead = [column.alias(name) for name, column in (extra_order or [])]
-    chunk = F.struct(*lead, (-F.col("score")).alias("s"), F.col("first.source_pos").alias("p"), F.floor(F.col("first.rank") / 100_000).alias("b"))
+    chunk = F.struct(*lead, (-F.round("fusion", 12)).alias("s"), F.col("first.source_pos").alias("p"), F.floor(F.col("first.rank") / 100_000).alias("b"))
     return rank_in_group(rows, ["query_id"], [F.col("first"), F.col("page_key")], chunk, "place")
 
 
@@ -340,7 +342,6 @@ def anchored_answers(anchor: DataFrame, others: DataFrame, limit: int) -> DataFr
     result the anchor lacks takes the first hole, else the last slot. A query has at most ``limit`` slots and only the first
     ``2 * limit`` fills can matter, so every window here is that small.
     """
-    from pyspark.sql import Window
     slots = anchor.where(F.col("slot") <= limit)
     kept = slots.where(~F.col("failed"))
     fills = others.join(kept.select("query_id", "key").distinct(), ["query_id", "key"], "left_anti")
@@ -362,7 +363,8 @@ def anchored_answers(anchor: DataFrame, others: DataFrame, limit: int) -> DataFr
     every = every.withColumn("hole", F.sum(F.col("open").cast("int")).over(holes))
     joined = every.join(fills.select("query_id", F.col("turn").alias("hole"), F.col("url").alias("fill_url")), ["query_id", "hole"], "left")
     out = joined.withColumn("url", F.when(F.col("open"), F.col("fill_url")).otherwise(F.col("kept_url"))).where(F.col("url").isNotNull())
-    return out.select("query_id", "slot", "url", F.col("open").alias("filled"))
+    # Holes that nothing fills close up.
+    return out.select("query_id", F.row_number().over(holes).alias("slot"), "url", F.col("open").alias("filled"))
 
 
 def demote(rows: DataFrame, last: Column, chunk: Column, order: list[Column]) -> DataFrame:
@@ -386,7 +388,6 @@ def reference_rank(rows: DataFrame) -> DataFrame:
 
 def date_targets(rows: DataFrame, limit: int, budget: int) -> DataFrame:
     """Undated results that would be in the top, at most ``budget`` per query. ``rows(query_id, rank, in_window)``."""
-    from pyspark.sql import Window
     order = Window.partitionBy("query_id").orderBy("rank", "url")
     return rows.where((F.col("rank") <= limit) & F.col("in_window").isNull()).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= budget)
 

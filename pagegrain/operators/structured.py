@@ -1,20 +1,20 @@
 """Structured data of pages: JSON-LD and embedded JSON nodes, meta tags, schema filling, list scoring, spec extraction.
 
-JSON stays in the JVM as VARIANT. Walking a tree is a fixed number of projections, each expanding one level.
+JSON stays in the JVM as VARIANT. A tree is walked one level at a time, until no level is left.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagegrain.functions import fixed, texts, urls
 from pagegrain.functions.columns import blank_to_null, c, each, find, find_all, first_of, unescape, words_in
 from pagegrain.operators.links import attribute
+from pagegrain.session import cut
 
 _LD = r"""(?is)<script\b[^>]*\btype\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script\s*>"""
 _EMBEDDED = r"""(?is)<script\b[^>]*\btype\s*=\s*["']application/json["'][^>]*>(.*?)</script\s*>"""
-_NODE = "array<struct<ord:string,v:variant>>"
 
 
 def items_of(value: Column) -> Column:
@@ -37,12 +37,25 @@ def as_text(value: Column) -> Column:
 
 
 # ---- node tables ------------------------------------------------------------------
+def _levels(nodes: DataFrame, expand) -> DataFrame:
+    """All nodes of some trees, level by level until no child is left; each level is written once at a checkpoint. ``expand(node)`` is an array of structs."""
+    levels = [cut(nodes)]
+    while True:
+        below = levels[-1].select(*[name for name in nodes.columns if name != "node"], F.explode(expand(F.col("node"))).alias("node"))
+        level = cut(below)
+        if level.isEmpty():
+            break
+        levels.append(level)
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out
+
+
 def jsonld_nodes(pages: DataFrame) -> DataFrame:
     """Every JSON-LD object of a page, outermost first, lists and graphs unrolled: page_id, ord, node, types."""
-    df = pages.select("page_id", find_all(F.col("html"), _LD, 1).alias("bodies"))
-    start = F.filter(F.transform("bodies", lambda body, at: F.struct(
-        F.lpad(at.cast("string"), 4, "0").alias("ord"), F.try_parse_json(body).alias("v"))), lambda node: node["v"].isNotNull())
-    df = df.select("page_id", start.cast(_NODE).alias("l0"))
+    bodies = pages.select("page_id", F.posexplode(find_all(F.col("html"), _LD, 1)).alias("at", "body"))
+    start = bodies.select("page_id", F.struct(F.lpad(F.col("at").cast("string"), 4, "0").alias("ord"), F.try_parse_json("body").alias("v")).alias("node")).where("node.v IS NOT NULL")
 
     def expand(node):
         def child(at, value):
@@ -53,10 +66,7 @@ def jsonld_nodes(pages: DataFrame) -> DataFrame:
             ("@graph", "mainEntity", "itemListElement"))]), lambda item: item["v"].isNotNull())
         return F.concat(listed, keyed)
 
-    for level in range(6):
-        df = df.withColumn(f"l{level + 1}", F.flatten(F.transform(f"l{level}", expand)))
-    every = F.concat(*[F.col(f"l{level}") for level in range(7)])
-    rows = df.select("page_id", F.explode(every).alias("item")).select("page_id", "item.ord", F.col("item.v").alias("node"))
+    rows = _levels(start, expand).select("page_id", "node.ord", F.col("node.v").alias("node"))
     kinds = get(F.col("node"), "@type")
     types = F.coalesce(each(items_of(kinds), as_text), F.when(as_text(kinds).isNotNull(), F.array(as_text(kinds))),
                        F.array().cast("array<string>"))
@@ -69,19 +79,18 @@ def embedded_json(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "pos", F.try_parse_json("body").alias("value")).where(F.col("value").isNotNull())
 
 
-def walk(values: DataFrame, levels: int = 8, list_head: int | None = None) -> DataFrame:
-    """Every node under ``values(page_id, pos, value)``: page_id, pos, path, ord, v.
+def walk(values: DataFrame, list_head: int | None = None) -> DataFrame:
+    """Every node under ``values(page_id, pos, value)``, however deep: page_id, pos, path, ord, v.
 
     ``ord`` orders nodes the way a reader goes down the tree: an object's own scalars before what is nested in it.
     """
-    node = "array<struct<path:string,ord:string,v:variant>>"
-    df = values.withColumn("w0", F.array(F.struct(F.lit("").alias("path"), F.lit("").alias("ord"), F.col("value").alias("v"))).cast(node))
+    start = values.select("page_id", "pos", F.struct(F.lit("").alias("path"), F.lit("").alias("ord"), F.col("value").alias("v")).alias("node"))
 
     def expand(parent):
         def child(key, at, value):
             nested = (items_of(value).isNotNull() | fields_of(value).isNotNull()).cast("int").cast("string")
             return F.struct(F.when(parent["path"] == "", key).otherwise(F.concat(parent["path"], F.lit("."), key)).alias("path"),
-                            F.concat(parent["ord"], nested, F.lpad(at.cast("string"), 5, "0")).alias("ord"), value.alias("v"))
+                            F.concat(parent["ord"], nested, F.lpad(at.cast("string"), 9, "0")).alias("ord"), value.alias("v"))
 
         listed = F.coalesce(items_of(parent["v"]), F.array().cast("array<variant>"))
         if list_head is not None:
@@ -90,10 +99,7 @@ def walk(values: DataFrame, levels: int = 8, list_head: int | None = None) -> Da
         return F.concat(F.transform(listed, lambda v, at: child(at.cast("string"), at, v)),
                         F.transform(entries, lambda entry, at: child(entry["key"], at, entry["value"])))
 
-    for level in range(levels):
-        df = df.withColumn(f"w{level + 1}", F.flatten(F.transform(f"w{level}", expand)))
-    every = F.concat(*[F.col(f"w{level}") for level in range(levels + 1)])
-    return df.select("page_id", "pos", F.explode(every).alias("item")).select("page_id", "pos", "item.*")
+    return _levels(start, expand).select("page_id", "pos", "node.*")
 
 
 def meta_tags(pages: DataFrame) -> DataFrame:
@@ -255,7 +261,7 @@ def schema_gate(verdicts: DataFrame, report: DataFrame) -> DataFrame:
 
 def deep_scalars(values: DataFrame) -> DataFrame:
     """Every scalar under a key in embedded JSON: page_id, pos, ord, name (letters and digits of the key), raw."""
-    rows = walk(values, 8)
+    rows = walk(values)
     key = F.substring_index("path", ".", -1)
     return (rows.select("page_id", "pos", "ord", F.regexp_replace(F.lower(key), "[^a-z0-9]", "").alias("name"),
                         as_text(F.col("v")).alias("raw"), key.alias("key"))
@@ -310,8 +316,8 @@ def image_urls(pages: DataFrame) -> DataFrame:
         "page_id", "image", F.col("first.tier").alias("tier"), F.col("first.at").alias("pos"))
 
 
-def feed_links(pages: DataFrame, limit: int = 10) -> DataFrame:
-    """Feeds a page advertises, at most ``limit`` per page: page_id, pos, feed."""
+def feed_links(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Feeds a page advertises, the first ``limit`` per page if given: page_id, pos, feed."""
     rows = pages.select("page_id", "url", F.posexplode(find_all(F.col("html"), r"(?is)<link\b[^>]*>", 0)).alias("pos", "tag"))
     kind = F.trim(F.split_part(F.lower(attribute(F.col("tag"), "type")), F.lit(";"), F.lit(1)))
     plain = kind.isin([name for name in fixed.FEED_TYPES if name != "application/json"])
@@ -320,7 +326,8 @@ def feed_links(pages: DataFrame, limit: int = 10) -> DataFrame:
     rows = rows.select("page_id", "pos", urls.resolve("url", attribute(F.col("tag"), "href")).alias("feed")).where(
         F.col("feed").rlike("^https?://"))
     first = rows.groupBy("page_id", "feed").agg(F.min("pos").alias("pos"))
-    from pyspark.sql import Window
+    if limit is None:
+        return first
     order = Window.partitionBy("page_id").orderBy("pos")
     return first.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= limit).drop("rn")
 
@@ -328,7 +335,7 @@ def feed_links(pages: DataFrame, limit: int = 10) -> DataFrame:
 # ---- lists in JSON ----------------------------------------------------------------------------------
 def json_lists(values: DataFrame) -> DataFrame:
     """Every list of three or more objects in a page's JSON, with its path: page_id, pos, path, rows, objects."""
-    rows = walk(values, 8, list_head=5).withColumn("rows", items_of(F.col("v")))
+    rows = walk(values).withColumn("rows", items_of(F.col("v")))
     objects = F.filter("rows", lambda row: fields_of(row).isNotNull())
     return rows.where(F.col("rows").isNotNull()).withColumn("objects", objects).where(F.size("objects") >= 3).select(
         "page_id", "pos", "path", "rows", "objects")
@@ -336,7 +343,7 @@ def json_lists(values: DataFrame) -> DataFrame:
 
 def longest_list(values: DataFrame) -> DataFrame:
     """How much a payload looks like a feed: its longest list of objects."""
-    found = walk(values, 8, list_head=5).withColumn("rows", items_of(F.col("v"))).where(F.col("rows").isNotNull())
+    found = walk(values).withColumn("rows", items_of(F.col("v"))).where(F.col("rows").isNotNull())
     size = F.size(F.filter("rows", lambda row: fields_of(row).isNotNull()))
     return found.groupBy("page_id", "pos").agg(F.max(size).alias("rows"))
 
@@ -368,11 +375,11 @@ def _role_fits(role: str) -> Column:
 def score_lists(lists: DataFrame, pages: DataFrame, terms: Column | None = None) -> DataFrame:
     """How item-like each JSON list is: page_id, pos, path, fields found, rows, score; page furniture is left out."""
     sample = lists.select("page_id", "pos", "path", F.size("rows").alias("n_rows"), F.size("objects").alias("n_objects"),
-                          F.posexplode(F.slice("objects", 1, 30)).alias("at", "row")).where(F.col("n_objects") >= 0.8 * F.col("n_rows"))
+                          F.posexplode("objects").alias("at", "row")).where(F.col("n_objects") >= 0.8 * F.col("n_rows"))
     keys = sample.groupBy("page_id", "pos", "path", "n_objects").agg(
         F.count(F.lit(1)).alias("sampled"), F.avg(F.size(fields_of(F.col("row")))).alias("keys"))
     packed = sample.select("page_id", F.struct("pos", "path", "at").alias("pos"), F.col("row").alias("value"))
-    leaves = walk(packed, 4).select("page_id", "pos.pos", "pos.path", "pos.at", F.col("path").alias("leaf"), as_text(F.col("v")).alias("value"),
+    leaves = walk(packed).select("page_id", "pos.pos", "pos.path", "pos.at", F.col("path").alias("leaf"), as_text(F.col("v")).alias("value"),
                                     F.try_variant_get("v", "$", "double").isNotNull().alias("numeric"))
     leaves = leaves.where(F.col("value").isNotNull() & (F.col("leaf") != ""))
     ranked = [F.struct(F.lit(role).alias("role"), F.when(_role_fits(role), _role_priority(role)).alias("rank")) for role in fixed.LIST_ROLES]
@@ -394,7 +401,7 @@ def score_lists(lists: DataFrame, pages: DataFrame, terms: Column | None = None)
                               & ((F.col("n_fields") >= 2) | F.col("path").endswith("itemListElement"))
                               & (F.col("names").isNull() | (F.col("names") >= 0.7 * F.col("sampled")))
                               & ~F.exists(tail, lambda part: part.rlike(fixed.CHROME_KEY)))
-    return good.select("page_id", "pos", "path", "fields", "n_objects", (F.col("weight") * rich * F.least("n_objects", F.lit(60))).alias("score"))
+    return good.select("page_id", "pos", "path", "fields", "n_objects", (F.col("weight") * rich * F.col("n_objects")).alias("score"))
 
 
 def best_list(scored: DataFrame) -> DataFrame:
@@ -430,7 +437,7 @@ def extract_items(spec: dict, pages: DataFrame) -> DataFrame:
         rows = rows.groupBy("page_id").agg(F.min_by("found", "pos").alias("found"))
     listed = F.coalesce(items_of(F.col("found")), F.when(fields_of(F.col("found")).isNotNull(), F.array("found")))
     rows = rows.withColumn("rows", listed).where(F.col("rows").isNotNull()).join(pages.select("page_id", F.col("url").alias("base")), "page_id")
-    items = rows.select("page_id", "base", F.size("rows").alias("total"), F.posexplode(F.slice("rows", 1, spec.get("limit", 200))).alias("pos", "row"))
+    items = rows.select("page_id", "base", F.size("rows").alias("total"), F.posexplode(F.slice("rows", 1, spec["limit"]) if "limit" in spec else "rows").alias("pos", "row"))
     fields = [_spec_value(_spec_path(F.col("row"), rule["path"]), rule["type"], F.col("base")).alias(name)
               for name, rule in spec["fields"].items()]
     out = items.select("page_id", "pos", "total", *fields)

@@ -156,14 +156,17 @@ def a21(t):
     return bench.side_comparison(_sides(t)).withColumn("median_s", F.round("median_s", 5)).withColumn("p90_s", F.round("p90_s", 5))
 
 
-@query("a22_grade_crosstab", f"""{BENCH} SELECT kind, cast(count(*) FILTER (wall = 'shop') AS bigint) AS shop, cast(count(*) FILTER (wall = 'news') AS bigint) AS news,
+_WALLS = ["shop", "news", "jobs", "docs"]
+
+
+@query("a22_grade_crosstab", f"""{BENCH} SELECT kind, {', '.join(f"cast(count(*) FILTER (wall = '{wall}') AS bigint) AS {wall}" for wall in _WALLS)},
   cast(count(*) FILTER (NOT valid AND text_chars >= 600) AS bigint) AS poor_but_present, cast(count(*) FILTER (valid AND text_chars < 600) AS bigint) AS good_but_none FROM bench_rows GROUP BY kind""")
 def a22(t):
     rows = _rows(t)
-    table = rows.groupBy("kind").pivot("wall", ["shop", "news"]).count()
+    table = rows.groupBy("kind").pivot("wall", _WALLS).count()
     marks = rows.groupBy("kind").agg(F.count_if(~F.col("valid") & (F.col("text_chars") >= 600)).alias("poor_but_present"),
                                      F.count_if(F.col("valid") & (F.col("text_chars") < 600)).alias("good_but_none"))
-    return table.na.fill(0, ["shop", "news"]).join(marks, "kind")
+    return table.na.fill(0, _WALLS).join(marks, "kind")
 
 
 @query("a23_mean_judge_score", """SELECT event_type AS arm, round(avg(cast(json_extract(props, '$.k') AS double)), 4) AS mean FROM events GROUP BY event_type""")

@@ -86,9 +86,9 @@ def s8(t):
 @query("e1_site_map", f"""{SITE}, e AS (SELECT dst AS url, 'page' AS source, 2 AS sp, row_number() OVER (ORDER BY src, dst) AS pos FROM site_links UNION ALL SELECT 'https://www.site.example.com/n/' || n_nationkey, 'sitemap', 1, n_nationkey FROM nation),
 k AS (SELECT url AS key, min((sp, source)) AS f FROM e WHERE NOT {duck.like(duck.path('url'), fixed.NOT_PAGES)} GROUP BY 1) SELECT key AS url, f[2] AS source FROM k""".replace("f[2]", "struct_extract(f, 2)"))
 def e1(t):
-    listed = t.site_links.select(F.col("dst").alias("url"), F.lit("page").alias("source"), F.lit(2).alias("source_pos"), (F.xxhash64("src", "dst") % 1_000_000).alias("pos"))
+    listed = t.site_links.select(F.col("dst").alias("url"), F.lit("page").alias("source"), F.lit(2).alias("source_pos"), F.xxhash64("src", "dst").alias("pos"))
     maps = t.nation.select(F.concat(F.lit(START + "n/"), F.col("n_nationkey").cast("string")).alias("url"), F.lit("sitemap").alias("source"), F.lit(1).alias("source_pos"), F.col("n_nationkey").cast("bigint").alias("pos"))
-    return graph.site_map(maps.unionByName(listed), "site.example.com", limit=1_000_000_000).select("url", "source")
+    return graph.site_map(maps.unionByName(listed), "site.example.com", chunk=1 << 50).select("url", "source")
 
 
 @query("e2_except_seen", """SELECT user_id, k FROM (SELECT user_id, event_id % 97 AS k FROM events WHERE ts >= timestamp '2024-01-15') EXCEPT SELECT user_id, event_id % 97 FROM events WHERE ts < timestamp '2024-01-15'""")
@@ -134,13 +134,13 @@ def e5(t):
 def e6(t):
     children = payloads.sitemap_children(_sitemaps(t).select("sitemap", F.col("index").alias("body")))
     roots = t.part.where(F.col("p_partkey") == 0).select(F.lit("s0").alias("sitemap"))
-    return graph.sitemap_walk(children, roots, max_rounds=60)
+    return graph.sitemap_walk(children, roots)
 
 
 @query("o8_child_sitemaps", """WITH c AS (SELECT p_size AS sitemap, CASE p_partkey % 3 WHEN 0 THEN 'news-' WHEN 1 THEN 'map-' ELSE 'posts-' END || (2000 + p_partkey % 25) || '-' || p_partkey AS child, CASE WHEN p_partkey % 2 = 0 THEN '2024-01-' || lpad(cast(1 + p_partkey % 28 AS varchar), 2, '0') END AS published FROM part),
 r AS (SELECT *, row_number() OVER (PARTITION BY sitemap ORDER BY regexp_matches(child, 'news|post|article|blog|latest|recent') DESC, coalesce(published, '') DESC,
   list_max(list_transform(regexp_extract_all(child, '20[0-9][0-9][-_/]?(?:[0-9][0-9])?'), lambda x: regexp_replace(x, '[-_/]', '', 'g'))) DESC, child) AS rank FROM c)
-SELECT sitemap, child, cast(rank AS integer) AS rank FROM r WHERE rank <= 3""")
+SELECT sitemap, child, cast(rank AS integer) AS rank FROM r""")
 def o8(t):
     at, key = F.col("p_partkey") % 3, F.col("p_partkey")
     child = F.concat(F.when(at == 0, "news-").when(at == 1, "map-").otherwise("posts-"), (key % 25 + 2000).cast("string"), F.lit("-"), key.cast("string"))
@@ -155,10 +155,18 @@ def o9(t):
 
 
 @query("o14_newest_entries", """WITH r AS (SELECT user_id AS site, event_id AS url, CASE WHEN event_type <> 'view' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS published FROM events),
-n AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY published DESC NULLS LAST, url) AS rank FROM r) SELECT site, url, cast(rank AS integer) AS rank FROM n WHERE rank <= 50""")
+n AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY published DESC NULLS LAST, url) AS rank FROM r) SELECT site, url, cast(rank AS integer) AS rank FROM n""")
 def o14(t):
-    rows = t.events.select(F.col("user_id").alias("site"), F.col("event_id").alias("url"), F.when(F.col("event_type") != "view", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("published"))
-    return graph.newest_entries(rows)[0].select("site", "url", "rank")
+    return graph.newest_entries(_entries(t))[0].select("site", "url", "rank")
+
+
+@query("o14_entry_overflow", """SELECT user_id AS site, count(*) AS entries, greatest(count(*) - 50, 0) AS more FROM events GROUP BY 1""")
+def o14_overflow(t):
+    return graph.newest_entries(_entries(t), cap=50)[1]
+
+
+def _entries(t):
+    return t.events.select(F.col("user_id").alias("site"), F.col("event_id").alias("url"), F.when(F.col("event_type") != "view", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("published"))
 
 
 @query("w4_listing_ledger", """WITH c AS (SELECT l_suppkey AS chain_id, l_linenumber AS page_number, l_partkey, count(*) AS copies FROM lineitem GROUP BY ALL), f AS (SELECT *, min(page_number) OVER (PARTITION BY chain_id, l_partkey) AS fp FROM c),
@@ -226,17 +234,18 @@ def r4(t):
     return found.select("user_id", "event_id", "change")
 
 
-@query("r4_change_stream", """SELECT user_id, 'new' AS change FROM events GROUP BY user_id""")
+@query("r4_change_stream", """SELECT user_id, event_id, CASE WHEN lag(event_type) OVER w IS NULL THEN 'new' WHEN lag(event_type) OVER w = event_type THEN 'same' ELSE 'changed' END AS change
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
 def r4_stream(t):
-    return watch.change_watch(_stream(t, "events"), ["user_id"], F.col("event_type"), "ts").select("user_id", "change")
+    return watch.change_watch(_stream(t, "events"), ["user_id"], F.col("event_type"), "event_id", F.floor(F.col("event_id") / 100_000)).select("user_id", "event_id", "change")
 
 
-@query("r5_duplicate_content", """WITH d AS (SELECT doc_id, source, sha256(lower(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 3000))) AS fp FROM documents) SELECT doc_id, doc_id > min(doc_id) OVER (PARTITION BY source, fp) AS duplicate FROM d""")
+@query("r5_duplicate_content", """WITH d AS (SELECT doc_id, source, sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS fp FROM documents) SELECT doc_id, doc_id > min(doc_id) OVER (PARTITION BY source, fp) AS duplicate FROM d""")
 def r5(t):
     return graph.duplicate_content(t.documents, texts.fingerprint(F.col("text")), ["source"], "doc_id").select("doc_id", "duplicate")
 
 
-@query("r6_on_time", """SELECT event_id FROM events WHERE ts <= timestamp '2024-01-20'""")
+@query("r6_on_time", """SELECT event_id FROM events WHERE ts <= timestamp '2024-01-20' AND ts >= timestamp '2023-12-21'""")
 def r6(t):
     rows = _stream(t, "events").select("event_id", F.col("ts").cast("timestamp").alias("at"))
     return watch.drain(watch.on_time(rows, "at", "30 days", F.lit("2024-01-20").cast("timestamp")), "on-time").select("event_id")

@@ -83,10 +83,12 @@ def a14(t):
 
 _TAIL = f"""{_VERIFIED}, mk AS (SELECT domain, provider, trace_id, max(observed_at) AS tt, bool_or(attempt_ordinal IS NULL) AS leg, bool_or(outcome = 'failed') AS hf,
   max(attempt_ordinal) FILTER (outcome = 'failed') AS fa, max(observed_at) FILTER (outcome = 'failed') AS ft FROM done GROUP BY 1, 2, 3),
-tl AS (SELECT d.*, tt, hf, outcome <> 'failed' AND (NOT hf OR coalesce(CASE WHEN leg THEN observed_at > ft ELSE attempt_ordinal > fa END, false)) AS in_tail
+tl AS (SELECT d.*, tt, hf, outcome <> 'failed' AND (NOT hf OR coalesce(CASE WHEN leg THEN observed_at > ft ELSE attempt_ordinal > fa END, false)) AS in_tail,
+  concat_ws('|', coalesce(lpad(attempt_ordinal::varchar, 9, '0'), ''), outcome, verified::varchar, coalesce(CASE WHEN latency_ms >= 0 AND latency_ms < 'inf'::double THEN round(latency_ms * 1000)::bigint::varchar END, '')) AS line
   FROM done d JOIN mk USING (domain, provider, trace_id)),
-tr AS (SELECT domain, provider, trace_id, tt, hf, count(*) FILTER (in_tail) AS o, count(*) FILTER (in_tail AND verified) AS v, avg(latency_ms) FILTER (in_tail) AS m FROM tl GROUP BY 1, 2, 3, 4, 5),
-rk AS (SELECT *, row_number() OVER (PARTITION BY domain, provider ORDER BY tt, CASE WHEN NOT hf THEN 0 WHEN o > 0 THEN 1 ELSE 2 END, -least(o, v), -v, -o, coalesce(m, 1e300), trace_id) AS place FROM tr),
+tr AS (SELECT domain, provider, trace_id, tt, hf, count(*) FILTER (in_tail) AS o, count(*) FILTER (in_tail AND verified) AS v, median(latency_ms) FILTER (in_tail AND latency_ms >= 0 AND latency_ms < 'inf'::double) AS m,
+  count(latency_ms) FILTER (in_tail AND latency_ms >= 0 AND latency_ms < 'inf'::double) AS l, sha256(string_agg(line, ';' ORDER BY line)) AS digest FROM tl GROUP BY 1, 2, 3, 4, 5),
+rk AS (SELECT *, rank() OVER (PARTITION BY domain, provider ORDER BY tt, CASE WHEN NOT hf THEN 0 WHEN o > 0 THEN 1 ELSE 2 END, -least(o, v, l), -v, -l, -o, coalesce(m, 1e300), digest) AS place FROM tr),
 lf AS (SELECT domain, provider, coalesce(max(place) FILTER (hf), 0) AS lastf FROM rk GROUP BY 1, 2),
 tail AS (SELECT tl.* FROM tl JOIN rk USING (domain, provider, trace_id) JOIN lf USING (domain, provider) WHERE in_tail AND place >= lastf)"""
 

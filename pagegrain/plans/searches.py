@@ -149,23 +149,21 @@ def _rel():
     return F.when(F.col("title").contains("ring"), 4.0).when(F.col("title").contains("red"), 2.0).otherwise(0.5)
 
 
-@query("o2_accepted_order", f"""{HITS}, k AS (SELECT *, ({_POS}) * 100000 + item_id AS pos, query_id % 2 = 0 AND NOT coalesce(published >= timestamp '1997-01-01', false) AS late,
-  {_REL} + 4 * CASE source WHEN 'searxng' THEN 0.75 WHEN 'wikipedia' THEN 0.6 ELSE 0.5 END AS score FROM hits WHERE NOT contains(title, 'moment')),
-u AS (SELECT query_id, pos, any_value(late) AS late, any_value(score) AS score FROM k GROUP BY query_id, pos HAVING count(*) = 1)
-SELECT query_id, pos, cast(row_number() OVER (PARTITION BY query_id ORDER BY late, -score, pos) AS bigint) AS rank FROM u""")
+@query("o2_accepted_order", f"""{HITS}, u AS (SELECT *, ({_POS}) * 100000 + item_id AS pos, query_id % 2 = 0 AND NOT coalesce(published >= timestamp '1997-01-01', false) AS late,
+  {_REL} + 4 * CASE source WHEN 'searxng' THEN 0.75 WHEN 'wikipedia' THEN 0.6 ELSE 0.5 END AS score FROM hits WHERE NOT contains(title, 'moment'))
+SELECT query_id, pos, url, cast(row_number() OVER (PARTITION BY query_id ORDER BY late, -score, pos, url) AS bigint) AS rank FROM u""")
 def o2(t):
-    rows = t.hits.where(~F.col("title").contains("moment")).withColumn("pos", (F.col("source_pos") * 1000 + F.col("rank")) * 100_000 + F.col("item_id"))
+    rows = t.hits.withColumn("pos", (F.col("source_pos") * 1000 + F.col("rank")) * 100_000 + F.col("item_id"))
     prior = F.when(F.col("source") == "searxng", 0.75).when(F.col("source") == "wikipedia", 0.6).otherwise(0.5)
-    rows = rows.select("query_id", "pos", F.lit(True).alias("passed"), (F.col("query_id") % 2 == 0).alias("windowed"), _rel().alias("relevance"), prior.alias("prior"),
+    rows = rows.select("query_id", "pos", "url", (~F.col("title").contains("moment")).alias("passed"), (F.col("query_id") % 2 == 0).alias("windowed"), _rel().alias("relevance"), prior.alias("prior"),
                        F.when(F.col("published").isNotNull(), F.col("published") >= F.lit("1997-01-01").cast("timestamp_ntz")).alias("in_window"))
-    single = rows.groupBy("query_id", "pos").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 1)
-    return search.accepted(rows.join(single, ["query_id", "pos"], "left_semi")).select("query_id", "pos", "rank")
+    return search.accepted(rows, ("pos", "url")).select("query_id", "pos", "url", "rank")
 
 
 def _rrf(key: str) -> str:
     return f"""{HITS}, k AS (SELECT *, {key} AS page_key FROM hits),
-f AS (SELECT query_id, page_key, round(sum(1.0::double / (60 + rank)), 5) AS score, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, min((source_pos, rank, url)) AS first FROM k GROUP BY 1, 2)
-SELECT query_id, page_key, score, sources, cast(row_number() OVER (PARTITION BY query_id ORDER BY -score, first, page_key) AS bigint) AS place FROM f"""
+f AS (SELECT query_id, page_key, sum(1.0::double / (60 + rank)) AS fusion, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, min((source_pos, rank, url)) AS first FROM k GROUP BY 1, 2)
+SELECT query_id, page_key, round(fusion, 5) AS score, sources, cast(row_number() OVER (PARTITION BY query_id ORDER BY -round(fusion, 12), first, page_key) AS bigint) AS place FROM f"""
 
 
 @query("o3_rank_fusion", _rrf(_CANON))
@@ -188,11 +186,11 @@ def o5(t):
     return search.anchored_answers(anchor, others, 5)
 
 
-@query("o6_demotions", f"""{HITS}, u AS (SELECT query_id, ({_POS}) * 100000 + item_id AS pos, bool_or(source = 'wikipedia') AS last FROM hits GROUP BY 1, 2)
-SELECT query_id, pos, cast(row_number() OVER (PARTITION BY query_id ORDER BY last, pos) AS bigint) AS place FROM u""")
+@query("o6_demotions", f"""{HITS}, u AS (SELECT query_id, url, ({_POS}) * 100000 + item_id AS pos, source = 'wikipedia' AS last FROM hits)
+SELECT query_id, pos, url, cast(row_number() OVER (PARTITION BY query_id ORDER BY last, pos, url) AS bigint) AS place FROM u""")
 def o6(t):
-    rows = t.hits.groupBy("query_id", ((F.col("source_pos") * 1000 + F.col("rank")) * 100_000 + F.col("item_id")).alias("pos")).agg(F.max(F.col("source") == "wikipedia").alias("last"))
-    return search.demote(rows, F.col("last"), F.floor(F.col("pos") / 10_000_000_000), [F.col("pos")]).select("query_id", "pos", "place")
+    rows = t.hits.select("query_id", "url", ((F.col("source_pos") * 1000 + F.col("rank")) * 100_000 + F.col("item_id")).alias("pos"), (F.col("source") == "wikipedia").alias("last"))
+    return search.demote(rows, F.col("last"), F.floor(F.col("pos") / 10_000_000_000), [F.col("pos"), F.col("url")]).select("query_id", "pos", "url", "place")
 
 
 @query("o7_reference_rank", """WITH r AS (SELECT p_size AS query_id, p_partkey AS pos, CASE p_partkey % 4 WHEN 0 THEN 'The ' || p_name WHEN 1 THEN p_name || ' (film)' WHEN 2 THEN p_name || ' works' ELSE 'Other' END AS title, 'red ring' AS topic FROM part),

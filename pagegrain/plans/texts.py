@@ -181,7 +181,7 @@ def t19(t):
     return t.pages.select("page_id", texts.story_key(title).alias("story"))
 
 
-@query("t20_fingerprint", r"""SELECT doc_id, sha256(lower(left(trim(regexp_replace(text, '\s+', ' ', 'g')), 3000))) AS fingerprint
+@query("t20_fingerprint", r"""SELECT doc_id, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS fingerprint
 FROM documents""")
 def t20(t):
     return t.documents.select("doc_id", texts.fingerprint(F.col("text")).alias("fingerprint"))

@@ -6,6 +6,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+# How many partitions wide tables are dealt out to when they are read; unset: as they are scanned.
+SPREAD = "spark.pagegrain.spread"
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -21,6 +24,7 @@ def local_session(name: str = "pagegrain", cores: str = "8", **extra: str) -> Sp
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(name)
                .config("spark.ui.enabled", "false")
                .config("spark.sql.shuffle.partitions", "8")
+               .config(SPREAD, cores)
                .config("spark.driver.memory", "12g"))
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)

@@ -34,7 +34,7 @@ _JSON_FEED = ("items array<struct<url:string,external_url:string,title:string,da
               "content_text:string,content_html:string>>")
 
 
-def feed_entries(bodies: DataFrame, limit: int = 2000) -> DataFrame:
+def feed_entries(bodies: DataFrame, limit: int | None = None) -> DataFrame:
     """Entries of RSS, RDF, Atom and JSON feeds ``bodies(feed, body)``: feed, pos, url, title, published, summary."""
     text = F.regexp_replace("body", r"^[﻿ \t\r\n]+", "")
     rows = bodies.withColumn("body", text)
@@ -43,8 +43,8 @@ def feed_entries(bodies: DataFrame, limit: int = 2000) -> DataFrame:
 
     def shaped(entries, url, title, published, summary):
         out = entries.select("feed", "pos", url.alias("url"), F.trim(F.coalesce(title, F.lit(""))).alias("title"), _iso(published).alias("published"),
-                             F.substring(_plain(summary), 1, 500).alias("summary"))
-        return out.where(F.col("pos") < limit)
+                             _plain(summary).alias("summary"))
+        return out if limit is None else out.where(F.col("pos") < limit)
 
     rss = rows.where(F.col("kind") == "rss").withColumn("x", F.from_xml("body", _RSS, _XML)).select(
         "feed", F.posexplode(F.coalesce("x.channel.item", "x.item")).alias("pos", "e"))
@@ -63,10 +63,11 @@ _URLSET = "url array<struct<loc:string,lastmod:string,news:struct<publication_da
 _INDEX = "sitemap array<struct<loc:string,lastmod:string>>"
 
 
-def sitemap_pages(bodies: DataFrame, limit: int = 50_000) -> DataFrame:
+def sitemap_pages(bodies: DataFrame, limit: int | None = None) -> DataFrame:
     """Pages of urlset sitemaps ``bodies(sitemap, body)``: sitemap, pos, url, title, published (a news date before lastmod)."""
     rows = bodies.where(F.col("body").contains("<urlset")).select("sitemap", F.posexplode(F.from_xml("body", _URLSET, _XML)["url"]).alias("pos", "e"))
-    return rows.where(F.col("pos") < limit).select("sitemap", "pos", F.trim("e.loc").alias("url"), F.trim(F.coalesce("e.news.title", F.lit(""))).alias("title"),
+    rows = rows if limit is None else rows.where(F.col("pos") < limit)
+    return rows.select("sitemap", "pos", F.trim("e.loc").alias("url"), F.trim(F.coalesce("e.news.title", F.lit(""))).alias("title"),
                                                    _iso(F.coalesce("e.news.publication_date", "e.lastmod")).alias("published"))
 
 
@@ -76,11 +77,13 @@ def sitemap_children(bodies: DataFrame) -> DataFrame:
     return rows.select("sitemap", "pos", F.trim("e.loc").alias("child"), _iso("e.lastmod").alias("published"))
 
 
-def robots_sitemaps(bodies: DataFrame, limit: int = 20) -> DataFrame:
-    """Sitemaps that robots files ``bodies(base, body)`` name, absolute and once each, the first ``limit`` per file: base, pos, sitemap."""
+def robots_sitemaps(bodies: DataFrame, limit: int | None = None) -> DataFrame:
+    """Sitemaps that robots files ``bodies(base, body)`` name, absolute and once each, the first ``limit`` per file if given: base, pos, sitemap."""
     rows = bodies.select("base", F.posexplode(F.split("body", r"\r?\n")).alias("pos", "line")).where(F.lower("line").startswith("sitemap:"))
     rows = rows.select("base", "pos", urls.resolve("base", F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1))).alias("sitemap"))
     first = rows.where(F.col("sitemap").rlike("^https?://")).groupBy("base", "sitemap").agg(F.min("pos").alias("pos"))
+    if limit is None:
+        return first
     order = Window.partitionBy("base").orderBy("pos")
     return first.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= limit).drop("rn")
 
@@ -129,7 +132,7 @@ def google_news_rss(p):
     rows = p.select("payload_id", "source", F.posexplode(F.from_xml("body", schema, _XML)["channel"]["item"]).alias("pos", "e"))
     tail = F.concat(F.lit(" - "), F.trim("e.source._VALUE"))
     title = F.when(F.endswith(F.col("e.title"), tail), F.substring(F.col("e.title"), F.lit(1), F.length("e.title") - F.length(tail))).otherwise(F.col("e.title"))
-    return _hits(rows, F.col("e.link"), title, F.substring(_plain(F.col("e.description")), 1, 300), "google_news", _iso("e.pubDate"))
+    return _hits(rows, F.col("e.link"), title, _plain(F.col("e.description")), "google_news", _iso("e.pubDate"))
 
 
 def wikipedia(p):
@@ -141,7 +144,7 @@ def wikipedia(p):
 def hacker_news(p):
     rows = _json(p, "hits", "struct<objectID:string,url:string,title:string,story_text:string,created_at:string>").where(F.col("e.objectID").isNotNull())
     talk = F.concat(F.lit("https://news.ycombinator.com/item?id="), "e.objectID")
-    return _hits(rows, F.coalesce("e.url", talk), F.col("e.title"), F.substring(_plain(F.col("e.story_text")), 1, 300), "hacker_news", _iso("e.created_at"))
+    return _hits(rows, F.coalesce("e.url", talk), F.col("e.title"), _plain(F.col("e.story_text")), "hacker_news", _iso("e.created_at"))
 
 
 def stack_exchange(p):
@@ -158,12 +161,12 @@ def github(p):
 
 def arxiv(p):
     rows = p.select("payload_id", "source", F.posexplode(F.from_xml("body", _ATOM, _XML)["entry"]).alias("pos", "e"))
-    return _hits(rows, F.trim("e.id"), squeeze(F.col("e.title")), F.substring(squeeze(F.col("e.summary")), 1, 400), "arxiv", _iso("e.published"))
+    return _hits(rows, F.trim("e.id"), squeeze(F.col("e.title")), squeeze(F.col("e.summary")), "arxiv", _iso("e.published"))
 
 
 def open_library(p):
     rows = _json(p, "docs", "struct<key:string,title:string,author_name:array<string>,first_publish_year:int>").where(F.col("e.key").startswith("/"))
-    note = F.concat_ws(" · ", F.array_join(F.slice("e.author_name", 1, 3), ", "), F.col("e.first_publish_year").cast("string"))
+    note = F.concat_ws(" · ", F.array_join("e.author_name", ", "), F.col("e.first_publish_year").cast("string"))
     return _hits(rows, F.concat(F.lit("https://openlibrary.org"), "e.key"), F.col("e.title"), note, "open_library", _none())
 
 

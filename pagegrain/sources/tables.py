@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagegrain.session import SPREAD
+
 BASE = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
         "conversations").split()
 
 # Tables whose rows cost much work each (text, markup, long expressions).
 WIDE_ROWS = ("pages", "documents", "events", "part", "conversations")
-_SCAN_TASKS: dict[str, int] = {}
 
 # name -> (views and tables it reads, SQL)
 VIEWS: dict[str, tuple[list[str], str]] = {}
@@ -54,13 +55,9 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
 
     def _spread(self, name: str) -> int:
-        """How many partitions to spread a table over: none when its scan already keeps every core busy (any large table), the
-        session's parallelism when a small file arrives as one or two tasks."""
-        path = f"{self.sf_dir}/{name}.parquet"
-        if path not in _SCAN_TASKS:
-            _SCAN_TASKS[path] = self.spark.read.parquet(path).rdd.getNumPartitions()
-        cores = self.spark.sparkContext.defaultParallelism
-        return cores if name in WIDE_ROWS and _SCAN_TASKS[path] * 2 <= cores else 0
+        """Partitions to deal a table out to, if the session asks for it: a local session whose tables are single files does, a cluster's
+        does not, so no table there is shuffled before its first operator."""
+        return int(self.spark.conf.get(SPREAD, "0")) if name in WIDE_ROWS else 0
 
     def base(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagegrain.operators.graph import change_tracking
 from pagegrain.session import checkpoint_dir
 
 
@@ -21,31 +22,41 @@ def folder(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append", handle: Callable[[DataFrame, int, str], DataFrame] | None = None) -> DataFrame:
-    """Runs a stream over what is there now and returns what it wrote. ``handle(batch, batch_id, folder)`` makes the rows to write."""
+def drain(stream: DataFrame, name: str, mode: str = "append", handle: Callable[[DataFrame, int, str], DataFrame] | None = None, home: str | None = None) -> DataFrame:
+    """Runs a stream over what is there now and returns what this call wrote. ``handle(batch, batch_id, folder)`` makes the rows to write.
+
+    ``home`` is a folder of the caller's that keeps progress and state, so that a later call goes on where this one ended; without
+    it the watch starts anew in a folder of its own."""
     spark = stream.sparkSession
-    home = folder(spark, name)
-    out = os.path.join(home, "out")
+    home = home or folder(spark, name)
+    runs = os.path.join(home, "runs")
+    out = os.path.join(runs, f"run={uuid.uuid4().hex}")
+
+    ran = False
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        nonlocal ran
         rows = batch if handle is None else handle(batch, batch_id, home)
         rows.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+        ran = True
 
     job = (stream.writeStream.outputMode(mode).option("checkpointLocation", os.path.join(home, "progress"))
            .trigger(availableNow=True).foreachBatch(write).start())
     job.awaitTermination()
-    return spark.read.parquet(out)
+    if ran:
+        return spark.read.parquet(out)
+    # Nothing was there: no rows, in the form that earlier calls wrote.
+    return spark.read.parquet(runs).drop("run").where(F.lit(False))
 
 
 def _earlier(spark: SparkSession, table: str, batch_id: int, like: DataFrame) -> DataFrame:
     """The state rows of the batches before this one."""
     if batch_id == 0:
         return like.where(F.lit(False))
-    return spark.read.schema(like.schema).parquet(table).drop("batch") if "batch" in like.columns else spark.read.parquet(table).where(
-        F.col("batch") < batch_id).select(*like.columns)
+    return spark.read.parquet(table).where(F.col("batch") < batch_id).select(*like.columns)
 
 
-def link_watch(stream: DataFrame, name: str = "link-watch") -> DataFrame:
+def link_watch(stream: DataFrame, name: str = "link-watch", home: str | None = None) -> DataFrame:
     """Links of each watch not seen before, with ``first_poll`` for the poll that set the baseline; failed polls change nothing.
 
     ``stream(watch, link, polled_at, ok)``. Seen links are keyed by (watch, link), never gathered per watch, so one watch may
@@ -64,10 +75,10 @@ def link_watch(stream: DataFrame, name: str = "link-watch") -> DataFrame:
         return new.join(first, "watch", "left").select("watch", "link", "polled_at", F.coalesce(
             F.col("polled_at") == F.col("first_at"), F.lit(False)).alias("first_poll"))
 
-    return drain(stream, name, handle=handle)
+    return drain(stream, name, handle=handle, home=home)
 
 
-def site_watch(stream: DataFrame, key: Column, name: str = "site-watch") -> DataFrame:
+def site_watch(stream: DataFrame, key: Column, name: str = "site-watch", home: str | None = None) -> DataFrame:
     """New feed and sitemap entries per site: each page once, undated sitemap rows (and a site's undated first entries) only as the
     baseline. ``stream(site, url, title, published, source)``."""
 
@@ -85,23 +96,24 @@ def site_watch(stream: DataFrame, key: Column, name: str = "site-watch") -> Data
         baseline = F.col("published").isNull() & (F.col("first_poll") | (F.col("source") == "sitemap"))
         return told.where(~baseline)
 
-    return drain(stream, name, handle=handle)
+    return drain(stream, name, handle=handle, home=home)
 
 
-def change_watch(stream: DataFrame, keys: list[str], content: Column, at: str, name: str = "change-watch") -> DataFrame:
-    """new, same or changed for the latest content of each key in every micro-batch, against the last one before it."""
+def change_watch(stream: DataFrame, keys: list[str], content: Column, order: str, chunk: Column, name: str = "change-watch", home: str | None = None) -> DataFrame:
+    """new, same or changed for every snapshot, against the one before it by ``order``, in its micro-batch or an earlier one. ``chunk`` grows
+    with ``order`` and bounds what one task sorts."""
 
     def handle(batch: DataFrame, batch_id: int, home: str) -> DataFrame:
-        spark = batch.sparkSession
         table = os.path.join(home, "last")
-        latest = batch.withColumn("digest", F.sha2(content, 256)).groupBy(*keys).agg(F.max_by("digest", at).alias("digest"), F.max(at).alias(at))
-        before = _earlier(spark, table, batch_id, latest)
-        last = before.groupBy(*keys).agg(F.max_by("digest", at).alias("before"))
+        rows = batch.select(*keys, F.col(order), F.sha2(content, 256).alias("content"))
+        latest = rows.groupBy(*keys).agg(F.max_by("content", order).alias("content"), F.max(order).alias(order)).select(*rows.columns)
+        before = _earlier(batch.sparkSession, table, batch_id, latest)
+        last = before.groupBy(*keys).agg(F.max_by("content", order).alias("content"), F.max(order).alias(order)).select(*rows.columns)
+        told = change_tracking(rows.withColumn("own", F.lit(True)).unionByName(last.withColumn("own", F.lit(False))), keys, order, F.col("content"), chunk)
         latest.write.mode("overwrite").parquet(os.path.join(table, f"batch={batch_id}"))
-        return latest.join(last, keys, "left").select(*keys, at, F.when(F.col("before").isNull(), "new").when(
-            F.col("before") == F.col("digest"), "same").otherwise("changed").alias("change"))
+        return told.where("own").select(*keys, order, "change")
 
-    return drain(stream, name, handle=handle)
+    return drain(stream, name, handle=handle, home=home)
 
 
 def story_dedupe(stream: DataFrame, at: str, story: Column, delay: str = "1 day") -> DataFrame:
@@ -110,8 +122,8 @@ def story_dedupe(stream: DataFrame, at: str, story: Column, delay: str = "1 day"
 
 
 def on_time(stream: DataFrame, at: str, ttl: str, now: Column) -> DataFrame:
-    """Rows within the TTL by their own time: later ones than ``now`` never count, older ones fall behind the watermark."""
-    return stream.where(F.col(at) <= now).withWatermark(at, ttl)
+    """Rows within the TTL by their own time: neither later than ``now`` nor older than the TTL."""
+    return stream.where((F.col(at) <= now) & (F.col(at) >= now - F.expr(f"interval {ttl}"))).withWatermark(at, ttl)
 
 
 def running_tool_counts(stream: DataFrame, at: str, window: str = "1 day") -> DataFrame:
