@@ -515,3 +515,11 @@ PRIOR_WEIGHT = 4.0
 SHOP_PLATFORM = r"""(?i)\bShopify\.shop\s*=|\bwindow\.ShopifyAnalytics\b|<meta[^>]+name=["']shopify-"""
 SHOP_ASSETS = r"//cdn\.shopify\.com/s/files/|/cdn/shop/(?:files|products)/"
 COLLECTION = r"(?i)^((?:/[a-z]{2}(?:-[a-z0-9]{2,4})?)?)/collections/([^/?#]+)/?$"
+
+# Opening tags that end an open paragraph, and elements a paragraph's end is not looked for beyond.
+ENDS_PARAGRAPH = frozenset(_w("""address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
+    header hr main menu nav ol p pre section table ul"""))
+HOLDS_PARAGRAPHS = frozenset(_w("article aside blockquote body button caption div figure footer form header li main nav object section table td th"))
+# Other opening tags: the elements they end, and those they stay inside of.
+IMPLIED_ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)),
+                "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}

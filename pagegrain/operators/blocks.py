@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagegrain.functions import fixed, urls
@@ -27,6 +27,10 @@ SCHEMA = ("page_id bigint, pos int, tag string, ancestors array<int>, attrs map<
           "loose_text string, linked int, holds boolean, chrome boolean, loose_chrome boolean")
 
 
+# Rows of one batch on the way back to Spark.
+ELEMENTS_AT_ONCE = 4000
+
+
 class _Tree(HTMLParser):
     """Elements of one page in document order, with their text pieces."""
 
@@ -35,6 +39,7 @@ class _Tree(HTMLParser):
         self.nodes, self.stack = [], []
 
     def handle_starttag(self, tag, attrs):
+        self._imply_ends(tag)
         parent = self.stack[-1] if self.stack else -1
         self.nodes.append({"tag": tag, "attrs": {key: value or "" for key, value in attrs}, "parent": parent, "inner": []})
         if parent >= 0:
@@ -47,6 +52,19 @@ class _Tree(HTMLParser):
         if tag not in _VOID:
             self.stack.pop()
 
+    def _imply_ends(self, tag):
+        """An opening tag ends what cannot hold it: paragraphs before a line of its own, items, cells and rows before their like."""
+        ends, inside = fixed.IMPLIED_ENDS.get(tag, (("p",), fixed.HOLDS_PARAGRAPHS) if tag in fixed.ENDS_PARAGRAPH else ((), ()))
+        lowest = None
+        for depth in range(len(self.stack) - 1, -1, -1) if ends else ():
+            name = self.nodes[self.stack[depth]]["tag"]
+            if name in ends:
+                lowest = depth
+            elif name in inside:
+                break
+        if lowest is not None:
+            del self.stack[lowest:]
+
     def handle_endtag(self, tag):
         for depth in range(len(self.stack) - 1, -1, -1):
             if self.nodes[self.stack[depth]]["tag"] == tag:
@@ -86,11 +104,16 @@ def _joined(pieces) -> str:
     return " ".join(" ".join(pieces).split())
 
 
-def parse(html: str) -> list[dict]:
+def tokens(html: str) -> list[dict]:
+    """Elements in document order: tag, attrs, parent, and inner: the texts and elements they hold, in order."""
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
-    nodes = tree.nodes
+    return tree.nodes
+
+
+def parse(html: str) -> list[dict]:
+    nodes = tokens(html)
     for node in nodes:
         above = nodes[node["parent"]] if node["parent"] >= 0 else {}
         node["chrome"] = bool(above.get("chrome")) or _chrome(node, True)
@@ -116,15 +139,17 @@ def elements(pages: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ("tag", "ancestors", "attrs", "text", "loose_text", "linked", "holds", "chrome", "loose")
+        columns = ["page_id", "pos", *names[:-1], "loose_chrome"]
         for batch in batches:
-            columns: dict[str, list] = {name: [] for name in ("page_id", "pos", *names)}
+            # A few thousand elements at a time, so that memory holds no more than those and one page.
+            rows: list[tuple] = []
             for page_id, html in zip(batch["page_id"], batch["html"]):
-                for pos, node in enumerate(parse(html)):
-                    columns["page_id"].append(page_id)
-                    columns["pos"].append(pos)
-                    for name in names:
-                        columns[name].append(node[name])
-            yield pd.DataFrame(columns).rename(columns={"loose": "loose_chrome"})
+                rows += [(page_id, pos, *[node[name] for name in names]) for pos, node in enumerate(parse(html))]
+                if len(rows) > ELEMENTS_AT_ONCE:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     return pages.select("page_id", "html").mapInPandas(read, SCHEMA)
 
@@ -227,7 +252,7 @@ def _image(attrs: Column) -> Column:
     return F.coalesce(*[F.when((option != "") & ~option.startswith("data:") & ~option.rlike(chrome), option) for option in options])
 
 
-def cards(pages: DataFrame, found: DataFrame, listed: DataFrame | None = None, limit: int = 200) -> DataFrame:
+def cards(pages: DataFrame, found: DataFrame, listed: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Result cards: each item link with its title and its own nearest image; listed entries (page_id, url, title, image) first.
 
     An image belongs to a link when it sits inside the link, or inside the nearest container that holds no other item link.
@@ -243,7 +268,7 @@ def cards(pages: DataFrame, found: DataFrame, listed: DataFrame | None = None, l
                             & (urls.path("link") != urls.path("base")) & urls.item_like(urls.path("link")))
     anchors = anchors.withColumn("item", urls.rtrim_slash(urls.path("link")))
     title = F.coalesce(*[F.when(option != "", option) for option in (attr("aria-label"), attr("title"), F.col("text"))], F.lit(""))
-    near = F.slice(F.concat(F.array("pos"), F.col("ancestors")), 1, 5)
+    near = F.concat(F.array("pos"), F.col("ancestors"))
     climbs = anchors.select("page_id", "base", "pos", "item", "link", title.alias("title"), F.posexplode(near).alias("level", "box"))
     crowd = climbs.groupBy("page_id", "box").agg(F.min("item").alias("one"), F.max("item").alias("other"))
     crowd = crowd.where(F.col("one") == F.col("other")).select("page_id", "box")
@@ -270,122 +295,198 @@ def cards(pages: DataFrame, found: DataFrame, listed: DataFrame | None = None, l
     rows = both.select("page_id", F.coalesce("l_url", "url").alias("url"),
                        F.coalesce(F.when(F.col("l_title") != "", F.col("l_title")), "title").alias("title"),
                        F.coalesce("l_image", "image").alias("image"), tier.alias("tier"), "pos")
-    from pyspark.sql import Window
     order = Window.partitionBy("page_id").orderBy("tier", F.col("pos").asc_nulls_last(), "url")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("pos", "tier")
+    ranked = rows.withColumn("rank", F.row_number().over(order)).drop("pos", "tier")
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 # ---- markdown ---------------------------------------------------------------------------
+# Elements whose content is no text of the page; elements that stand on lines of their own; and inline marks.
 _DROP = set("script style noscript template svg canvas iframe object embed head form button input select textarea dialog map".split())
-_BLOCK = set("p div section article main header footer nav aside figure figcaption address details summary dl dd dt center body "
-             "html ul ol li table tr pre blockquote hr".split()) | {f"h{size}" for size in range(1, 7)}
-RUNS = "page_id bigint, pos int, kind string, prefix string, cell int, text string"
-
-
-def _inline(nodes, at, base) -> str:
-    node = nodes[at]
-    tag, attrs = node["tag"], node["attrs"]
-    if tag == "br":
-        return "  \n"
-    if tag == "img":
-        alt, src = " ".join(attrs.get("alt", "").split()), attrs.get("src") or attrs.get("data-src") or ""
-        return alt if not src or src.startswith("data:") else f"![{alt}]({base(src)})"
-    inner = "".join(re.sub(r"\s+", " ", item) if isinstance(item, str) else
-                    "" if nodes[item]["tag"] in _DROP else _inline(nodes, item, base) for item in node["inner"])
-    label = inner.strip()
-    if tag == "a":
-        href = attrs.get("href", "").strip()
-        return inner if not href or href.startswith(("javascript:", "#")) or not label else f"[{label}]({base(href)})"
-    mark = {"strong": "**", "b": "**", "em": "*", "i": "*", "code": "`", "del": "~~", "s": "~~", "strike": "~~"}.get(tag)
-    return f"{mark}{label}{mark}" if mark and label else inner
-
-
-def markdown_runs(nodes, base) -> list[tuple]:
-    """The page's block-level runs in order: (kind, prefix, cell, text)."""
-    runs: list[tuple] = []
-
-    def walk(at, quote, depth, marker):
-        line: list[str] = []
-
-        def flush(kind="text", prefix=None):
-            text = re.sub(r" *\n *", "\n", re.sub(r" {2,}", " ", "".join(line).strip()))
-            line.clear()
-            if text:
-                runs.append((kind, quote + (marker if prefix is None else prefix), 0, text))
-
-        for item in nodes[at]["inner"]:
-            if isinstance(item, str):
-                line.append(re.sub(r"\s+", " ", item))
-                continue
-            node, tag = nodes[item], nodes[item]["tag"]
-            if tag in _DROP or "hidden" in node["attrs"] or node["attrs"].get("aria-hidden") == "true":
-                continue
-            if tag not in _BLOCK:
-                line.append(_inline(nodes, item, base))
+_OWN_LINE = set("p div section article main header footer nav aside figure figcaption address details summary dl dd dt center body "
+                "html ul ol li table thead tbody tfoot tr td th pre blockquote hr h1 h2 h3 h4 h5 h6".split())
+_MARKS = {"strong": "**", "b": "**", "em": "*", "i": "*", "code": "`", "del": "~~", "s": "~~", "strike": "~~"}
+FRAGMENTS = ("page_id bigint, pos int, block int, kind string, quotes int, indent int, marker string, grid int, line int, cell int, text string")
+# Private characters around what an inline element holds, until its block is whole: opening and closing ends of marks and links.
+_OPEN, _CLOSE, _LINK, _TO, _END = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
+
+
+class _Place:
+    """Where the reader of a page stands: what a new line would be."""
+
+    def __init__(self):
+        self.kind, self.quotes, self.pre, self.lists, self.marker, self.own = "text", 0, 0, [], "", ""
+        # Open tables: number, row, next cell, and the cell around the table. ``tables`` counts all so far.
+        self.grids, self.cell, self.tables = [], None, 0
+
+
+def _fragments(nodes: list[dict], base) -> Iterator[tuple]:
+    """The text pieces of a page in order, each with the line it belongs to. Lines open where an element of its own line begins or ends."""
+    place, block, fresh = _Place(), 0, True
+    for entering, at in _tour(nodes):
+        item = nodes[at] if isinstance(at, int) else None
+        if item is None:
+            text = at if place.pre else re.sub(r"\s+", " ", at)
+            if fresh and not text.strip():
                 continue
-            flush()
-            if re.fullmatch("h[1-6]", tag):
-                text = " ".join(_inline(nodes, item, base).split())
-                if text:
-                    runs.append(("heading", quote + "#" * int(tag[1]) + " ", 0, text))
-            elif tag in ("ul", "ol"):
-                number = 0
-                for child in node["inner"]:
-                    if isinstance(child, int) and nodes[child]["tag"] == "li":
-                        number += 1
-                        walk(child, quote, depth + 1, "  " * depth + (f"{number}. " if tag == "ol" else "- "))
-            elif tag == "pre":
-                runs.append(("pre", quote, 0, "".join(_pieces(nodes, item, "_none")).strip("\n")))
-            elif tag == "blockquote":
-                walk(item, quote + "> ", 0, "")
-            elif tag == "hr":
-                runs.append(("rule", quote, 0, "---"))
-            elif tag == "tr":
-                cells = [" ".join(_inline(nodes, cell, base).split()).replace("|", "\\|") for cell in node["inner"]
-                         if isinstance(cell, int) and nodes[cell]["tag"] in ("th", "td")]
-                if cells:
-                    runs.append(("row", quote, len(cells), " | ".join(cells)))
+        else:
+            tag, attrs = item["tag"], item["attrs"]
+            if tag in _OWN_LINE:
+                fresh = fresh or place.cell is None
+                _step(place, tag, entering)
+                if tag in ("td", "th"):
+                    fresh = True
+                elif place.cell is not None:
+                    yield (block, *_line(place), " ")
+                    continue
+                if tag == "hr" and entering:
+                    block, fresh = block + 1, True
+                    place.own = ""
+                    yield (block, "rule", *_line(place)[1:], "---")
+                if not (tag in ("td", "th") and entering):
+                    continue
+                text = ""
+            elif tag == "br":
+                text = "  \n" if entering else ""
+            elif tag == "img":
+                source = attrs.get("src") or attrs.get("data-src") or ""
+                alt = " ".join(attrs.get("alt", "").split())
+                text = "" if not entering else alt if not source or source.startswith("data:") else f"![{alt}]({base(source)})"
+            elif tag == "a":
+                href = attrs.get("href", "").strip()
+                live = bool(href) and not href.startswith("#")
+                text = "" if not live else _LINK if entering else f"{_TO}{base(href)}{_END}"
             else:
-                walk(item, quote, depth, marker)
-        flush()
-
-    top = next((at for at, node in enumerate(nodes) if node["tag"] == "body"), None)
-    if top is None:
-        top = len(nodes)
-        nodes.append({"tag": "body", "attrs": {}, "inner": [at for at, node in enumerate(nodes) if node["parent"] < 0], "parent": -1})
-    walk(top, "", 0, "")
-    return runs
+                text = (_OPEN if entering else _CLOSE) + _MARKS[tag] + _END if tag in _MARKS and not place.pre else ""
+            if not text and not (tag in ("td", "th")):
+                continue
+        if fresh:
+            block, fresh = block + 1, False
+            # The first line of a list item takes its marker; later ones stand under its text.
+            place.own, place.marker = place.marker, ""
+        yield (block, *_line(place), text)
+
+
+def _line(place: _Place) -> tuple:
+    grid, row = (place.grids[-1][0], place.grids[-1][1]) if place.cell is not None else (None, None)
+    return ("cell" if place.cell is not None else "pre" if place.pre else place.kind, place.quotes, len(place.lists), place.own, grid, row, place.cell)
+
+
+def _step(place: _Place, tag: str, entering: bool) -> None:
+    """Moves the place over the border of an element of its own line."""
+    if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        place.kind = tag if entering else "text"
+    elif tag == "blockquote":
+        place.quotes += 1 if entering else -1
+    elif tag == "pre":
+        place.pre += 1 if entering else -1
+    elif tag in ("ul", "ol"):
+        place.lists.append([tag, 0]) if entering else place.lists.pop()
+    elif tag == "li" and entering and place.lists:
+        place.lists[-1][1] += 1
+        place.marker = f"{place.lists[-1][1]}. " if place.lists[-1][0] == "ol" else "- "
+    elif tag == "table":
+        if entering:
+            place.tables += 1
+            place.grids.append([place.tables, 0, 0, place.cell])
+            place.cell = None
+        else:
+            place.cell = place.grids.pop()[3]
+    elif place.grids and tag == "tr" and entering:
+        place.grids[-1][1:3] = [place.grids[-1][1] + 1, 0]
+    elif place.grids and tag in ("td", "th"):
+        place.cell = place.grids[-1][2] if entering else None
+        place.grids[-1][2] += entering
+
+
+def _tour(nodes: list[dict]) -> Iterator[tuple]:
+    """Every text and element of a page in order, elements once on entering and once on leaving; hidden and dropped ones left out."""
+    waiting = [iter([at for at, node in enumerate(nodes) if node["parent"] < 0])]
+    open_ = []
+    while waiting:
+        item = next(waiting[-1], None)
+        if item is None:
+            waiting.pop()
+            if open_:
+                yield False, open_.pop()
+        elif isinstance(item, str):
+            yield True, item
+        elif _shown(nodes[item]):
+            yield True, item
+            open_.append(item)
+            waiting.append(iter(nodes[item]["inner"]))
+
+
+def _shown(node: dict) -> bool:
+    attrs = node["attrs"]
+    dead = node["tag"] == "a" and attrs.get("href", "").strip().startswith("javascript:")
+    return node["tag"] not in _DROP and not dead and "hidden" not in attrs and attrs.get("aria-hidden") != "true"
 
 
 def to_markdown(pages: DataFrame) -> DataFrame:
-    """Each page as markdown: headings, paragraphs, lists, links, images, emphasis, code, tables and quotes."""
+    """Each page as markdown: headings, paragraphs, lists, links, images, emphasis, code, tables and quotes.
+
+    The tokenizer lists text pieces with their line; lines, tables and the page are put together by aggregates."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from urllib.parse import urljoin
+        names = [part.split()[0] for part in FRAGMENTS.split(", ")]
         for batch in batches:
-            rows = [(page_id, pos, *run) for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"])
-                    for pos, run in enumerate(markdown_runs(parse(html), lambda link, url=url: urljoin(url or "", link)))]
-            yield pd.DataFrame(rows, columns=["page_id", "pos", "kind", "prefix", "cell", "text"])
-
-    runs = pages.select("page_id", "url", "html").mapInPandas(read, RUNS)
-    grouped = runs.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "prefix", "cell", "text"))).alias("runs"))
-
-    def line(run, before):
-        quoted = F.replace(run["text"], F.lit("\n"), F.concat(F.lit("\n"), F.regexp_extract(run["prefix"], r"^((?:> )*)", 1)))
-        opening = F.concat(F.array_join(F.array_repeat(F.lit("| ---"), run["cell"]), " "), F.lit(" |"))
-        first_row = before.isNull() | (before["kind"] != "row")
-        row = F.concat(run["prefix"], F.lit("| "), run["text"], F.lit(" |"), F.when(first_row, F.concat(
-            F.lit("\n"), run["prefix"], opening)).otherwise(""))
-        return (F.when(run["kind"] == "pre", F.concat(run["prefix"], F.lit("```\n"), run["text"], F.lit("\n```")))
-                .when(run["kind"] == "row", row).otherwise(F.concat(run["prefix"], quoted)))
-
-    def gap(run, before):
-        item = run["prefix"].rlike(r"^ *(?:-|\d+\.) ")
-        close = ((run["kind"] == "row") & (before["kind"] == "row")) | (item & before["prefix"].rlike(r"^ *(?:-|\d+\.) "))
-        return F.when(before.isNull(), "").when(close, "\n").otherwise("\n\n")
-
-    pieces = F.transform("runs", lambda run, at: F.concat(
-        gap(run, F.try_element_at("runs", F.when(at > 0, at).otherwise(F.lit(1_000_000_000)))),
-        line(run, F.try_element_at("runs", F.when(at > 0, at).otherwise(F.lit(1_000_000_000))))))
-    text = F.regexp_replace(F.regexp_replace(F.array_join(pieces, ""), r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
-    return grouped.select("page_id", F.when(F.trim(text) != "", F.concat(F.trim(text), F.lit("\n"))).otherwise("").alias("markdown"))
+            rows: list[tuple] = []
+            for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"]):
+                rows += [(page_id, pos, *piece) for pos, piece in enumerate(_fragments(tokens(html), lambda link, url=url: urljoin(url or "", link)))]
+                if len(rows) > ELEMENTS_AT_ONCE:
+                    yield pd.DataFrame(rows, columns=names).astype({name: "Int64" for name in ("grid", "line", "cell")})
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names).astype({name: "Int64" for name in ("grid", "line", "cell")})
+
+    found = pages.select("page_id", "url", "html").mapInPandas(read, FRAGMENTS)
+    raw = found.groupBy("page_id", "block").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda piece: piece["text"]), "").alias("text"),
+        *[F.min_by(name, "pos").alias(name) for name in ("kind", "quotes", "indent", "marker", "grid", "line", "cell")])
+    lines = raw.withColumn("text", F.when(F.col("kind") == "pre", _bare(F.col("text"))).otherwise(_finished(F.col("text"))))
+    # Cells to rows, rows to tables: a table is as wide as its widest row.
+    cells = lines.where("kind = 'cell'").withColumn("text", F.replace(F.regexp_replace("text", r"\s+", " "), F.lit("|"), F.lit("\\|")))
+    grid = cells.groupBy("page_id", "grid", "line").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("cell", "block", "text"))), lambda piece: piece["text"]).alias("texts"), F.min("block").alias("block"),
+        F.min_by("quotes", "block").alias("quotes")).groupBy("page_id", "grid").agg(
+        F.array_sort(F.collect_list(F.struct("line", "texts"))).alias("rows"), F.min("block").alias("block"), F.min_by("quotes", "block").alias("quotes"), F.max(F.size("texts")).alias("wide"))
+    told = F.transform("rows", lambda row: F.concat(F.lit("| "), F.array_join(F.concat(row["texts"], F.array_repeat(F.lit(""), F.col("wide") - F.size(row["texts"]))), " | "), F.lit(" |")))
+    rule = F.concat(F.array_join(F.array_repeat(F.lit("| ---"), F.col("wide")), " "), F.lit(" |"))
+    tables = grid.select("page_id", "block", "quotes", F.lit("table").alias("kind"), F.lit(0).alias("indent"), F.lit("").alias("marker"), F.array_join(
+        F.concat(F.slice(told, 1, 1), F.array(rule), F.slice(told, 2, F.greatest(F.size(told), F.lit(1)))), "\n").alias("text"))
+    whole = lines.where("kind <> 'cell' AND text <> ''").select("page_id", "block", "quotes", "kind", "indent", "marker", "text").unionByName(tables)
+    depth = F.repeat(F.lit("  "), F.greatest(F.col("indent") - F.when(F.col("marker") != "", 1).otherwise(0), F.lit(0)))
+    front = F.when(F.col("kind").rlike("^h[1-6]$"), F.concat(F.repeat(F.lit("#"), F.substring("kind", 2, 1).cast("int")), F.lit(" "))).otherwise(F.concat(depth, "marker"))
+    body = F.when(F.col("kind") == "pre", F.concat(F.lit("```\n"), "text", F.lit("\n```"))).when(F.col("kind").rlike("^h[1-6]$"), F.regexp_replace("text", r"\s+", " ")).otherwise(F.col("text"))
+    quoted = F.replace(F.concat(front, body), F.lit("\n"), F.concat(F.lit("\n"), F.repeat(F.lit("> "), F.col("quotes"))))
+    shown = whole.select("page_id", F.struct("block", F.concat(F.repeat(F.lit("> "), F.col("quotes")), quoted).alias("text"), (F.col("marker") != "").alias("item")).alias("line"))
+    listed = shown.groupBy("page_id").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+
+    def spaced(line, at):
+        before = F.get(F.col("lines"), F.greatest(at - 1, F.lit(0)))
+        return F.concat(F.when(at == 0, "").when(line["item"] & before["item"], "\n").otherwise("\n\n"), line["text"])
+
+    text = F.regexp_replace(F.array_join(F.transform("lines", spaced), ""), r"[ \t]+\n", "\n")
+    made = listed.select("page_id", F.concat(F.trim(text), F.lit("\n")).alias("markdown"))
+    return pages.select("page_id").distinct().join(made, "page_id", "left").withColumn("markdown", F.coalesce("markdown", F.lit("")))
+
+
+def _bare(text: Column) -> Column:
+    """Preformatted text: no marks, no line breaks around it."""
+    plain = F.regexp_replace(F.regexp_replace(text, f"{_TO}[^{_END}]*{_END}|[{_OPEN}{_CLOSE}][^{_END}]*{_END}", ""), _LINK, "")
+    return F.regexp_replace(plain, r"^\n+|\n+$", "")
+
+
+def _finished(text: Column) -> Column:
+    """A line with its marks: spaces go outside of marks, marks and links around nothing go."""
+    mark = f"[^{_END}]*{_END}"
+    text = F.regexp_replace(text, f"({_OPEN}{mark}|{_LINK}) +", " $1")
+    text = F.regexp_replace(text, f" +({_CLOSE}{mark}|{_TO}{mark})", "$1 ")
+    for _ in range(3):
+        # Marks nest, so emptied ones empty what holds them.
+        text = F.regexp_replace(text, f"{_OPEN}{mark} *{_CLOSE}{mark}|{_LINK} *{_TO}{mark}", "")
+    text = F.regexp_replace(text, f"[{_OPEN}{_CLOSE}]([^{_END}]*){_END}", "$1")
+    text = F.regexp_replace(F.replace(text, F.lit(_LINK), F.lit("[")), f"{_TO}([^{_END}]*){_END}", "]($1)")
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r" {3,}(?!\n)|(?<! ) {2}(?![ \n])", " "), r"  \n *| *\n *", "\n"))
