@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, most_bytes
     totals = {row["quality"]: row["n"] for row in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     first = [known.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for label in (0, 1)]
     ids = kept(first[0].union(first[1]))
-    sample = texts.join(F.broadcast(ids), "doc_id").select("quality", F.xxhash64("doc_id").alias("order"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    sample = kept(texts.join(F.broadcast(ids), "doc_id").select("quality", F.xxhash64("doc_id").alias("order"), F.coalesce("text", F.lit("")).cast("binary").alias("data")))
     held: dict[int, list[np.ndarray]] = {0: [], 1: []}
     size = {0: 0, 1: 0}
     for row in sample.orderBy("order").toLocalIterator():
