@@ -215,8 +215,9 @@ THRESHOLD_BEFORE = r"(?is)(?:\bover|\babove|\bspend|\bmin(?:imum)?|\boff|\border
 THRESHOLD_AFTER = r"(?is)^\W{0,3}(?:(?:min(?:imum)?\s+)?spend|or\s+more|and\s+over)\b"
 FEE_AFTER = (r"(?is)^\W{0,3}(?:shipping|postage|delivery\s+fee|p&p|per\s+month|/\s*mo|a\s+month|pm\b)"
              r"|^\s*/\s*\d*\s*(?:k?g|m?l|oz|lb|ea|each|unit|item|piece|pc)\b")
-LABEL_EDGE = (r"(?i)^(?:from|was|now|only|just|rrp|save|delivered|shipped|each|for|at|and|or|plus|with|in)\b\W*|"
-              r"\W*\b(?:from|was|now|only|just|rrp|save|delivered|shipped|each|for|at|and|or|plus|with|in)$")
+LABEL_EDGE_WORDS = "from|was|now|only|just|rrp|save|delivered|shipped|each|for|at|and|or|plus|with|in"
+# Any number of such words at either end.
+LABEL_EDGE = rf"(?i)^(?:(?:{LABEL_EDGE_WORDS})\b\W*)+|(?:\W*\b(?:{LABEL_EDGE_WORDS}))+$"
 
 # ---- other card facts --------------------------------------------------------
 EXPIRED = r"(?i)\b(?:expired|deal\s+(?:has\s+)?ended|offer\s+ended|no\s+longer\s+available)\b"

@@ -386,10 +386,10 @@ def reference_rank(rows: DataFrame) -> DataFrame:
     return rank_in_group(kept.withColumn("tier", tier), ["query_id"], [F.col("pos")], F.struct("tier", F.floor(F.col("pos") / 100_000).alias("b")), "place")
 
 
-def date_targets(rows: DataFrame, limit: int, budget: int) -> DataFrame:
-    """Undated results that would be in the top, at most ``budget`` per query. ``rows(query_id, rank, in_window)``."""
-    order = Window.partitionBy("query_id").orderBy("rank", "url")
-    return rows.where((F.col("rank") <= limit) & F.col("in_window").isNull()).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= budget)
+def date_targets(rows: DataFrame, limit: int, budget: int, order: tuple[str, ...] = ("rank", "url")) -> DataFrame:
+    """Undated results that would be in the top, at most ``budget`` per query, by ``order``. ``rows(query_id, rank, in_window)``."""
+    turns = Window.partitionBy("query_id").orderBy(*order)
+    return rows.where((F.col("rank") <= limit) & F.col("in_window").isNull()).withColumn("turn", F.row_number().over(turns)).where(F.col("turn") <= budget)
 
 
 def enrich_dates(hits: DataFrame, page_dates: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagegrain.functions import fixed, texts, urls
@@ -179,8 +180,8 @@ def o4(t):
 @query("o5_anchored_answers")
 def o5(t):
     keyed = _hits(t).withColumn("key", urls.canonical_url("url"))
-    anchor = keyed.where(F.col("source") == "searxng").groupBy("query_id", F.col("rank").alias("slot")).agg(
-        F.min_by("url", "item_id").alias("url"), F.min_by("key", "item_id").alias("key"), F.min_by(F.col("title").contains("moment"), "item_id").alias("failed"))
+    slots = Window.partitionBy("query_id").orderBy("rank", "item_id", "url")
+    anchor = keyed.where(F.col("source") == "searxng").select("query_id", F.row_number().over(slots).alias("slot"), "url", "key", F.col("title").contains("moment").alias("failed"))
     others = keyed.where(F.col("source") != "searxng").groupBy("query_id", "key").agg(F.min("pos").alias("pos"), F.min_by("url", "pos").alias("url"),
                                                                                       F.max(F.col("url").contains("github.com")).alias("canonical"))
     return search.anchored_answers(anchor, others, 5)
@@ -203,11 +204,11 @@ def o7(t):
     return search.reference_rank(rows).select("query_id", "pos", "tier", "place")
 
 
-@query("o15_date_targets", f"""{HITS}, u AS (SELECT query_id, url, min(rank) AS rank, bool_or(published IS NULL) AS undated FROM hits GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, url) AS turn FROM u WHERE undated AND rank <= 5)
-SELECT query_id, url, cast(turn AS integer) AS turn FROM n WHERE turn <= 2""")
+@query("o15_date_targets", f"""{HITS}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, url, source, item_id) AS turn FROM hits WHERE published IS NULL AND rank <= 5)
+SELECT query_id, source, rank, item_id, url, cast(turn AS integer) AS turn FROM n WHERE turn <= 2""")
 def o15(t):
-    rows = t.hits.groupBy("query_id", "url").agg(F.min("rank").alias("rank"), F.max(F.col("published").isNull()).alias("undated"))
-    return search.date_targets(rows.withColumn("in_window", F.when(~F.col("undated"), True)), 5, 2).select("query_id", "url", "turn")
+    rows = t.hits.withColumn("in_window", F.when(F.col("published").isNotNull(), True))
+    return search.date_targets(rows, 5, 2, ("rank", "url", "source", "item_id")).select("query_id", "source", "rank", "item_id", "url", "turn")
 
 
 @query("k20_source_priors", f"""{HITS} SELECT {_ID}, cast(CASE WHEN source = 'wikipedia' AND starts_with(title, 'red') THEN 0.9 WHEN source = 'github' AND extra_stars >= 1000 THEN 0.85
