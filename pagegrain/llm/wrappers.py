@@ -166,6 +166,11 @@ def _texts(node: Node) -> str:
     return "".join(out)
 
 
+def _name_of(text: str) -> str:
+    """A text's stand-in inside wrappers: its opening and its length."""
+    return f"{text[:200]}|{len(text)}"
+
+
 def sketch(node: Node, linked: bool = False, depth: int = 0) -> Part:
     """The wrapper of one page: its tokens, with adjacent repeats grouped."""
     linked = linked or node.tag == "a"
@@ -176,7 +181,7 @@ def sketch(node: Node, linked: bool = False, depth: int = 0) -> Part:
             continue
         text = SPACE.sub(" ", child if isinstance(child, str) else _texts(child)).strip()
         if text:
-            part.children.append(Part(TEXT, same=text[:200] + str(len(text)), plain=0 if linked else len(text), linked=len(text) if linked else 0))
+            part.children.append(Part(TEXT, same=_name_of(text), plain=0 if linked else len(text), linked=len(text) if linked else 0))
     part.children = _grouped(part.children)
     part.plain, part.linked = sum(x.plain for x in part.children), sum(x.linked for x in part.children)
     return part
@@ -246,8 +251,8 @@ def _own_text(part: Part) -> int:
     return sum(_own_text(child) for child in part.children)
 
 
-def main_part(wrapper: Part) -> tuple[list[str], list[list[str]]]:
-    """(path of labels to the article, paths below it of texts that are the template's own). An article element with text wins; else the
+def main_part(wrapper: Part) -> tuple[list[str], list[tuple[list[str], str]]]:
+    """(path of labels to the article; paths below it and texts there that are the template's own). An article element with text wins; else the
     deepest part that holds most of the host's own text."""
     def named(part: Part, path: list[str]):
         if part.outside:
@@ -273,16 +278,16 @@ def main_part(wrapper: Part) -> tuple[list[str], list[list[str]]]:
                 break
             part = inner
         chosen = (path, part)
-    fixed: list[list[str]] = []
+    fixed: list[tuple[list[str], str]] = []
 
     def template(part: Part, path: list[str]):
         for child in part.children:
-            if child.label == TEXT:
-                # The same text on every one of several pages, in a part that does not repeat on a page.
-                if child.same is not None and child.seen >= 5 and not part.repeated:
-                    fixed.append(path)
-            else:
-                template(child, path + [child.label])
+            if child.label != TEXT:
+                if not child.repeated:
+                    template(child, path + [child.label])
+            # The same text on every one of several pages, in a part that does not repeat on a page.
+            elif child.same is not None and child.seen >= 5 and not child.repeated:
+                fixed.append((path, child.same))
 
     template(chosen[1], [])
     return chosen[0], fixed
@@ -311,7 +316,7 @@ def _generic(root: Node) -> list[Node]:
     return by_tag["article"] or by_tag["main"][:1] or by_tag["body"][:1] or [root]
 
 
-def blocks(nodes: list[Node], fixed: set[tuple[str, ...]]) -> list[str]:
+def blocks(nodes: list[Node], fixed: set[tuple[tuple[str, ...], str]]) -> list[str]:
     """The texts of the block elements in page order, decoded, with single spaces; without what is never the article."""
     out: list[str] = []
     run: list[str] = []
@@ -333,7 +338,7 @@ def blocks(nodes: list[Node], fixed: set[tuple[str, ...]]) -> list[str]:
                 if node.tag in BLOCK:
                     close()
             elif isinstance(child, str):
-                if not fixed or path not in fixed:
+                if not fixed or (path, _name_of(SPACE.sub(" ", child).strip())) not in fixed:
                     run.append(child)
             elif child.outside:
                 continue
@@ -353,7 +358,7 @@ def page_text(page: str | None, main: str | None) -> str:
     root = parse(page)
     path, fixed = json.loads(main) if main else ([], [])
     nodes = _places(root, path) if len(path) > 1 else []
-    found = blocks(nodes, {tuple(x) for x in fixed}) if nodes else []
+    found = blocks(nodes, {(tuple(path_), name) for path_, name in fixed}) if nodes else []
     return "\n\n".join(found or blocks(_generic(root), set()))
 
 
