@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagegrain.functions import fixed, texts, urls
 from pagegrain.functions.columns import contains_any, count_of, each, find, find_all, first_of, squeeze, words_in
 from pagegrain.operators import blocks, links
+from pagegrain.session import cut
 from pagegrain.sources import pages as scans
 
 
@@ -150,7 +151,8 @@ def measures(pages: DataFrame) -> DataFrame:
 def assess(pages: DataFrame, articles: DataFrame | None = None, min_items: int = 10, min_prices: int = 4,
            min_chars: int = 1500) -> DataFrame:
     """The completeness verdict of HTML pages ``pages(page_id, url, html)``: kind, complete, score, reason and what was seen."""
-    df = measures(pages)
+    # Five branches read the measures: written once, so no page is scanned or turned to text again.
+    df = cut(measures(pages))
     search = df.where(F.col("kind") == "search").select("page_id", "url", "html", "text")
     match = relevance(search).select("page_id", "mentions", "off_query")
     groups = links.result_groups(search, urls.query_terms("url"))
