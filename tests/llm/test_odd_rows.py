@@ -10,7 +10,7 @@ ITEMS = "item_id long, text string, doc_id long"
 
 
 def items(spark, some=True):
-    rows = [(1, "a b c d e f g h another line altogether", 5), (2, None, None), (None, "x y z " * 9, 1), (3, "", 1), (1, "a b c d e f g h another line altogether", 5)]
+    rows = [(1, "f g h another line altogether and more", 5), (2, None, None), (None, "x y z " * 9, 1), (3, "", 1), (1, "f g h another line altogether and more", 5)]
     return spark.createDataFrame(rows if some else [], ITEMS)
 
 
