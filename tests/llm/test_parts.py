@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pagegrain.llm import attention, decontaminate, queries, toxicity, url_filter, wrappers
+from pagegrain.llm import attention, decontaminate, line_dedup, queries, toxicity, url_filter, wrappers
 from pagegrain.llm.components import components
 from pagegrain.llm.ngram_join import ngram_join
 from pagegrain.llm.textops import pieces
@@ -180,3 +180,16 @@ def test_articles_of_the_given_pages(spark, sf_dir, duck):
         article = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1].replace("<br>", " ")
         parts = [re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", "", part))).strip() for part in re.split(r"</?(?:p|h\d)>", article)]
         assert got[page_id] == "\n\n".join(part for part in parts if part)
+
+
+def test_near_copies_that_are_no_hubs_of_their_bucket(spark):
+    # In one bucket: 1 and 9 are its least and greatest key and like no other line; 3, 4 and 5, 6 are near copies.
+    near = {3: range(100, 200), 4: range(105, 205), 5: range(300, 400), 6: range(302, 402), 1: range(500, 600), 9: range(700, 800)}
+    signed = spark.createDataFrame([(key, [77]) for key in near], "key long, bands array<long>")
+    sets = spark.createDataFrame([(key, [hash_ * 7919 for hash_ in found]) for key, found in near.items()], "key long, shingles array<int>")
+    hubs = line_dedup.verified(line_dedup.candidates(signed), sets, 0.8)
+    labels = spark.createDataFrame([], "key long, component long")
+    assert hubs.count() == 0
+    for block in (1 << 16, 150):
+        found = {tuple(row) for row in line_dedup.remaining(signed, labels, sets, 0.8, block).collect()}
+        assert found == {(3, 4), (5, 6)}
