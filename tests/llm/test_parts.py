@@ -185,11 +185,38 @@ def test_articles_of_the_given_pages(spark, sf_dir, duck):
 def test_near_copies_that_are_no_hubs_of_their_bucket(spark):
     # In one bucket: 1 and 9 are its least and greatest key and like no other line; 3, 4 and 5, 6 are near copies.
     near = {3: range(100, 200), 4: range(105, 205), 5: range(300, 400), 6: range(302, 402), 1: range(500, 600), 9: range(700, 800)}
-    signed = spark.createDataFrame([(key, [77]) for key in near], "key long, bands array<long>")
+    signed = spark.createDataFrame([(key, [77], 100, *[sum({1 << h % 60 for h in found if h // 60 % 4 == at}) for at in range(4)]) for key, found in near.items()],
+                                   "key long, bands array<long>, total int, s0 long, s1 long, s2 long, s3 long")
     sets = spark.createDataFrame([(key, [hash_ * 7919 for hash_ in found]) for key, found in near.items()], "key long, shingles array<int>")
-    hubs = line_dedup.verified(line_dedup.candidates(signed), sets, 0.8)
+    assert line_dedup.verified(line_dedup.candidates(signed), sets, 0.8).count() == 0
     labels = spark.createDataFrame([], "key long, component long")
-    assert hubs.count() == 0
-    for block in (1 << 16, 150):
-        found = {tuple(row) for row in line_dedup.remaining(signed, labels, sets, 0.8, block).collect()}
-        assert found == {(3, 4), (5, 6)}
+    for lines, block in ((256, 1 << 16), (2, 150)):
+        members = line_dedup.open_lines(signed, labels, 0.8, lines)
+        assert {tuple(row) for row in line_dedup.remaining(members, sets, 0.8, block).collect()} == {(3, 4), (5, 6)}
+
+
+def test_fuzzy_lines_share_a_band(spark):
+    # Lines of short words, one of them replaced, in other case and spacing: an exact copy is in no pair.
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rows, pairs = [], 0
+    while pairs < 600:
+        words = ["".join(rng.choice(letters, int(rng.integers(1, 6)))) for _ in range(int(rng.integers(12, 40)))]
+        other = list(words)
+        other[int(rng.integers(0, len(words)))] = "".join(rng.choice(letters, 4))
+        one, two = " ".join(words), " ".join(other)
+        sets = [{line[i : i + 5] for i in range(len(line) - 4)} for line in (one, two)]
+        if one != two and 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]):
+            rows += [(2 * pairs, one), (2 * pairs + 1, two.title().replace(" ", "  ", 1))]
+            pairs += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = [row["doc_id"] for row in line_dedup.line_dedup(docs).where("emptied").collect()]
+    assert all(doc_id % 2 for doc_id in gone) and len(gone) >= 0.99 * pairs
+
+
+def test_every_shingle_of_a_long_line(spark):
+    for length in (3, 5, 67, 68, 69, 128, 132, 133, 300):
+        line = "".join(chr(0x100 + 7 * i % 997) for i in range(length)).lower()
+        got = line_dedup._shingles(spark.createDataFrame([(line,)], "line string")).collect()
+        assert sum(row["first"] for row in got) == 1
+        assert sorted(row["shingle"] for row in got) == sorted([line[i : i + 5] for i in range(length - 4)] or [line])
