@@ -9,6 +9,7 @@ the template's own. Wrappers are folded in every task first, so a host of any si
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import json
 import re
@@ -151,6 +152,8 @@ class Part:
         return cls(label, [cls.of(child) for child in children], *rest)
 
 
+# A template's own text is on so many pages at least, and on this share of its host's.
+TEMPLATE_PAGES, TEMPLATE_SHARE = 5, 0.5
 # Deeper nesting than this is read as the text of its last level, so that no page can exhaust a task.
 DEEPEST = 60
 
@@ -167,8 +170,8 @@ def _texts(node: Node) -> str:
 
 
 def _name_of(text: str) -> str:
-    """A text's stand-in inside wrappers: its opening and its length."""
-    return f"{text[:200]}|{len(text)}"
+    """A text's stand-in inside wrappers: a hash of the whole of it."""
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
 def sketch(node: Node, linked: bool = False, depth: int = 0) -> Part:
@@ -285,8 +288,8 @@ def main_part(wrapper: Part) -> tuple[list[str], list[tuple[list[str], str]]]:
             if child.label != TEXT:
                 if not child.repeated:
                     template(child, path + [child.label])
-            # The same text on every one of several pages, in a part that does not repeat on a page.
-            elif child.same is not None and child.seen >= 5 and not child.repeated:
+            # The same text on every page that has it, several and a share of the host's, in a part that does not repeat on a page.
+            elif child.same is not None and child.seen >= max(TEMPLATE_PAGES, TEMPLATE_SHARE * wrapper.seen) and not child.repeated:
                 fixed.append((path, child.same))
 
     template(chosen[1], [])
@@ -362,21 +365,13 @@ def page_text(page: str | None, main: str | None) -> str:
     return "\n\n".join(found or blocks(_generic(root), set()))
 
 
-SHAPE = re.compile(r"</?[a-zA-Z][^\s>]*(?:\s+(?:class|id)=(?:\"[^\"]*\"|'[^']*'|[^\s>]*))?")
-
-
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One wrapper per host from a task's pages. Pages of a shape that the host has shown twice already in the task add nothing new."""
+    """One wrapper per host from all of a task's pages."""
     held: dict[str, Part] = {}
-    shapes: dict[tuple[str, int], int] = {}
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if not page:
                 continue
-            shape = (host, hash(tuple(dict.fromkeys(SHAPE.findall(page)))))
-            shapes[shape] = shapes.get(shape, 0) + 1
-            if shapes[shape] > 3:
-                continue
             part = sketch(parse(page))
             held[host] = _merged(held[host], part) if host in held else part
     yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(part.plan()) for part in held.values()], pa.string())], names=["host", "wrapper"])

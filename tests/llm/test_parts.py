@@ -220,3 +220,30 @@ def test_every_shingle_of_a_long_line(spark):
         got = line_dedup._shingles(spark.createDataFrame([(line,)], "line string")).collect()
         assert sum(row["first"] for row in got) == 1
         assert sorted(row["shingle"] for row in got) == sorted([line[i : i + 5] for i in range(length - 4)] or [line])
+
+
+def _wrapper_of(pages):
+    batch = pa.RecordBatch.from_arrays([pa.array(["h"] * len(pages)), pa.array(pages)], names=["host", "html"])
+    (row,) = [row for out in wrappers._fold(iter([batch])) for row in out.to_pylist()]
+    return wrappers.Part.of(wrappers.json.loads(row["wrapper"]))
+
+
+def test_every_page_of_a_shape_enters_the_wrapper():
+    page = "<html><body><article><h1>{0}</h1><p class=hint>Printed on every page of the site.</p><div>{1}</div></article></body></html>"
+    pages = [page.format(f"Title {i}", f"Own words of page {i}, " * 20) for i in range(12)]
+    whole = _wrapper_of(pages)
+    assert whole.seen == 12
+    text = wrappers.page_text(pages[0], wrappers.json.dumps(wrappers.main_part(whole)))
+    assert "Own words of page 0" in text and "Printed on every page" not in text
+    # The first pages are copies of one article: what the later ones show is no template.
+    pages = [page.format("Copy", "Words of the copied article, " * 20)] * 6 + pages
+    text = wrappers.page_text(pages[0], wrappers.json.dumps(wrappers.main_part(_wrapper_of(pages))))
+    assert "Words of the copied article" in text and "Printed on every page" not in text
+
+
+def test_texts_that_differ_late_are_no_template():
+    page = "<html><body><article><div>{0}</div></article></body></html>"
+    pages = [page.format("The same opening of each article. " * 10 + f"End {i}") for i in range(8)]
+    text = wrappers.page_text(pages[3], wrappers.json.dumps(wrappers.main_part(_wrapper_of(pages))))
+    assert text.endswith("End 3")
+    assert wrappers._name_of("a" * 300 + "b") != wrappers._name_of("a" * 300 + "c")
