@@ -21,7 +21,7 @@ from pagegrain.llm.textops import buffers
 FOLDS = 5
 # The bound of the sample the labels are learnt from: documents per label, and bytes read of all of them.
 EXAMPLES, TRAIN_BYTES = 1500, 6_000_000
-FILTERS, REACH, STRIDE = 16, 8, 4
+FILTERS, REACH = 16, 8
 CHUNK = 4096
 EPOCHS, RATE = 12, 0.02
 THRESHOLD = 0.3
@@ -43,23 +43,22 @@ class Network:
         return cls((rng.standard_normal((reach, 256, filters)) * 0.3).astype(np.float32), np.zeros(filters, np.float32),
                    (rng.standard_normal(2 * filters) * 0.1).astype(np.float32), 0.0)
 
-    def responses(self, data: np.ndarray, stride: int = STRIDE) -> np.ndarray:
-        """Rectified responses of every window that starts at a multiple of ``stride`` (windows x filters); zero bytes fill up the last window."""
+    def responses(self, data: np.ndarray) -> np.ndarray:
+        """Rectified responses of every window (windows x filters); zero bytes fill up data shorter than a window."""
         reach = len(self.table)
-        data = padded(data, reach, stride)
-        at = np.arange(0, len(data) - reach + 1, stride)
-        total = self.table[0][data[at]] + self.bias
+        data = padded(data, reach)
+        n = len(data) - reach + 1
+        total = self.table[0][data[:n]] + self.bias
         for offset in range(1, reach):
-            total += self.table[offset][data[at + offset]]
+            total += self.table[offset][data[offset : offset + n]]
         return np.maximum(total, 0, out=total)
 
     def logit(self, best: np.ndarray, mean: np.ndarray) -> np.ndarray:
         return np.concatenate([best, mean], axis=1) @ self.out + self.out_b
 
 
-def padded(data: np.ndarray, reach: int, stride: int = STRIDE) -> np.ndarray:
-    short = reach - len(data) if len(data) < reach else -(len(data) - reach) % stride
-    return np.concatenate([data, np.zeros(short, np.uint8)]) if short else data
+def padded(data: np.ndarray, reach: int) -> np.ndarray:
+    return np.concatenate([data, np.zeros(reach - len(data), np.uint8)]) if len(data) < reach else data
 
 
 def chunks(data: np.ndarray, reach: int, size: int = CHUNK) -> Iterator[np.ndarray]:
@@ -91,8 +90,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, epoch
             turn += 1
             g = {name: np.zeros_like(value) for name, value in params.items()}
             for i in order[base : base + 16]:
-                # Another phase of the stride each time, as documents have any.
-                data = padded(texts[i][int(rng.integers(0, STRIDE)) :], reach)
+                data = padded(texts[i], reach)
                 got = network.responses(data)
                 top, n = got.argmax(axis=0), len(got)
                 features = np.concatenate([got[top, np.arange(filters)], got.mean(axis=0)])
@@ -103,12 +101,14 @@ def train(texts: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, epoch
                 d_mean, d_top = d * network.out[filters:] / n, d * network.out[:filters]
                 active = got > 0
                 g["bias"] += d_mean * active.sum(axis=0) + d_top * active[top, np.arange(filters)]
-                at = np.arange(0, n * STRIDE, STRIDE)
                 pull = np.where(active, d_mean, 0).astype(np.float32)
                 pull[top, np.arange(filters)] += d_top * active[top, np.arange(filters)]
-                for offset in range(reach):
-                    cell = data[at + offset][:, None].astype(np.int64) * filters + np.arange(filters)
-                    g["table"][offset] += np.bincount(cell.ravel(), pull.ravel(), 256 * filters).reshape(256, filters)
+                # In slices, so that a long text needs little memory at once.
+                for low in range(0, n, 16 * CHUNK):
+                    high = min(low + 16 * CHUNK, n)
+                    for offset in range(reach):
+                        cell = data[low + offset : high + offset][:, None].astype(np.int64) * filters + np.arange(filters)
+                        g["table"][offset] += np.bincount(cell.ravel(), pull[low:high].ravel(), 256 * filters).reshape(256, filters)
             now = rate * (0.5 + 0.5 * np.cos(np.pi * turn / steps)) + 1e-4
             for name, value in g.items():
                 m[name] += 0.1 * (value - m[name])
@@ -120,7 +120,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, epoch
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, most_bytes: int = TRAIN_BYTES) -> Network:
     """A network learnt from at most ``examples`` labelled documents per label outside the held-out fold, in the order of a hash of their ids,
-    and at most ``most_bytes`` of text (an even share per label; the text that reaches the share is the last)."""
+    and at most ``most_bytes`` of text (an even share per label; whole texts only, a text that does not fit into what is left of the share is passed over)."""
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = texts.select("doc_id").where(remainder(F.col("doc_id"), FOLDS) != 0).join(marks, "doc_id").distinct()
@@ -132,8 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, most_bytes
     size = {0: 0, 1: 0}
     for row in sample.orderBy("order").toLocalIterator():
         label, room = row["quality"], most_bytes // 2 - size[row["quality"]]
-        if room > 0:
-            data = np.frombuffer(bytes(row["data"]), np.uint8)[:room]
+        data = np.frombuffer(bytes(row["data"]), np.uint8)
+        if len(data) <= room:
             held[label].append(data)
             size[label] += len(data)
     n0, n1 = len(held[0]), len(held[1])

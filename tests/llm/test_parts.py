@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pagegrain.llm import attention, decontaminate, line_dedup, queries, toxicity, url_filter, wrappers
+from pagegrain.llm import attention, byte_network, decontaminate, line_dedup, queries, toxicity, url_filter, wrappers
 from pagegrain.llm.components import components
 from pagegrain.llm.ngram_join import ngram_join
 from pagegrain.llm.textops import pieces
@@ -247,3 +247,22 @@ def test_texts_that_differ_late_are_no_template():
     text = wrappers.page_text(pages[3], wrappers.json.dumps(wrappers.main_part(_wrapper_of(pages))))
     assert text.endswith("End 3")
     assert wrappers._name_of("a" * 300 + "b") != wrappers._name_of("a" * 300 + "c")
+
+
+def test_every_window_of_bytes_is_scored():
+    network = byte_network.Network.fresh()
+    data = np.random.default_rng(3).integers(0, 256, 3 * byte_network.CHUNK + 77).astype(np.uint8)
+    for size in (3, 8, 9, byte_network.CHUNK + 6, byte_network.CHUNK + 7, byte_network.CHUNK + 8, len(data)):
+        text = byte_network.padded(data[:size], byte_network.REACH)
+        windows = np.lib.stride_tricks.sliding_window_view(text, byte_network.REACH)
+        want = np.maximum(sum(network.table[k][windows[:, k]] for k in range(byte_network.REACH)) + network.bias, 0)
+        best, mean = byte_network.pooled(network, data[:size])
+        assert np.allclose(best, want.max(axis=0), atol=1e-5) and np.allclose(mean, want.mean(axis=0), atol=1e-5)
+    # A pattern is found wherever it starts.
+    text = np.zeros(200, np.uint8)
+    found = []
+    for start in range(40, 48):
+        moved = text.copy()
+        moved[start : start + 20] = data[:20]
+        found.append(byte_network.pooled(network, moved)[0])
+    assert np.allclose(found, found[0], atol=1e-5)
