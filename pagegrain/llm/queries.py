@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.llm import byte_network, decontaminate, language_model, line_dedup, mixing, ngram_join, quality_rules, toxicity, url_filter, wrappers
+from pagegrain.llm import byte_network, decontaminate, hard_negatives, language_model, line_dedup, mixing, ngram_join, quality_rules, toxicity, url_filter, wrappers
 from pagegrain.llm.common import table
 
 
@@ -52,9 +52,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = table(spark, sf_dir, "embeddings").where(F.col("label").isNotNull() & hard_negatives.usable(F.col("embedding")))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).cast("long")
+    rows = whole.select(F.col("vec_id").cast("long").alias("id"), moved.alias("label"),
+                        F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double")).alias("vector"))
+    return hard_negatives.hard_negatives(rows, rows.where("id % 50 = 0"))
+
+
 QUERIES = {fn.__name__: fn for fn in (
     op1_quality_rules, op2_ngram_join, op3_toxicity, op4_language_model, op5_line_dedup, op6_byte_quality, op7_main_text, op8_mixing, op9_url_filter,
-    op10_decontamination)}
+    op10_decontamination, op11_hard_negatives)}
 
 
 def _glob_regex(glob: str) -> str:
@@ -82,4 +90,22 @@ WITH parts AS (
 SELECT page_id, host, path, {name} ELSE NULL END AS rule, {verdict} ELSE 'allow' END AS verdict FROM parts"""
 
 
-ORACLES: dict[str, str] = {"op9_url_filter": _url_sql()}
+HARD_NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+ranked AS (
+  SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id)::INTEGER AS rank,
+         s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+    AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score)
+SELECT * FROM ranked WHERE rank <= 3"""
+
+ORACLES: dict[str, str] = {"op9_url_filter": _url_sql(), "op11_hard_negatives": HARD_NEGATIVES_SQL}
