@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.llm import byte_network, decontaminate, hard_negatives, language_model, line_dedup, mixing, ngram_join, quality_rules, toxicity, url_filter, wrappers
+from pagegrain.llm import byte_network, decontaminate, filter_audit, hard_negatives, language_model, line_dedup, mixing, ngram_join, quality_rules, toxicity, url_filter, wrappers
 from pagegrain.llm.common import table
 
 
@@ -60,9 +60,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(rows, rows.where("id % 50 = 0"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {fn.__name__: fn for fn in (
     op1_quality_rules, op2_ngram_join, op3_toxicity, op4_language_model, op5_line_dedup, op6_byte_quality, op7_main_text, op8_mixing, op9_url_filter,
-    op10_decontamination, op11_hard_negatives)}
+    op10_decontamination, op11_hard_negatives, op12_filter_audit)}
 
 
 def _glob_regex(glob: str) -> str:
@@ -108,4 +112,35 @@ ranked AS (
     AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score)
 SELECT * FROM ranked WHERE rank <= 3"""
 
-ORACLES: dict[str, str] = {"op9_url_filter": _url_sql(), "op11_hard_negatives": HARD_NEGATIVES_SQL}
+FILTER_AUDIT_SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+measured AS (
+  SELECT doc_id, part, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals,
+         min(doc_id) OVER (PARTITION BY text) AS least
+  FROM texts),
+marked AS (
+  SELECT part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b, 100 * capitals > 3 * length(text) AS c,
+         regexp_matches(text, '[#$%&*|]') AS d, coalesce(least < doc_id, false) AS e,
+         doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic
+  FROM measured),
+tally AS (
+  SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM marked GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT f1.l || f2.l || f3.l || f4.l || f5.l AS filter_order, [f1.bit, f2.bit, f3.bit, f4.bit, f5.bit] AS bits
+  FROM f f1, f f2, f f3, f f4, f f5 WHERE f1.bit + f2.bit + f3.bit + f4.bit + f5.bit = 31 AND f1.bit | f2.bit | f3.bit | f4.bit | f5.bit = 31),
+steps AS (
+  SELECT filter_order, step::INTEGER AS step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS prior
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+counted AS (
+  SELECT p.part, filter_order, step, own,
+         coalesce(sum(n) FILTER (mask & (own | prior) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & own <> 0 AND mask & prior = 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (mask & own <> 0 AND mask & prior <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+         coalesce(sum(t.good) FILTER (mask & own <> 0 AND mask & prior = 0), 0)::BIGINT AS good_lost,
+         coalesce(sum(t.toxic) FILTER (mask & own <> 0 AND mask & prior = 0), 0)::BIGINT AS toxic_lost
+  FROM (SELECT DISTINCT part FROM tally) p CROSS JOIN steps JOIN tally t ON t.part = p.part GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM counted"""
+
+ORACLES: dict[str, str] = {"op9_url_filter": _url_sql(), "op11_hard_negatives": HARD_NEGATIVES_SQL, "op12_filter_audit": FILTER_AUDIT_SQL}
