@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.llm import byte_network, decontaminate, filter_audit, hard_negatives, language_model, line_dedup, mixing, ngram_join, quality_rules, toxicity, url_filter, wrappers
+from pagegrain.llm import byte_network, decontaminate, filter_audit, hard_negatives, language_model, license_scan, line_dedup, mixing, ngram_join, quality_rules, toxicity, url_filter, wrappers
 from pagegrain.llm.common import table
 
 
@@ -64,9 +64,13 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {fn.__name__: fn for fn in (
     op1_quality_rules, op2_ngram_join, op3_toxicity, op4_language_model, op5_line_dedup, op6_byte_quality, op7_main_text, op8_mixing, op9_url_filter,
-    op10_decontamination, op11_hard_negatives, op12_filter_audit)}
+    op10_decontamination, op11_hard_negatives, op12_filter_audit, op13_license_scan)}
 
 
 def _glob_regex(glob: str) -> str:
@@ -143,4 +147,51 @@ counted AS (
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
 FROM counted"""
 
-ORACLES: dict[str, str] = {"op9_url_filter": _url_sql(), "op11_hard_negatives": HARD_NEGATIVES_SQL, "op12_filter_audit": FILTER_AUDIT_SQL}
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{word}'" if isinstance(word, str) else _list(word) for word in words) + "]"
+
+
+def _license_sql() -> str:
+    templates = ", ".join(f"({at}, '{one.label}', {_list(one.text.split())}, {_list([key.split() for key in one.keys])})" for at, one in enumerate(license_scan.TEMPLATES))
+    named = ", ".join(f"('{label}', {_list(phrase.split())})" for label, phrase in license_scan.PHRASES)
+    rare, slack, agree = license_scan.RARE, license_scan.SLACK, license_scan.AGREE
+    return rf"""
+WITH templates(t, label, body, keys) AS (VALUES {templates}),
+named(label, phrase) AS (VALUES {named}),
+texts AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+placed AS (SELECT row, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS at FROM texts),
+posted AS (SELECT t, unnest(body) AS w, generate_subscripts(body, 1) - 1 AS q FROM templates),
+df AS (SELECT w, count(DISTINCT row) AS n FROM placed WHERE w IN (SELECT w FROM posted) GROUP BY w),
+chosen AS (
+  SELECT t, w FROM (SELECT DISTINCT t, w FROM posted) JOIN df USING (w) QUALIFY row_number() OVER (PARTITION BY t ORDER BY n, w) <= {rare}),
+sizes AS (SELECT t, count(*) AS size FROM chosen GROUP BY t),
+votes AS (
+  SELECT p.row, c.t, g.grid, floor((p.at - o.q + g.grid) / {slack}.0) AS cell, count(DISTINCT p.w) AS agreed
+  FROM placed p JOIN chosen c ON c.w = p.w JOIN posted o ON o.t = c.t AND o.w = c.w CROSS JOIN (VALUES (0), ({slack // 2})) g(grid)
+  GROUP BY ALL),
+phrases AS (SELECT DISTINCT phrase FROM (SELECT phrase FROM named UNION ALL SELECT unnest(keys) FROM templates)),
+places AS (
+  SELECT p.row, f.phrase, p.at FROM placed p JOIN phrases f ON p.w = f.phrase[1] JOIN texts x ON x.row = p.row
+  WHERE x.words[p.at + 1 : p.at + len(f.phrase)] = f.phrase),
+likely AS (
+  SELECT v.row, t.t, t.label, v.agreed / s.size AS covered, v.cell * {slack} - v.grid AS start, len(t.body) AS length, t.keys
+  FROM votes v JOIN sizes s USING (t) JOIN templates t USING (t) WHERE v.agreed >= least(2, s.size) AND v.agreed * 100 >= s.size * {agree}),
+checked AS (
+  SELECT l.row, l.t, l.label, l.covered, l.start, k.key, l.length, bool_or(coalesce(p.at BETWEEN l.start - {slack} AND l.start + {2 * slack} + l.length, false)) AS ok
+  FROM (SELECT DISTINCT * FROM likely) l CROSS JOIN unnest(l.keys) AS k(key) LEFT JOIN places p ON p.row = l.row AND p.phrase = k.key GROUP BY ALL),
+accepted AS (SELECT row, label, covered FROM checked GROUP BY row, t, label, covered, start HAVING bool_and(ok)),
+base AS (
+  SELECT p.row, count(*) AS n_base, min(p.at) AS first_word, max(p.at) AS last_word, list(DISTINCT n.label) AS labels
+  FROM places p JOIN named n ON n.phrase = p.phrase GROUP BY p.row),
+more AS (SELECT row, list(DISTINCT label) AS labels, max(covered) AS covered FROM accepted GROUP BY row)
+SELECT x.doc_id, len(x.words)::BIGINT AS n_words, coalesce(b.n_base, 0)::BIGINT AS n_base, b.first_word::BIGINT AS first_word, b.last_word::BIGINT AS last_word,
+       coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ','), '') AS labels,
+       CASE WHEN b.n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(m.covered, 0.0)::DOUBLE END AS score
+FROM texts x LEFT JOIN base b USING (row) LEFT JOIN more m USING (row)"""
+
+
+ORACLES: dict[str, str] = {"op9_url_filter": _url_sql(), "op11_hard_negatives": HARD_NEGATIVES_SQL, "op12_filter_audit": FILTER_AUDIT_SQL, "op13_license_scan": _license_sql()}
