@@ -88,7 +88,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, templates: list[Template], rare: int) -> list[tuple[str, int, int, int]]:
-    """(word, template, rank, place): of each template the ``rare`` words that the fewest documents have (at least one), with all their places.
+    """(word, template, rank, place): of each template the ``rare`` words that the fewest documents have (half of its words at most), with all their
+    places.
 
     Ties go by the word. At most as many counts as the templates have words come to the driver."""
     bodies = [template.text.split() for template in templates]
@@ -99,7 +100,9 @@ def postings(docs: DataFrame, templates: list[Template], rare: int) -> list[tupl
     counts = {row["word"]: row["n"] for row in own.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     found = []
     for at, body in enumerate(bodies):
-        best = sorted((counts[word], word) for word in set(body) if word in counts)[:rare]
+        names = set(body)
+        # A word that no document has is as rare as can be: it finds nothing, and a text without it agrees on less.
+        best = sorted((counts.get(word, 0), word) for word in names)[: min(rare, -(-len(names) // 2))]
         found += [(word, at, rank, place) for rank, (_, word) in enumerate(best) for place, other in enumerate(body) if other == word]
     return found
 

@@ -166,7 +166,8 @@ placed AS (SELECT row, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS
 posted AS (SELECT t, unnest(body) AS w, generate_subscripts(body, 1) - 1 AS q FROM templates),
 df AS (SELECT w, count(DISTINCT row) AS n FROM placed WHERE w IN (SELECT w FROM posted) GROUP BY w),
 chosen AS (
-  SELECT t, w FROM (SELECT DISTINCT t, w FROM posted) JOIN df USING (w) QUALIFY row_number() OVER (PARTITION BY t ORDER BY n, w) <= {rare}),
+  SELECT t, w FROM (SELECT DISTINCT t, w FROM posted) LEFT JOIN df USING (w)
+  QUALIFY row_number() OVER (PARTITION BY t ORDER BY coalesce(n, 0), w) <= least({rare}, ceil(count(*) OVER (PARTITION BY t) / 2.0))),
 sizes AS (SELECT t, count(*) AS size FROM chosen GROUP BY t),
 votes AS (
   SELECT p.row, c.t, g.grid, floor((p.at - o.q + g.grid) / {slack}.0) AS cell, count(DISTINCT p.w) AS agreed
