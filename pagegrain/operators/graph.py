@@ -98,28 +98,65 @@ def sitemap_walk(children: DataFrame, roots: DataFrame, max_rounds: int | None =
     return seen
 
 
-def paginate(starts: DataFrame, listing: DataFrame, max_pages: int) -> DataFrame:
+def _doubled(state: DataFrame, missing: str) -> DataFrame:
+    """One round of pointer doubling over pages (url, jump, steps, status, least): each open page takes over where its jump has come to.
+
+    ``status`` is set once a stop is reached, ``steps`` away; ``least`` is the smallest page among those jumped over. A jump to a page that is not
+    there stops with ``missing``. The jumped-to side has one row a page, so a page that many lead to is split by Spark."""
+    ahead = state.select(F.col("url").alias("jump"), F.col("jump").alias("further"), F.col("steps").alias("more"), F.col("status").alias("found"), F.col("least").alias("below"))
+    met = state.where("status IS NULL").join(ahead, "jump", "left")
+    status = F.when(F.col("more").isNull(), missing).otherwise(F.col("found"))
+    moved = met.select("url", F.when(status.isNull(), F.col("further")).alias("jump"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), status.alias("status"),
+                       F.least("least", "below").alias("least"))
+    return cut(state.where("status IS NOT NULL").unionByName(moved))
+
+
+def _resolved(state: DataFrame, missing: str, reach: int, jumps: list[DataFrame] | None = None) -> DataFrame:
+    """Doubling until every page has a status or has been followed for ``reach`` steps; ``jumps`` collects (url, jump) of open pages before each round."""
+    covered = 1
+    while True:
+        if jumps is not None:
+            jumps.append(state.where("status IS NULL").select("url", "jump"))
+        if covered >= reach or state.where("status IS NULL").isEmpty():
+            return state
+        state, covered = _doubled(state, missing), covered * 2
+
+
+def paginate(starts: DataFrame, listing: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Follows each chain's next links: chain_id, pages, status. ``starts(chain_id, url)``, ``listing(url, next_url, rows)``.
 
-    All chains move one page per round. A chain ends when a page has no next link, links off its origin, repeats a page, is
-    empty, or the page limit is reached; the status says which.
+    A chain ends when a page has no next link, links off its origin, repeats a page, is empty or not there, or the page limit is reached;
+    the status says which. Whether a page ends a chain is seen on the page itself, so all pages find the distance to their end by pointer doubling, in
+    as many rounds as the limit has binary digits. What is left leads into cycles: a page that is the smallest among its own followers names a cycle,
+    its pages are gathered by doubling, and the pages before them find their distance to it. Of several rows of one page the least counts.
     """
-    current = starts.select("chain_id", "url", urls.origin("url").alias("origin"), F.array("url").alias("visited"))
-    done = None
-    for page in range(1, max_pages + 1):
-        step = current.join(listing.select("url", "next_url", "rows"), "url", "left")
-        upcoming = F.col("next_url")
-        status = first_of([
-            (F.coalesce("rows", F.lit(0)) == 0, "content_mismatch"), (upcoming.isNull(), "continuation_exhausted"),
-            ((urls.origin(upcoming) != F.col("origin")) | ~upcoming.startswith("https://") | upcoming.contains("#"), "invalid_continuation"),
-            (F.array_contains("visited", upcoming), "continuation_cycle"), (F.lit(page == max_pages), "page_limit_reached")])
-        step = cut(step.withColumn("status", status))
-        ended = step.where(F.col("status").isNotNull()).select("chain_id", F.lit(page).alias("pages"), "status")
-        done = ended if done is None else done.unionByName(ended)
-        current = step.where(F.col("status").isNull()).select("chain_id", upcoming.alias("url"), "origin", F.concat("visited", F.array(upcoming)).alias("visited"))
-        if current.isEmpty():
-            break
-    return done
+    pages = listing.groupBy("url").agg(F.min(F.struct("next_url", "rows")).alias("page")).select("url", "page.*")
+    upcoming = F.col("next_url")
+    own = first_of([
+        (F.coalesce("rows", F.lit(0)) == 0, "content_mismatch"), (upcoming.isNull(), "continuation_exhausted"),
+        ((urls.origin(upcoming) != urls.origin("url")) | ~upcoming.startswith("https://") | upcoming.contains("#"), "invalid_continuation")], F.lit(None).cast("string"))
+    jump = F.when(F.col("status").isNull(), upcoming)
+    nodes = cut(pages.withColumn("status", own).select("url", jump.alias("jump"), F.when(F.col("status").isNull(), 1).otherwise(0).cast("long").alias("steps"), "status", jump.alias("least")))
+    reach, jumps = max_pages or max(nodes.count(), 1), []
+    state = _resolved(nodes, "content_mismatch", reach, jumps)
+    ends = state.where("status IS NOT NULL").select("url", F.col("steps") + 1, "status").toDF("url", "pages", "status")
+    ring = state.where("status IS NULL AND least = url").select("url", F.col("url").alias("leader"))
+    if not ring.isEmpty():
+        for step in jumps:
+            ring = cut(ring.unionByName(ring.join(step, "url").select(F.col("jump").alias("url"), "leader")).distinct())
+        length = ring.groupBy("leader").agg(F.count(F.lit(1)).alias("length"))
+        open_pages = jumps[0].join(state.where("status IS NULL").select("url"), "url", "left_semi").join(ring, "url", "left")
+        tails = open_pages.select("url", F.when(F.col("leader").isNull(), F.col("jump")).alias("jump"), F.when(F.col("leader").isNull(), 1).otherwise(0).cast("long").alias("steps"),
+                                  F.col("leader").alias("status"), F.lit(None).cast("string").alias("least"))
+        before = _resolved(cut(tails), "", reach).where("status IS NOT NULL").withColumnRenamed("status", "leader").join(length, "leader")
+        ends = ends.unionByName(before.select("url", (F.col("steps") + F.col("length")).alias("pages"), F.lit("continuation_cycle").alias("status")))
+    asked = starts.select("chain_id", "url").join(nodes.select("url", F.lit(True).alias("there")), "url", "left").join(ends, "url", "left")
+    status = F.when(F.col("there").isNull(), "content_mismatch").otherwise(F.col("status"))
+    count = F.when(F.col("there").isNull(), 1).otherwise(F.col("pages"))
+    if max_pages is None:
+        return asked.select("chain_id", count.cast("int").alias("pages"), status.alias("status"))
+    over = count.isNull() | (count > max_pages)
+    return asked.select("chain_id", F.when(over, max_pages).otherwise(count).cast("int").alias("pages"), F.when(over, "page_limit_reached").otherwise(status).alias("status"))
 
 
 # ---- listings -----------------------------------------------------------------------

@@ -337,19 +337,30 @@ def attempt_timeline(attempts: DataFrame) -> DataFrame:
                        "offset_ms", inclusive=False)
 
 
-def untried(candidates: DataFrame, attempts: DataFrame, retries: DataFrame) -> DataFrame:
-    """Tools a trace has not used, anywhere in its retry chain. ``retries(trace_id, retry_of)``; ``candidates(trace_id, provider)``.
-
-    Chains are followed by doubling: each round joins every trace to the ancestor its ancestor found.
-    """
-    links = retries.where(F.col("retry_of").isNotNull()).select("trace_id", F.col("retry_of").alias("ancestor"))
-    reach = links
+def retry_tools(attempts: DataFrame, retries: DataFrame) -> DataFrame:
+    """trace_id, tools: every tool used by a trace that is in a retry chain, or by one that it retries, however far back.
+
+    ``retries(trace_id, retry_of)``: a trace retries one other (of several rows the least counts). Chains are followed by pointer jumping with the tools
+    folded along the way: a trace knows the tools up to its pointer, and takes those of the trace it points to. Rows stay as many as traces, rounds are
+    the logarithm of the longest chain, and a ring of retries ends when a round brings no tool."""
+    links = retries.where(F.col("trace_id").isNotNull() & F.col("retry_of").isNotNull()).groupBy("trace_id").agg(F.min("retry_of").alias("back"))
+    roots = links.select(F.col("back").alias("trace_id")).distinct().join(links, "trace_id", "left_anti").withColumn("back", F.lit(None).cast(links.schema["back"].dataType))
+    own = attempts.groupBy("trace_id").agg(F.array_sort(F.collect_set("provider")).alias("own"))
+    empty = F.array().cast("array<string>")
+    state = cut(links.unionByName(roots).join(own, "trace_id", "left").select("trace_id", "back", F.coalesce("own", empty).alias("tools")))
+    known = None
     while True:
-        further = reach.alias("a").join(reach.alias("b"), F.col("a.ancestor") == F.col("b.trace_id")).select("a.trace_id", "b.ancestor")
-        grown = cut(reach.unionByName(further).distinct())
-        if grown.count() == reach.count():
-            break
-        reach = grown
-    chain = reach.unionByName(candidates.select("trace_id", F.col("trace_id").alias("ancestor")).distinct())
-    used = chain.join(attempts.select(F.col("trace_id").alias("ancestor"), "provider").distinct(), "ancestor").select("trace_id", "provider")
-    return candidates.join(used.distinct(), ["trace_id", "provider"], "left_anti")
+        left, now = state.agg(F.count("back"), F.sum(F.size("tools"))).head()
+        if not left or now == known:
+            return state.select("trace_id", "tools")
+        known = now
+        before = state.select(F.col("trace_id").alias("back"), F.col("back").alias("further"), F.col("tools").alias("theirs"))
+        moved = state.where("back IS NOT NULL").join(before, "back").select("trace_id", F.col("further").alias("back"), F.array_union("tools", "theirs").alias("tools"))
+        state = cut(state.where("back IS NULL").unionByName(moved))
+
+
+def untried(candidates: DataFrame, attempts: DataFrame, retries: DataFrame) -> DataFrame:
+    """Tools a trace has not used, anywhere in its retry chain. ``retries(trace_id, retry_of)``; ``candidates(trace_id, provider)``."""
+    chained = retry_tools(attempts, retries).select("trace_id", F.explode("tools").alias("provider"))
+    used = attempts.select("trace_id", "provider").unionByName(chained).distinct()
+    return candidates.join(used, ["trace_id", "provider"], "left_anti")
