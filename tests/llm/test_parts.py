@@ -7,6 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions
+
 from pagegrain.llm import attention, byte_network, decontaminate, line_dedup, queries, toxicity, url_filter, wrappers
 from pagegrain.llm.components import components
 from pagegrain.llm.ngram_join import ngram_join
@@ -182,17 +184,21 @@ def test_articles_of_the_given_pages(spark, sf_dir, duck):
         assert got[page_id] == "\n\n".join(part for part in parts if part)
 
 
+def _as_line(numbers):
+    return "".join(chr(0x4E00 + number) for number in numbers)
+
+
 def test_near_copies_that_are_no_hubs_of_their_bucket(spark):
     # In one bucket: 1 and 9 are its least and greatest key and like no other line; 3, 4 and 5, 6 are near copies.
     near = {3: range(100, 200), 4: range(105, 205), 5: range(300, 400), 6: range(302, 402), 1: range(500, 600), 9: range(700, 800)}
-    signed = spark.createDataFrame([(key, [77], 100, *[sum({1 << h % 60 for h in found if h // 60 % 4 == at}) for at in range(4)]) for key, found in near.items()],
-                                   "key long, bands array<long>, total int, s0 long, s1 long, s2 long, s3 long")
-    sets = spark.createDataFrame([(key, [hash_ * 7919 for hash_ in found]) for key, found in near.items()], "key long, shingles array<int>")
-    assert line_dedup.verified(line_dedup.candidates(signed), sets, 0.8).count() == 0
+    kinds = {3: 1, 4: 1, 5: 2, 6: 2, 1: 3, 9: 4}
+    signed = spark.createDataFrame([(key, [77], 100, *[kinds[key] * 0x01010101010101] * 3) for key in near], "key long, bands array<long>, total int, s0 long, s1 long, s2 long")
+    texts = spark.createDataFrame([(key, _as_line(found)) for key, found in near.items()], "key long, line string")
+    assert line_dedup.verified(line_dedup.candidates(signed), texts, 0.8).count() == 0
     labels = spark.createDataFrame([], "key long, component long")
     for lines, block in ((256, 1 << 16), (2, 150)):
-        members = line_dedup.open_lines(signed, labels, 0.8, lines)
-        assert {tuple(row) for row in line_dedup.remaining(members, sets, 0.8, block).collect()} == {(3, 4), (5, 6)}
+        members = line_dedup.open_lines(signed, labels, line_dedup.BANDS, line_dedup.ROWS, lines)
+        assert {tuple(row) for row in line_dedup.remaining(members, texts, signed, 0.8, line_dedup.BANDS, line_dedup.ROWS, block).collect()} == {(3, 4), (5, 6)}
 
 
 def test_fuzzy_lines_share_a_band(spark):
@@ -214,12 +220,17 @@ def test_fuzzy_lines_share_a_band(spark):
     assert all(doc_id % 2 for doc_id in gone) and len(gone) >= 0.99 * pairs
 
 
-def test_every_shingle_of_a_long_line(spark):
-    for length in (3, 5, 67, 68, 69, 128, 132, 133, 300):
-        line = "".join(chr(0x100 + 7 * i % 997) for i in range(length)).lower()
-        got = line_dedup._shingles(spark.createDataFrame([(line,)], "line string")).collect()
-        assert sum(row["first"] for row in got) == 1
-        assert sorted(row["shingle"] for row in got) == sorted([line[i : i + 5] for i in range(length - 4)] or [line])
+def test_every_shingle_of_a_line_is_signed(spark):
+    # The minima of a line are those over all its shingles, whatever its characters: they are the least of the minima of its single shingles.
+    rows = line_dedup.ROWS
+    for length in (3, 5, 67, 300):
+        line = "".join(chr(0x100 + 7 * i % 997) if i % 11 else chr(0x1F600 + i % 7) for i in range(length)).lower()
+        parts = [line[i : i + 5] for i in range(length - 4)] or [line]
+        whole = line_dedup.signatures(spark.createDataFrame([(1, line)], "doc_id long, line string"), 1, rows).head()
+        assert whole["total"] == len(parts) and whole["n"] == 1
+        singles = spark.createDataFrame([(part.encode("utf-32-be"),) for part in parts], "wide binary").selectExpr(*[f"hash({row}, xxhash64(wide)) h{row}" for row in range(rows)])
+        least = singles.agg(*[functions.min(functions.col(f"h{row}").bitwiseXOR(functions.lit(line_dedup._spread(row)))).alias(f"m{row}") for row in range(rows)])
+        assert least.selectExpr(f"xxhash64(0, {', '.join(f'm{row}' for row in range(rows))}) b").head()["b"] == whole["bands"][0]
 
 
 def _wrapper_of(pages):
