@@ -84,6 +84,20 @@ def test_a_link_watch_goes_on_where_it_ended(spark, tmp_path):
     assert run() == set()
 
 
+def test_a_watch_reads_only_its_batch(spark, tmp_path):
+    schema = "watch string, link string, polled_at timestamp, ok boolean"
+    day = [datetime.datetime(2024, 1, n) for n in range(1, 4)]
+    for at in range(3):
+        poll(tmp_path, spark, "polls", [("w", f"link-{at}-{n}", day[at], True) for n in range(50)] + [("w", "link-0-1", day[at], True), (f"w{at}", "x", day[at], True)], schema)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "polls"))
+    found = watch.link_watch(stream, home=str(tmp_path / "home"))
+    assert found.count() == 153 and found.where("first_poll").count() == 53
+    # What a batch looked at again is its own rows: the history is in the state store only.
+    batches = spark.read.parquet(str(tmp_path / "home" / "batches"))
+    assert [row["count"] for row in batches.groupBy("batch").count().orderBy("batch").collect()] == [53, 52, 52]
+    assert (tmp_path / "home" / "progress" / "state").exists() and not (tmp_path / "home" / "seen").exists()
+
+
 def test_a_change_watch_sees_every_change(spark, tmp_path):
     schema = "page string, at int, body string"
 
