@@ -194,10 +194,10 @@ def test_near_copies_that_are_no_hubs_of_their_bucket(spark):
     kinds = {3: 1, 4: 1, 5: 2, 6: 2, 1: 3, 9: 4}
     signed = spark.createDataFrame([(key, [77], 100, *[kinds[key] * 0x01010101010101] * 3) for key in near], "key long, bands array<long>, total int, s0 long, s1 long, s2 long")
     texts = spark.createDataFrame([(key, _as_line(found)) for key, found in near.items()], "key long, line string")
-    assert line_dedup.verified(line_dedup.candidates(signed), texts, 0.8).count() == 0
+    assert line_dedup.verified(line_dedup.candidates(line_dedup.shared(signed), signed), texts, 0.8).count() == 0
     labels = spark.createDataFrame([], "key long, component long")
     for lines, block in ((256, 1 << 16), (2, 150)):
-        members = line_dedup.open_lines(signed, labels, line_dedup.BANDS, line_dedup.ROWS, lines)
+        members = line_dedup.open_lines(line_dedup.shared(signed), signed, labels, line_dedup.BANDS, line_dedup.ROWS, lines)
         assert {tuple(row) for row in line_dedup.remaining(members, texts, signed, 0.8, line_dedup.BANDS, line_dedup.ROWS, block).collect()} == {(3, 4), (5, 6)}
 
 
