@@ -83,12 +83,41 @@ def test_nearest_examples_are_exact():
         weights = rng.random(len(places)).astype(np.float32)
         rows.append((i, int(rng.random() < 0.3), places, weights / np.linalg.norm(weights)))
     index = toxicity.Index.build(np.arange(40, dtype=np.uint64), np.ones(40), rows, 0.3)
-    for _ in range(50):
-        places = np.sort(rng.choice(40, 3, replace=False))
-        weights = np.array([0.6, 0.6, 0.53], np.float32)
-        found, near = index.nearest(places, weights)
-        every = np.sort(index.vectors[:, places] @ weights)[::-1]
-        assert np.allclose(near, every[every > 0][: len(near)], atol=1e-5) and len(near) == min(toxicity.NEIGHBOURS, int((every > 0).sum()))
+    whole = np.zeros((len(rows), 40), np.float32)
+    for at, (_, _, places, weights) in enumerate(sorted(rows, key=lambda row: index.ids.index(row[0]))):
+        whole[at, places] = weights
+    asked = [np.sort(rng.choice(40, 3, replace=False)) for _ in range(50)]
+    weights = np.array([0.6, 0.6, 0.53], np.float32)
+    skip = np.arange(50) * 3
+    for skipped in (None, skip):
+        found, near = index.nearest(np.repeat(np.arange(50), 3), np.concatenate(asked), np.tile(weights, 50), 50, skipped)
+        for i, places in enumerate(asked):
+            every = whole[:, places] @ weights
+            if skipped is not None:
+                every[skip[i]] = 0
+            best = np.sort(every[every > 0])[::-1][: toxicity.NEIGHBOURS]
+            assert np.allclose(near[i][: len(best)], best, atol=2e-5) and (found[i] >= 0).sum() == len(best)
+            assert np.allclose(every[found[i][: len(best)]], best, atol=2e-5)
+
+
+def test_posting_lists_and_common_terms_add_up():
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(300):
+        places = np.sort(rng.choice(3000, 30, replace=False) if i % 2 else np.append(rng.choice(np.arange(20, 3000), 25, replace=False), np.arange(5)))
+        weights = rng.random(30).astype(np.float32)
+        rows.append((i, i % 2, places, weights / np.linalg.norm(weights)))
+    index = toxicity.Index.build(np.arange(3000, dtype=np.uint64), np.ones(3000), rows, 0.5)
+    assert 0 < index.matrix.shape[1] < 3000 and len(index.rows)
+    whole = np.zeros((300, 3000), np.float32)
+    for row in rows:
+        whole[index.ids.index(row[0]), row[2]] = row[3]
+    docs, places = np.repeat(np.arange(300), 30), np.concatenate([row[2] for row in rows])
+    found, near = index.nearest(docs, places, np.concatenate([row[3] for row in rows]), 300)
+    for i, row in enumerate(rows):
+        every = np.sort(whole[:, row[2]] @ row[3])[::-1]
+        count = int((every > 1e-5).sum())
+        assert np.allclose(near[i][:count], every[: min(count, toxicity.NEIGHBOURS)], atol=3e-5) and index.ids[found[i][0]] == i
 
 
 def test_longest_common_subsequence():
