@@ -382,8 +382,21 @@ def f5(t):
     return modules.extract(t.product_pages, ["name"])
 
 
-@query("f6_record_udtf")
+F6 = """SELECT p_partkey AS page_id, unnest(['/c/1', '/c/2', '/c/3', '/product/' || p_partkey || 'a', '/product/' || p_partkey || 'b',
+  '/product/' || p_partkey || 'c', '/product/' || p_partkey || 'd']) AS path, unnest([1, 1, 1, 6, 3, 4, 4]) AS n_lines FROM part"""
+
+
+@query("f6_record_udtf", F6)
 def f6(t):
-    registries.register_record_udtf(t.spark)
+    registries.register_record_blocks(t.spark, t.listing_md)
+    t.listing_md.createOrReplaceTempView("pagegrain_listing_md")
+    rows = t.spark.sql("SELECT p.page_id, r.target, r.lines FROM pagegrain_listing_md p, LATERAL record_blocks(p.page_id) r")
+    return rows.select("page_id", urls.path("target").alias("path"), F.size("lines").alias("n_lines"))
+
+
+@query("f6_record_fields", """SELECT p_partkey AS page_id, unnest([p_name || ' A', p_name || ' B', p_name || ' C', p_name || ' D']) AS name,
+  unnest([p_size + 15.0, p_size + 30.0, p_size + 40.0, p_size + 50.0]) AS price, unnest([p_size + 20.0, NULL, NULL, NULL]) AS was_price FROM part""")
+def f6_fields(t):
+    registries.register_listing_records(t.spark, t.listing_md)
     t.listing_md.createOrReplaceTempView("pagegrain_listing_md")
-    return t.spark.sql("SELECT p.page_id, r.target, r.n_lines FROM pagegrain_listing_md p, LATERAL record_blocks(p.content) r")
+    return t.spark.sql("SELECT p.page_id, r.name, r.price, r.was_price FROM pagegrain_listing_md p, LATERAL listing_records(p.page_id) r")
