@@ -61,16 +61,30 @@ def _placed(piece: Pieces, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return *np.divmod(keys, len(terms)), counts
 
 
-def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per example: doc_id, toxic, its distinct terms, how often it has them, and whether they are words (not openings)."""
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per piece of the sample: term, whether it is a word (not an opening), how many texts of each label have it."""
     for batch in batches:
-        for at, to, piece in pieces(batch.column(1), letters=True):
-            found, docs = _terms(piece)
-            names = np.unique(found)
-            docs, places, counts = _placed(piece, names)
-            cut, word = pa.array(np.searchsorted(docs, np.arange(to - at + 1)).astype(np.int32)), np.isin(names, piece.hashes())
-            lists = [pa.ListArray.from_arrays(cut, pa.array(values)) for values in (signed(names[places]), counts.astype(np.int32), word[places])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(2).slice(at, to - at), *lists], names=["doc_id", "toxic", "terms", "counts", "words"])
+        toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        for at, to, piece in pieces(batch.column(0), letters=True):
+            names = np.unique(_terms(piece)[0])
+            docs, places, _ = _placed(piece, names)
+            label = toxic[at:to][docs]
+            sides = [np.bincount(places, side, len(names)).astype(np.int64) for side in (label, 1 - label)]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(names)), pa.array(np.isin(names, piece.hashes())), *map(pa.array, sides)], names=["term", "word", "n_toxic", "n_clean"])
+
+
+def _example_terms(names: np.ndarray):
+    """Per example: doc_id, toxic, the places of its terms and how often it has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to, piece in pieces(batch.column(1), letters=True):
+                docs, places, counts = _placed(piece, names)
+                cut = pa.array(np.searchsorted(docs, np.arange(to - at + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cut, pa.array(values.astype(np.int32))) for values in (places, counts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(2).slice(at, to - at), *lists], names=["doc_id", "toxic", "places", "counts"])
+
+    return run
 
 
 def _document_counts(names: np.ndarray):
@@ -95,7 +109,26 @@ def telling(n_toxic: np.ndarray, n_clean: np.ndarray, toxic: int, clean: int) ->
     c, d = toxic - a, clean - b
     below = (a + b) * (c + d) * max(toxic, 1) * max(clean, 1)
     chi = (toxic + clean) * (a * d - b * c) ** 2 / np.where(below > 0, below, 1) * (below > 0)
-    return np.clip((chi / min(SIGNIFICANT, max((toxic + clean) / 8, 1e-9))) ** 2, FAINT, 1.0)
+    return np.clip((chi / _significant(toxic + clean)) ** 2, FAINT, 1.0)
+
+
+def _significant(examples: int) -> float:
+    return min(SIGNIFICANT, max(examples / 8, 1e-9))
+
+
+def _telling_terms(sample: DataFrame, toxic: int, clean: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sample's words, and those of its openings that weigh more than the least, ascending; and the part of its IDF each weighs."""
+    a, b = F.col("a"), F.col("b")
+    c, d = F.lit(float(toxic)) - a, F.lit(float(clean)) - b
+    below = (a + b) * (c + d) * F.lit(float(max(toxic, 1)) * max(clean, 1))
+    chi = F.coalesce(F.lit(float(toxic + clean)) * (a * d - b * c) * (a * d - b * c) / F.nullif(below, F.lit(0.0)), F.lit(0.0))
+    counted = sample.select("text", "toxic").mapInArrow(_term_counts, "term long, word boolean, n_toxic long, n_clean long").groupBy("term").agg(
+        F.bool_or("word").alias("word"), F.sum("n_toxic").cast("double").alias("a"), F.sum("n_clean").cast("double").alias("b"))
+    # Openings of no information say what their words say.
+    found = counted.where(F.col("word") | (chi > _significant(toxic + clean) * FAINT**0.5)).select("term", "a", "b").toArrow()
+    names = found.column("term").to_numpy().view(np.uint64)
+    order = np.argsort(names)
+    return names[order], telling(found.column("a").to_numpy()[order], found.column("b").to_numpy()[order], toxic, clean)
 
 
 @dataclass
@@ -230,23 +263,15 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours
     first = [known.where(F.col("toxic") == label).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for label in (0, 1)]
     ids = kept(first[0].union(first[1]))
     sample = kept(texts.join(F.broadcast(ids), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic"))
-    rows = sample.mapInArrow(_example_terms, "doc_id long, toxic int, terms array<long>, counts array<int>, words array<boolean>").orderBy("doc_id").toArrow()
-    if not rows.num_rows:
-        return Index.build(np.zeros(0, np.uint64), np.zeros(0), [], prior, neighbours)
-    toxic = rows.column("toxic").to_numpy().astype(np.int64)
-    lists = rows.column("terms").combine_chunks()
+    sizes = {row["toxic"]: row["n"] for row in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    names, share = _telling_terms(sample, sizes.get(1, 0), sizes.get(0, 0))
+    if not len(names):
+        return Index.build(names, share, [], prior, neighbours)
+    rows = sample.mapInArrow(_example_terms(names), "doc_id long, toxic int, places array<int>, counts array<int>").orderBy("doc_id").toArrow()
+    toxic, lists = rows.column("toxic").to_numpy(), rows.column("places").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    found, counts = lists.flatten().to_numpy().view(np.uint64), rows.column("counts").combine_chunks().flatten().to_numpy()
-    words = rows.column("words").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    names, places = np.unique(found, return_inverse=True)
-    n_toxic = np.bincount(places, toxic[owner], len(names))
-    share = telling(n_toxic, np.bincount(places, minlength=len(names)) - n_toxic, int(toxic.sum()), int(len(toxic) - toxic.sum()))
-    # Openings of no information say what their words say.
-    stay = (np.bincount(places, words, len(names)) > 0) | (share > FAINT)
-    has = stay[places]
-    names, share, places, counts, owner = names[stay], share[stay], (np.cumsum(stay) - 1)[places[has]], counts[has], owner[has]
-    sizes = np.bincount(owner, minlength=len(sizes))
+    places, counts = lists.flatten().to_numpy(), rows.column("counts").combine_chunks().flatten().to_numpy()
     counted = texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_document_counts(names), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
     frequency = np.zeros(len(names))
     frequency[counted["place"].to_numpy()] = counted["n"].to_numpy()
