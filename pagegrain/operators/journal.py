@@ -192,7 +192,9 @@ def route_tail(rows: DataFrame, scope: list[str]) -> DataFrame:
 def tool_evidence(rows: DataFrame, scope: list[str], minimum: int = 2, verified_only: bool = True) -> DataFrame:
     """Per scope (which ends in the tool): samples, successes after the last failure, their median, and whether it may lead."""
     rows = cut(rows)
-    tail = cut(route_tail(rows, scope))
+    # A latency counts when it is a number from 0 on, short of infinity.
+    timed = F.when((F.col("latency_ms") >= 0) & (F.col("latency_ms") < float("inf")), F.col("latency_ms"))
+    tail = cut(route_tail(rows, scope).withColumn("latency_ms", timed))
     counts = rows.groupBy(*scope).agg(F.count(F.lit(1)).alias("samples"))
     after = tail.groupBy(*scope).agg(F.count(F.lit(1)).alias("successes"), F.count_if("verified").alias("verified_successes"),
                                      F.count("latency_ms").alias("latencies"))
@@ -204,6 +206,49 @@ def tool_evidence(rows: DataFrame, scope: list[str], minimum: int = 2, verified_
     return joined.withColumn("eligible", enough)
 
 
+SCOPE = ["domain", "path_pattern", "operation", "adapter", "adapter_version", "acquisition_context"]
+
+
+def in_scope(rows: DataFrame, plans: DataFrame, definitions: DataFrame, ttl_seconds: int) -> DataFrame:
+    """The canonical rows that count as evidence for each plan: ``rows`` with plan_id.
+
+    ``plans(plan_id, planned_at, adapter_binding_id, and SCOPE)``; ``definitions(provider, provider_version, provider_binding_id, valid_from, valid_until)``,
+    each with an open end where null. A row is evidence from its own time for the TTL, while its tool is defined with its version and, if the definition
+    names one, its binding; scopes are equal, nulls included. That is an interval per row, met with the plans by scope and TTL-sized time slot, so a busy
+    scope spreads over time and no plan sees the rows of another slot."""
+    def slot(at):
+        return F.floor(F.unix_timestamp(at.cast("timestamp")) / ttl_seconds)
+
+    known = definitions.select("provider", "provider_version", F.col("provider_binding_id").alias("_binding"), "valid_from", "valid_until")
+    public = rows.where((F.col("identity_class") == "public") & ~(F.col("adapter").isNull() & F.col("adapter_binding_id").isNotNull()))
+    for name in ("provider_binding_id", "adapter_binding_id"):
+        public = public.where(F.col(name).isNull() | F.col(name).rlike("^[0-9a-f]{64}$"))
+    defined = public.join(known, ["provider", "provider_version"]).where(F.col("_binding").isNull() | (F.col("provider_binding_id") == F.col("_binding")))
+    defined = defined.withColumn("_slot", F.explode(F.array(slot(F.col("observed_at")), slot(F.col("observed_at")) + 1)))
+    asked = plans.select("plan_id", "planned_at", F.col("adapter_binding_id").alias("_adapter_binding"), slot(F.col("planned_at")).alias("_plan_slot"),
+                         *[F.col(name).alias(f"_s_{name}") for name in SCOPE])
+    met = F.col("_slot") == F.col("_plan_slot")
+    for name in SCOPE:
+        met = met & F.col(name).eqNullSafe(F.col(f"_s_{name}"))
+    age = F.unix_micros(F.col("planned_at").cast("timestamp")) - F.unix_micros(F.col("observed_at").cast("timestamp"))
+    fresh = (age >= 0) & (age <= ttl_seconds * 1_000_000)
+    valid = (F.col("valid_from").isNull() | (F.col("planned_at") >= F.col("valid_from"))) & (F.col("valid_until").isNull() | (F.col("planned_at") < F.col("valid_until")))
+    bound = F.col("_adapter_binding").isNull() | (F.col("adapter_binding_id") == F.col("_adapter_binding"))
+    return defined.join(asked, met & fresh & valid & bound).select("plan_id", *rows.columns)
+
+
+def plan_order(rows: DataFrame, plans: DataFrame, definitions: DataFrame, candidates: DataFrame, ttl_seconds: int, minimum: int = 2, verified_only: bool = True) -> DataFrame:
+    """Every plan's tools in order, with their evidence: eligible ones by median latency, the rest as listed. ``candidates(plan_id, provider, position)``.
+
+    Evidence is what lies in the plan's scope (see ``in_scope``) after the tool's last failure there; a tool without any keeps its place."""
+    evidence = tool_evidence(in_scope(rows, plans, definitions, ttl_seconds), ["plan_id", "provider"], minimum, verified_only)
+    joined = candidates.join(evidence, ["plan_id", "provider"], "left").withColumn("eligible", F.coalesce("eligible", F.lit(False)))
+    for name in ("samples", "successes", "verified_successes", "latencies"):
+        joined = joined.withColumn(name, F.coalesce(name, F.lit(0)))
+    order = Window.partitionBy("plan_id").orderBy(F.when(F.col("eligible"), 0).otherwise(1), F.when(F.col("eligible"), F.col("median_ms")), "position")
+    return joined.withColumn("rank", F.row_number().over(order))
+
+
 def tool_order(evidence: DataFrame, candidates: DataFrame, place: list[str]) -> DataFrame:
     """Tools of each place in order: eligible ones by median latency, the rest as registered. ``candidates(provider, position)``."""
     # A place has as many rows as there are tools, so this window is small.

@@ -113,6 +113,40 @@ def o10(t):
     return journal.tool_order(evidence, tools, ["domain"]).select("domain", "provider", "successes", "eligible", "rank")
 
 
+_ORDER = "['http', 'local', 'reader', 'stealth', 'paid']"
+
+
+@query("o10_scoped_order", f"""{FULL}, {_VERIFIED.replace('done AS (', 'every AS (')},
+plans AS (SELECT DISTINCT domain || '@' || d AS plan_id, domain, d::TIMESTAMP AS planned_at FROM journal_full, (SELECT unnest(['2024-01-12', '2024-01-20', '2024-01-30']) AS d)),
+defined AS (SELECT unnest({_ORDER}) AS provider, unnest([0, 1, 2, 3, 4]) AS position),
+done AS (SELECT p.plan_id AS domain, e.* EXCLUDE (domain) FROM every e JOIN plans p USING (domain) JOIN defined f USING (provider)
+  WHERE (pos // 6) % 4 <> 0 AND planned_at - observed_at BETWEEN INTERVAL 0 DAY AND INTERVAL 5 DAY AND f.position <> 4
+    AND (observed_at < TIMESTAMP '2024-01-16') = (planned_at < TIMESTAMP '2024-01-14' + INTERVAL (2 * f.position) DAY)),
+{_TAIL[len(_VERIFIED) + 2:]}, s AS (SELECT domain, provider, count(*) AS n FROM done GROUP BY 1, 2),
+a AS (SELECT domain, provider, count(*) AS successes, count(*) FILTER (verified) AS v, count(*) FILTER (latency_ms >= 0 AND latency_ms < 'inf'::double) AS l,
+  median(latency_ms) FILTER (latency_ms >= 0 AND latency_ms < 'inf'::double) AS m FROM tail GROUP BY 1, 2),
+o AS (SELECT plan_id, f.provider, f.position, coalesce(s.n, 0) AS samples, coalesce(successes, 0) AS successes, m, coalesce(successes >= 2 AND v >= 2 AND l >= 2, false) AS eligible
+  FROM plans CROSS JOIN defined f LEFT JOIN s ON s.domain = plan_id AND s.provider = f.provider LEFT JOIN a ON a.domain = plan_id AND a.provider = f.provider)
+SELECT plan_id, provider, cast(samples AS bigint) AS samples, cast(successes AS bigint) AS successes, eligible,
+  cast(row_number() OVER (PARTITION BY plan_id ORDER BY NOT eligible, CASE WHEN eligible THEN m END, position) AS integer) AS rank FROM o""")
+def o10_scoped(t):
+    # Tools change their version in the middle of the month, a quarter of the traces ran in another context, and the paid tool has another binding by now.
+    rows = _done(t).withColumn("provider_version", F.when(F.col("observed_at") < F.lit("2024-01-16").cast("timestamp_ntz"), "1").otherwise("2")).withColumn(
+        "acquisition_context", F.when(F.floor(F.col("pos") / 6) % 4 != 0, F.col("acquisition_context")).otherwise(F.repeat(F.lit("d"), 64)))
+    day = F.explode(F.array(*map(F.lit, ["2024-01-12", "2024-01-20", "2024-01-30"])))
+    plans = t.journal_full.select("domain", "path_pattern", "operation", "adapter", "adapter_version", "adapter_binding_id", "acquisition_context").distinct().withColumn("day", day).withColumn(
+        "plan_id", F.concat("domain", F.lit("@"), "day")).withColumn("planned_at", F.col("day").cast("timestamp_ntz"))
+    told = []
+    for name, at in _CANDIDATES:
+        change = f"2024-01-{14 + 2 * at} 00:00:00"
+        told += [(name, "1", ("b" if at == 4 else "a") * 64, None, change), (name, "2", ("b" if at == 4 else "a") * 64, change, None)]
+    definitions = t.spark.createDataFrame(told, "provider string, provider_version string, provider_binding_id string, valid_from string, valid_until string").withColumns(
+        {name: F.col(name).cast("timestamp_ntz") for name in ("valid_from", "valid_until")})
+    tools = F.explode(F.array(*[F.struct(F.lit(name).alias("provider"), F.lit(at).alias("position")) for name, at in _CANDIDATES]))
+    candidates = plans.select("plan_id", tools.alias("tool")).select("plan_id", "tool.*")
+    return journal.plan_order(rows, plans, definitions, candidates, 5 * 86_400).select("plan_id", "provider", "samples", "successes", "eligible", "rank")
+
+
 _LEARN = """lst AS (SELECT trace_id, arg_max(provider, attempt_ordinal) AS lp, arg_max(outcome, attempt_ordinal) AS lo, max(wall_vendor) AS vendor FROM attempts GROUP BY 1),
 trd AS (SELECT DISTINCT trace_id, provider FROM attempts WHERE attempt_ordinal > 0),
 walls AS (SELECT vendor, provider AS tool, cast(count(*) FILTER (lo = 'observed' AND lp = provider) AS bigint) AS wins, cast(count(*) AS bigint) AS tries FROM trd JOIN lst USING (trace_id)
