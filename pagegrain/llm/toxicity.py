@@ -31,6 +31,8 @@ NEIGHBOURS = 15
 BLOCK = 64
 # A term in this part of the examples, or more, is a column of the matrix. Documents that are searched for at once.
 COMMON, TOGETHER = 1 / 16, 128
+# Postings that are added up at once, about.
+POSTINGS = 1 << 19
 # Similarities are told apart to this precision.
 EXACT = 5
 EVIDENCE = 3
@@ -185,9 +187,7 @@ class Index:
         query = np.zeros((n, self.matrix.shape[1]), np.float32)
         query[docs[dense], self.column[places[dense]]] = weights[dense]
         docs, places, weights = docs[~dense], places[~dense], weights[~dense]
-        sizes = self.first[places + 1] - self.first[places]
-        at = np.repeat(self.first[places] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        listed = np.bincount(np.repeat(docs, sizes) * width + self.rows[at], np.repeat(weights, sizes) * self.values[at], n * width).reshape(n, width).astype(np.float32)
+        listed = self._listed(docs, places, weights, n)
         limits = query @ self.bounds.T + listed.reshape(n, blocks, BLOCK).max(axis=2)
         left, step = limits > 0, 2
         while True:
@@ -209,6 +209,20 @@ class Index:
             left &= ~now
             step *= 2
 
+    def _listed(self, docs: np.ndarray, places: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+        """n x rows: the part of every cosine that the posting lists give, taken in runs of a bounded number of postings."""
+        width, out = len(self.matrix), np.zeros((n, len(self.matrix)), np.float32)
+        sizes = self.first[places + 1] - self.first[places]
+        ends = np.cumsum(sizes)
+        edges = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, POSTINGS)), len(sizes)))
+        for low, high in zip(edges[:-1], edges[1:]):
+            part, doc = sizes[low:high], docs[low:high]
+            at = np.repeat(self.first[places[low:high]] - (np.cumsum(part) - part), part) + np.arange(part.sum())
+            span = doc[-1] - doc[0] + 1
+            sums = np.bincount(np.repeat((doc - doc[0]) * width, part) + self.rows[at], np.repeat(weights[low:high], part) * self.values[at], span * width)
+            out[doc[0] : doc[-1] + 1] += sums.reshape(span, width).astype(np.float32)
+        return out
+
     def votes(self, rows: np.ndarray, scores: np.ndarray) -> np.ndarray:
         """The toxic share of the neighbours' votes, each worth its similarity squared, with one prior vote of small weight."""
         worth = np.where(rows >= 0, scores.astype(np.float64), 0.0) ** 2
