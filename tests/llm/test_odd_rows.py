@@ -69,3 +69,11 @@ def test_stages_keep_their_columns_on_odd_rows(spark, odd_docs, no_docs, sf_dir)
             got.count()
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert got.columns == corpus_pipeline.COLUMNS, name
+
+
+def test_near_copies_are_judged_row_by_row(spark, sf_dir):
+    text, other = " ".join(f"word{i}" for i in range(60)), " ".join(f"other{i}" for i in range(60))
+    rows = [(3, text), (1, text + " more"), (3, other), (2, text), (2, text), (None, text), (None, "alone here"), (4, None), (5, None)]
+    docs = spark.createDataFrame([(doc_id, text, "en", "s", 1) for doc_id, text in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(row["doc_id"], row["text"]) for row in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()}
+    assert got == {(1, text + " more"), (3, other), (None, "alone here"), (4, None), (5, None)}
