@@ -97,10 +97,12 @@ def rescue_links(dead: DataFrame, links: DataFrame) -> DataFrame:
     told = links.select("link", urls.bare_host("link").alias("host"), urls.rtrim_slash(urls.path("link")).alias("path"))
     told = told.where((urls.query("link") == "") & (F.col("path") != "") & ~urls.item_like(urls.path("link"))).distinct()
     told = told.withColumn("last", F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_extract("path", "([^/]*)$", 1)), F.lit(urls.WORD), F.lit(0))))
-    # Joined on host and one wanted word, not on host alone: a large site's links meet only the requests that could want them.
-    first = asked.where(F.size("wanted") > 0).withColumn("word", F.element_at("wanted", 1))
+    # An inverted index by host: a request meets only the links that hold the rarest of its words there, so a word of every link does no harm.
     by_word = told.select("*", F.explode("last").alias("word"))
-    hits = first.join(by_word, ["host", "word"]).where((F.size(F.array_except("wanted", "last")) == 0) & (F.col("path") != F.col("own")))
+    known = by_word.groupBy("host", "word").agg(F.count(F.lit(1)).alias("n"))
+    single = asked.select("dead_id", "host", F.size("wanted").alias("need"), F.explode("wanted").alias("word")).distinct()
+    rarest = single.join(known, ["host", "word"]).groupBy("dead_id", "need").agg(F.min_by("word", F.struct("n", "word")).alias("word"), F.count(F.lit(1)).alias("have")).where("have = need")
+    hits = asked.join(rarest.select("dead_id", "word"), "dead_id").join(by_word, ["host", "word"]).where((F.size(F.array_except("wanted", "last")) == 0) & (F.col("path") != F.col("own")))
     hits = hits.withColumn("extra", F.size("last") - F.size("wanted")).where(F.col("extra") <= 2)
     depth = F.size(urls.segments(F.col("path")))
     ranked = hits.groupBy("dead_id", "extra", depth.alias("depth")).agg(F.min("link").alias("link"), F.countDistinct(urls.rtrim_slash(F.col("link"))).alias("n"))

@@ -318,19 +318,29 @@ def splice_paid(order: DataFrame, place: list[str], after: int) -> DataFrame:
 
 
 # ---- as-of rules --------------------------------------------------------------------------------
+# Slices of a time slot: what one task sorts of a busy key is one slice.
+SLICES = 256
+
+
 def cached_asof(requests: DataFrame, observations: DataFrame, ttl_seconds: int) -> DataFrame:
-    """For each request the latest observation of its key no older than the TTL. A key is cut into TTL-sized time slots: within one, a
-    running maximum over requests and observations in order of time; from the slot before, only its latest observation counts."""
-    def slot(at):
-        return F.floor(F.unix_timestamp(at) / ttl_seconds)
+    """For each request the latest observation of its key no older than the TTL: ``requests`` with cached_at, null where there is none.
+
+    A key is cut into TTL-sized time slots and these into slices. Within a slice a running maximum over requests and observations in order of time
+    finds it; else the last slice before in the slot that has an observation, else the slot before. A slot has at most ``SLICES`` such rows."""
+    def slice_of(at):
+        return F.floor(F.unix_micros(at.cast("timestamp")) / F.lit(ttl_seconds * 1_000_000 / SLICES)).cast("long")
 
     seen = observations.select("key", F.col("observed_at").alias("at"), F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"), F.col("observed_at").alias("seen_at"))
     asked = requests.select("key", F.col("requested_at").alias("at"), "request_id", F.lit(None).cast(observations.schema["observed_at"].dataType).alias("seen_at"))
+    both = seen.unionByName(asked).withColumn("slice", slice_of(F.col("at"))).withColumn("slot", F.floor(F.col("slice") / SLICES))
     # At the same moment an observation comes first.
-    running = Window.partitionBy("key", "slot").orderBy("at", F.col("request_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    both = seen.unionByName(asked).withColumn("slot", slot(F.col("at"))).withColumn("within", F.max("seen_at").over(running))
-    last = observations.groupBy("key", (slot(F.col("observed_at")) + 1).alias("slot")).agg(F.max("observed_at").alias("earlier"))
-    found = both.where(F.col("request_id").isNotNull()).join(last, ["key", "slot"], "left").withColumn("cached_at", F.coalesce("within", "earlier"))
+    running = Window.partitionBy("key", "slice").orderBy("at", F.col("request_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("within", F.max("seen_at").over(running)).where(F.col("request_id").isNotNull())
+    slices = both.groupBy("key", "slot", "slice").agg(F.max("seen_at").alias("last"))
+    before = Window.partitionBy("key", "slot").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    in_slot = slices.select("key", "slice", F.max("last").over(before).alias("sooner"))
+    earlier = slices.groupBy("key", (F.col("slot") + 1).alias("slot")).agg(F.max("last").alias("earlier"))
+    found = placed.join(in_slot, ["key", "slice"], "left").join(earlier, ["key", "slot"], "left").withColumn("cached_at", F.coalesce("within", "sooner", "earlier"))
     fresh = found.where(F.unix_timestamp("at") - F.unix_timestamp("cached_at") <= ttl_seconds).select("request_id", "cached_at")
     return requests.join(fresh, "request_id", "left")
 
