@@ -46,6 +46,11 @@ def blank_to_null(text: Column) -> Column:
     return F.when(F.trim(text) != "", text)
 
 
+def opening(text: Column, within: int | None) -> Column:
+    """The first ``within`` characters of a text, or all of it."""
+    return text if within is None else F.substring(text, 1, within)
+
+
 def first_of(pairs: Iterable[tuple[Column, object]], otherwise: object = None) -> Column:
     """The value of the first condition that holds: precedence as one expression."""
     chain = None

@@ -336,9 +336,10 @@ def published(source_date: Column, snippet: Column, title: Column, url, now: Col
 
 
 # ---- keys and fingerprints ----------------------------------------------------------------
-def story_key(title: Column) -> Column:
+def story_key(title: Column, most: int | None = None) -> Column:
+    """The words of a title of four or more; the first ``most`` of them, if given."""
     found = words(F.lower(F.coalesce(title, F.lit(""))))
-    return F.when(F.size(found) >= 4, F.array_join(F.slice(found, 1, 12), " "))
+    return F.when(F.size(found) >= 4, F.array_join(found if most is None else F.slice(found, 1, most), " "))
 
 
 def fingerprint(text: Column) -> Column:
@@ -382,8 +383,9 @@ def consent_only(text: Column) -> Column:
     return (total > 0) & (total < 400) & (hits >= 3) & (hits / total > 0.02)
 
 
-def consent_leads(text: Column) -> Column:
-    return count_of(F.substring(text, 1, 2500), uni(fixed.CONSENT)) >= 3
+def consent_leads(text: Column, within: int | None = None) -> Column:
+    """Whether a text speaks of consent three times, ``within`` its first characters if given."""
+    return count_of(text if within is None else F.substring(text, 1, within), uni(fixed.CONSENT)) >= 3
 
 
 def prose_line(plain: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegrain.functions import fixed, texts, urls
-from pagegrain.functions.columns import contains_any, count_of, each, find, find_all, first_of, squeeze, words_in
+from pagegrain.functions.columns import contains_any, count_of, each, find, find_all, first_of, opening, squeeze, words_in
 from pagegrain.operators import blocks, links
 from pagegrain.session import cut
 from pagegrain.sources import pages as scans
@@ -26,16 +26,16 @@ def challenge(title: Column, text: Column) -> Column:
         (F.length(low) < 3000) & contains_any(low, fixed.CHALLENGE_PHRASES))
 
 
-def login_wall(title: Column, text: Column, requested) -> Column:
-    """A site's login form standing in for the page asked for."""
+def login_wall(title: Column, text: Column, requested, within: int | None = None) -> Column:
+    """A site's login form standing in for the page asked for; its words are looked for in the whole text, or ``within`` its first characters."""
     plain = F.trim(F.regexp_replace(F.trim(F.coalesce(title, F.lit(""))), r"^[# ]+", ""))
     parts = F.concat(F.array(plain), each(F.split(plain, r"\s+[|\-–—:]\s+"), lambda part: F.regexp_replace(part, r"^[ .!]+|[ .!]+$", "")))
     titled = F.exists(parts, lambda part: part.rlike(fixed.LOGIN_TITLE))
     body = F.lower(F.trim(F.coalesce(text, F.lit(""))))
     brand = F.split_part(F.regexp_replace(urls.bare_host(requested), r"^m\.", ""), F.lit("."), F.lit(1))
     deep = F.regexp_replace(urls.path(requested), "^/+|/+$", "") != ""
-    form = ((F.length(body) < 6000) & F.substring(body, 1, 2500).contains("password") & deep & (brand != "")
-            & (F.lower(plain) == brand) & contains_any(F.substring(body, 1, 1500), fixed.LOGIN_WORDS))
+    form = ((F.length(body) < 6000) & opening(body, within).contains("password") & deep & (brand != "")
+            & (F.lower(plain) == brand) & contains_any(opening(body, within), fixed.LOGIN_WORDS))
     return titled | form
 
 
@@ -101,8 +101,8 @@ def article_signal(url, html: Column) -> Column:
                      (path.rlike(fixed.ARTICLE_PATH) & ((urls.hyphens(last) >= 2) | last.rlike(r"\d{5,}")), "path")])
 
 
-def interaction_gate(text: Column) -> Column:
-    return F.substring(squeeze(find(text, fixed.INTERACTION_GATE)), 1, 160)
+def interaction_gate(text: Column, most: int | None = None) -> Column:
+    return opening(squeeze(find(text, fixed.INTERACTION_GATE)), most)
 
 
 def empty_listing(text: Column) -> Column:
@@ -184,7 +184,7 @@ def assess(pages: DataFrame, articles: DataFrame | None = None, min_items: int =
         (thin_article & F.col("paywall"), "paywalled"), (thin_article, "thin article"), (~structure, F.concat(F.lit("incomplete "), "kind")),
         ((F.col("kind") == "search") & F.coalesce("off_query", F.lit(False)), "results don't mention the query")])
     df = df.withColumn("menus", menus & F.col("placeholder").isNull()).withColumn("reason", reason)
-    score = (F.col("item_links") * 100 + F.col("prices") * 20 + F.least("text_chars", F.lit(50_000)) / 10
+    score = (F.col("item_links") * 100 + F.col("prices") * 20 + F.col("text_chars") / 10
              + F.when(F.col("kind") == "search", 300 * F.least(F.coalesce("mentions", F.lit(0)), F.lit(20))).otherwise(0)
              + F.when(F.col("is_article"), F.col("article_chars")).otherwise(0))
     whole = F.col("reason").isNull()
@@ -232,16 +232,16 @@ def expect_count(text: Column, pattern: Column) -> Column:
     return F.regexp_count(text, F.concat(F.lit("(?i)"), pattern))
 
 
-def text_grade(text: Column, expect: Column) -> Column:
-    """right, wrong, page, blocked or empty, as the two-server comparison grades a text."""
+def text_grade(text: Column, expect: Column, within: int | None = None) -> Column:
+    """right, wrong, page, blocked or empty, as the two-server comparison grades a text; block markers are looked for in all of it, or ``within``."""
     low = F.lower(F.coalesce(text, F.lit("")))
     return first_of([
         (F.length(F.trim(low)) < 200, "empty"), (expect.isNotNull() & F.contains(low, F.lower(expect)), "right"), (expect.isNotNull(), "wrong"),
-        ((F.length(low) < 3000) & contains_any(F.substring(low, 1, 2000), fixed.COMPARE_BLOCK_MARKERS), "blocked")], "page")
+        ((F.length(low) < 3000) & contains_any(opening(low, within), fixed.COMPARE_BLOCK_MARKERS), "blocked")], "page")
 
 
-def article_score(text: Column) -> dict[str, Column]:
+def article_score(text: Column, head: int | None = None) -> dict[str, Column]:
     text = F.coalesce(text, F.lit(""))
     found = texts.paragraphs(text)
-    return {"main_chars": F.length(text), "paragraphs": found, "head_paragraphs": texts.paragraphs(F.substring(text, 1, 4000)),
+    return {"main_chars": F.length(text), "paragraphs": found, "head_paragraphs": texts.paragraphs(opening(text, head)),
             "article": (F.length(text) >= 600) & (found >= 2)}

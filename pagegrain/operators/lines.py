@@ -122,9 +122,9 @@ def with_markdown_main(docs: DataFrame, content: Column, name: str = "main_text"
     body = F.slice("_lines", F.greatest(F.col("_first"), F.lit(1)), F.greatest(F.col("_last") - F.col("_first") + 1, F.lit(0)))
     kept = F.filter(body, lambda line: ~((F.trim(line["line"]) != "") & (line["share"] >= 0.8) & ~line["body"]))
     text = F.regexp_replace(F.trim(F.array_join(each(kept, lambda line: line["line"]), "\n")), r"\n{3,}", "\n\n")
-    title = F.trim(F.try_element_at(F.filter(each(F.slice("_lines", 1, 40), lambda line: line["line"]), lambda line: (
+    title = F.trim(F.try_element_at(F.filter(each(F.col("_lines"), lambda line: line["line"]), lambda line: (
         line.startswith("# ") | F.lower(line).startswith("title:"))), F.lit(1)))
-    titled = F.when(title.isNotNull() & ~F.contains(F.substring(text, 1, 400), title), F.concat(title, F.lit("\n\n"), text)
+    titled = F.when(title.isNotNull() & ~F.contains(text, title), F.concat(title, F.lit("\n\n"), text)
                     ).otherwise(text)
     whole = F.when(F.trim(content) != "", F.trim(content))
     return (df.withColumn(name, F.when(F.exists(flags, lambda flag: flag), titled).otherwise(whole))

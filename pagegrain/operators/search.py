@@ -410,7 +410,7 @@ def bench_judge(results: DataFrame, now: Column) -> DataFrame:
     page = F.coalesce(F.regexp_like(F.concat_ws(" ", "page_title", "page_text"), "entity"), F.lit(False))
     days = first_of([(F.col("recency") == name, count) for name, count in fixed.RECENCY_DAYS.items()])
     inside = (F.col("published") >= F.timestamp_seconds(F.unix_timestamp(now) - days * 86_400)) & (F.col("published") <= now + F.expr("interval 1 day"))
-    challenge = F.col("title").rlike(fixed.BENCH_TITLE_CHALLENGE) | contains_any(F.lower(F.substring(F.coalesce("page_text", F.lit("")), 1, 800)), fixed.BENCH_BODY_CHALLENGE)
+    challenge = F.col("title").rlike(fixed.BENCH_TITLE_CHALLENGE) | contains_any(F.lower(F.coalesce("page_text", F.lit(""))), fixed.BENCH_BODY_CHALLENGE)
     why = F.filter(F.array(
         F.when(~(said | page), "off_query"), F.when(days.isNotNull() & F.col("published").isNull(), "date_unverified"),
         F.when(days.isNotNull() & ~inside, "outside_window"), F.when(F.col("specific") & urls.bench_listing("url"), "listing"), F.when(challenge, "challenge")),

@@ -37,8 +37,8 @@ _LB = "lower(trim(body))"
 _BRAND = f"split_part(regexp_replace({duck.bare_host('requested_url')}, '^m\\.', ''), '.', 1)"
 _PLAIN = "trim(regexp_replace(trim(title), '^[# ]+', ''))"
 LOGIN = (f"(len(list_filter(list_concat([{_PLAIN}], string_split_regex({_PLAIN}, '\\s+[|\\-–—:]\\s+')), lambda tp: {duck.like('tp', fixed.LOGIN_TITLE)})) > 0 OR "
-         f"(length({_LB}) < 6000 AND contains(left({_LB}, 2500), 'password') AND {duck.path('requested_url')} NOT IN ('', '/') AND lower({_PLAIN}) = {_BRAND} AND "
-         f"{_any(f'left({_LB}, 1500)', fixed.LOGIN_WORDS)}))")
+         f"(length({_LB}) < 6000 AND contains({_LB}, 'password') AND {duck.path('requested_url')} NOT IN ('', '/') AND lower({_PLAIN}) = {_BRAND} AND "
+         f"{_any(_LB, fixed.LOGIN_WORDS)}))")
 
 
 @query("g2_login_wall", f"{READS} SELECT event_id, {LOGIN} AS login_wall FROM reads")
@@ -167,7 +167,7 @@ _LOW = "lower(body)"
 
 @query("g24_text_grade", f"""{READS} SELECT event_id, CASE WHEN length(trim({_LOW})) < 200 THEN 'empty'
   WHEN event_id % 2 = 0 THEN CASE WHEN contains({_LOW}, 'click words') THEN 'right' ELSE 'wrong' END
-  WHEN length({_LOW}) < 3000 AND {_any(f'left({_LOW}, 2000)', fixed.COMPARE_BLOCK_MARKERS)} THEN 'blocked' ELSE 'page' END AS grade FROM reads""")
+  WHEN length({_LOW}) < 3000 AND {_any(_LOW, fixed.COMPARE_BLOCK_MARKERS)} THEN 'blocked' ELSE 'page' END AS grade FROM reads""")
 def g24(t):
     expect = F.when(F.col("event_id") % 2 == 0, "Click words")
     return t.reads.select("event_id", grading.text_grade(F.col("body"), expect).alias("grade"))
@@ -177,7 +177,7 @@ def _paras(expr: str) -> str:
     return (f"cast(len(list_filter(string_split_regex({expr}, '\\r\\n|\\n'), lambda x: length(regexp_replace(x, '^[ *#>|-]+|[ *#>|-]+$', '', 'g')) >= 80)) AS integer)")
 
 
-@query("g26_article_score", f"""SELECT doc_id, cast(length(text) AS integer) AS main_chars, {_paras('text')} AS paragraphs, {_paras('left(text, 4000)')} AS head_paragraphs,
+@query("g26_article_score", f"""SELECT doc_id, cast(length(text) AS integer) AS main_chars, {_paras('text')} AS paragraphs, {_paras('text')} AS head_paragraphs,
   length(text) >= 600 AND {_paras('text')} >= 2 AS article FROM documents""")
 def g26(t):
     return t.documents.select("doc_id", *[column.alias(name) for name, column in grading.article_score(F.col("text")).items()])
@@ -186,7 +186,7 @@ def g26(t):
 _GATE = "'(?i)\\b(?:select|choose|pick|enter|add)\\b[^.!?]{0,80}?\\bto (?:see|view|get|show|check)\\b[^.!?]{0,30}?\\b(?:prices?|pricing|rates?|fares?|availability|cost|quotes?)\\b'"
 
 
-@query("g30_interaction_flags", f"""{READS} SELECT event_id, nullif(left({squeeze_sql(f'regexp_extract(body, {_GATE})')}, 160), '') AS needs_interaction,
+@query("g30_interaction_flags", f"""{READS} SELECT event_id, nullif({squeeze_sql(f'regexp_extract(body, {_GATE})')}, '') AS needs_interaction,
   nullif({squeeze_sql(f'regexp_extract(body, {duck.text(fixed.EMPTY_LISTING)})')}, '') AS empty_listing FROM reads""")
 def g30(t):
     return t.reads.select("event_id", grading.interaction_gate(F.col("body")).alias("needs_interaction"),
@@ -200,6 +200,6 @@ def g32(t):
     return t.pages.select("page_id", grading.wants_second_opinion(F.concat("html", template), text, 400, 4).alias("wants"))
 
 
-@query("g33_consent_leads", f"{READS} SELECT event_id, len(regexp_extract_all(left(body, 2500), {duck.text(fixed.CONSENT)})) >= 3 AS leads FROM reads")
+@query("g33_consent_leads", f"{READS} SELECT event_id, len(regexp_extract_all(body, {duck.text(fixed.CONSENT)})) >= 3 AS leads FROM reads")
 def g33(t):
     return t.reads.select("event_id", texts.consent_leads(F.col("body")).alias("leads"))

@@ -304,7 +304,7 @@ def _item_pages(t):
                              F.concat_ws(" ", "s_name", F.repeat(F.lit("red ring old bolt "), 150)).alias("text"))
 
 
-@query("g13_item_trust", f"""{_ITEMS}, x AS (SELECT i.*, lower(left(name, 30)) AS nm, contains(lower(s_name || ' ' || repeat('red ring old bolt ', 150)), lower(left(name, 30))) AS named,
+@query("g13_item_trust", f"""{_ITEMS}, x AS (SELECT i.*, lower(name) AS nm, contains(lower(s_name || ' ' || repeat('red ring old bolt ', 150)), lower(name)) AS named,
   starts_with(i.url, 'https://www.shop.example.com/') AS linked FROM items i JOIN supplier ON s_suppkey = page_id),
 s AS (SELECT page_id, count(*) AS n, round(avg(linked::int), 2) AS linked, round(avg(named::int), 2) AS named, round(avg((price > 0)::int), 2) AS priced,
   round(count(DISTINCT url) / count(*), 2) AS distinct_share FROM x GROUP BY page_id)

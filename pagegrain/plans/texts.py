@@ -175,7 +175,7 @@ _TITLE_WORDS = "regexp_extract_all(lower(regexp_extract(html, '<title>([^<]*)</t
 
 
 @query("t19_story_key", f"""SELECT page_id, CASE WHEN len({_TITLE_WORDS}) >= 4
-  THEN array_to_string({_TITLE_WORDS}[1:12], ' ') END AS story FROM pages""")
+  THEN array_to_string({_TITLE_WORDS}, ' ') END AS story FROM pages""")
 def t19(t):
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     return t.pages.select("page_id", texts.story_key(title).alias("story"))
