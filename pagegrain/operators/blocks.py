@@ -482,11 +482,13 @@ def _bare(text: Column) -> Column:
 def _finished(text: Column) -> Column:
     """A line with its marks: spaces go outside of marks, marks and links around nothing go."""
     mark = f"[^{_END}]*{_END}"
+    # Marks nest, so emptied ones empty what holds them: as often as the longest run of openings is deep.
+    opens = f"(?:{_OPEN}{mark}|{_LINK})"
+    depth = F.array_max(F.transform(F.regexp_extract_all(text, F.lit(f"{opens}(?: *{opens})*"), F.lit(0)), lambda run: F.regexp_count(run, F.lit(opens))))
+    text = F.aggregate(F.sequence(F.lit(1), F.greatest(F.coalesce(depth, F.lit(1)), F.lit(1))), text, lambda left, _: F.regexp_replace(
+        left, f"{_OPEN}{mark} *{_CLOSE}{mark}|{_LINK} *{_TO}{mark}", ""))
     text = F.regexp_replace(text, f"({_OPEN}{mark}|{_LINK}) +", " $1")
     text = F.regexp_replace(text, f" +({_CLOSE}{mark}|{_TO}{mark})", "$1 ")
-    for _ in range(3):
-        # Marks nest, so emptied ones empty what holds them.
-        text = F.regexp_replace(text, f"{_OPEN}{mark} *{_CLOSE}{mark}|{_LINK} *{_TO}{mark}", "")
     text = F.regexp_replace(text, f"[{_OPEN}{_CLOSE}]([^{_END}]*){_END}", "$1")
     text = F.regexp_replace(F.replace(text, F.lit(_LINK), F.lit("[")), f"{_TO}([^{_END}]*){_END}", "]($1)")
     return F.trim(F.regexp_replace(F.regexp_replace(text, r" {3,}(?!\n)|(?<! ) {2}(?![ \n])", " "), r"  \n *| *\n *", "\n"))

@@ -227,12 +227,12 @@ def j26(t):
     return structured.best_list(structured.score_lists(lists, t.product_pages))
 
 
-SPEC = {"source": "embedded_json", "path": "props.items", "limit": 2,
+SPEC = {"source": "embedded_json", "path": "props.items",
         "fields": {"name": {"path": "name", "type": "text"}, "link": {"path": "url", "type": "url"}, "price": {"path": "price", "type": "number"}}}
 
 
-@query("j27_spec_items", f"""SELECT p_partkey AS page_id, unnest([0, 1]) AS pos, 3 AS total, unnest([p_name || ' one', p_name || ' two']) AS name,
-  unnest(['/product/1' || p_partkey || '-x', '/product/2' || p_partkey || '-x']) AS path, unnest([p_size + 0.0, p_size + 1.0]) AS price FROM part""")
+@query("j27_spec_items", f"""SELECT p_partkey AS page_id, unnest([0, 1, 2]) AS pos, 3 AS total, unnest([p_name || ' one', p_name || ' two', p_name || ' three']) AS name,
+  unnest(['/product/1' || p_partkey || '-x', '/product/2' || p_partkey || '-x', '/product/3' || p_partkey || '-x']) AS path, unnest([p_size + 0.0, p_size + 1.0, p_size + 2.0]) AS price FROM part""")
 def j27(t):
     return structured.extract_items(SPEC, t.product_pages).select("page_id", "pos", "total", "name", urls.path("link").alias("path"), "price")
 
@@ -373,8 +373,8 @@ def f4(t):
     return payloads.normalise(rows, registry.freeze()).groupBy("source").agg(F.count(F.lit(1)).alias("hits"))
 
 
-@query("f5_site_modules", f"""SELECT p_partkey AS page_id, unnest(['items', 'items', 'menu', 'menu', 'menu']) AS module, unnest([0, 1, 0, 1, 2]) AS pos,
-  unnest([p_name || ' one', p_name || ' two', 'Home', 'All', 'New']) AS name FROM part""")
+@query("f5_site_modules", f"""SELECT p_partkey AS page_id, unnest(['items', 'items', 'items', 'menu', 'menu', 'menu']) AS module, unnest([0, 1, 2, 0, 1, 2]) AS pos,
+  unnest([p_name || ' one', p_name || ' two', p_name || ' three', 'Home', 'All', 'New']) AS name FROM part""")
 def f5(t):
     modules = registries.SiteModules()
     modules.register("items", SPEC)

@@ -139,3 +139,11 @@ def test_fusion_orders_before_rounding(spark):
     hits = spark.createDataFrame(rows, "query_id string, k string, rank int, source_pos int, url string, source string")
     merged = search.merge(search.fuse(hits, F.col("k"))).orderBy("place").collect()
     assert [row["page_key"] for row in merged] == ["a", "c", "b"]
+
+
+def test_empty_marks_nest_to_any_depth(spark):
+    deep = "<b><i>" * 6 + " " + "</i></b>" * 6
+    pages = spark.createDataFrame([(1, "https://a.test/", f"<main><p>before {deep} after <b>kept {deep}</b></p></main>"), (2, "https://a.test/", "<main><p>no marks at all</p></main>")],
+                                  "page_id long, url string, html string")
+    got = {row["page_id"]: row["markdown"] for row in blocks.to_markdown(pages).collect()}
+    assert got == {1: "before after **kept**\n", 2: "no marks at all\n"}
