@@ -373,7 +373,11 @@ def _role_fits(role: str) -> Column:
 
 
 def score_lists(lists: DataFrame, pages: DataFrame, terms: Column | None = None) -> DataFrame:
-    """How item-like each JSON list is: page_id, pos, path, fields found, rows, score; page furniture is left out."""
+    """How item-like each JSON list is: page_id, pos, path, fields found, rows, score; page furniture is left out.
+
+    A list of which more than half of the rows link to other sites than the page's is none of its own. ``terms``: an array of lower-case words per page
+    (a column of ``pages``): a list none of whose rows names one is left out, others gain with the share of rows that do; without names the
+    whole row is looked at. A page without terms is scored as it is."""
     sample = lists.select("page_id", "pos", "path", F.size("rows").alias("n_rows"), F.size("objects").alias("n_objects"),
                           F.posexplode("objects").alias("at", "row")).where(F.col("n_objects") >= 0.8 * F.col("n_rows"))
     keys = sample.groupBy("page_id", "pos", "path", "n_objects").agg(
@@ -397,6 +401,20 @@ def score_lists(lists: DataFrame, pages: DataFrame, terms: Column | None = None)
         F.array_join(F.array_sort(F.collect_set(F.concat_ws("=", "role", "f.leaf"))), ",").alias("fields"))
     tail = F.slice(F.reverse(F.filter(F.split("path", r"\."), lambda part: ~part.rlike(r"^\d+$"))), 1, 2)
     rich = F.when(F.col("keys") >= 6, 1.5).when(F.col("keys") >= 4, 1.0).otherwise(0.6)
+    of_list = ["page_id", "pos", "path"]
+    chosen = found.select(*of_list, "role", F.col("f.leaf").alias("chosen"))
+    values = per_row.select(*of_list, "at", "role", F.col("b.leaf").alias("leaf"), F.col("b.value").alias("value")).join(chosen, [*of_list, "role"]).where("leaf = chosen")
+    about = pages.select("page_id", urls.host("url").alias("host"), (F.lit(None).cast("array<string>") if terms is None else terms).alias("terms"))
+    linked = values.where((F.col("role") == "url") & (urls.host("value") != "")).join(about.where("host <> ''"), "page_id")
+    away = linked.groupBy(*of_list).agg(F.count_if(urls.registrable_tail(urls.host("value")) != urls.registrable_tail(F.col("host"))).alias("away"))
+    lists_scored = lists_scored.join(away, of_list, "left").where(F.coalesce("away", F.lit(0)) <= 0.5 * F.col("sampled"))
+    if terms is not None:
+        named = values.where(F.col("role") == "name").select(*of_list, F.lower("value").alias("text"))
+        rest = sample.join(chosen.where(F.col("role") == "name"), of_list, "left_anti").select(*of_list, F.lower(F.to_json("row")).alias("text"))
+        asked = about.where(F.size("terms") > 0).select("page_id", "terms")
+        named_hits = named.unionByName(rest).join(asked, "page_id").groupBy(*of_list).agg(F.count_if(F.exists("terms", lambda term: F.contains(F.col("text"), term))).alias("hits"))
+        lists_scored = lists_scored.join(named_hits, of_list, "left").where(F.col("hits").isNull() | (F.col("hits") > 0)).withColumn(
+            "weight", F.col("weight") * (1 + 2 * F.coalesce("hits", F.lit(0)) / F.col("sampled")))
     good = lists_scored.where((F.col("has_url").isNotNull() | F.col("has_name").isNotNull())
                               & ((F.col("n_fields") >= 2) | F.col("path").endswith("itemListElement"))
                               & (F.col("names").isNull() | (F.col("names") >= 0.7 * F.col("sampled")))
