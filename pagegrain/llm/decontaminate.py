@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval, with longest-common-subsequence and answer checks.
 
 Terms are hashed to a fixed number of columns. Their document frequencies count every passage of the corpus. A randomised SVD of the
-TF-IDF passages (range finder, one power step, Rayleigh-Ritz) is summed over Spark tasks; it is fitted on a bounded sample of
-documents and all benchmark items, and every window of every document is searched in it. Windows of a few lengths slide over the
+TF-IDF passages (range finder, one power step, Rayleigh-Ritz) is summed over Spark tasks; it is fitted on all passages of all
+documents and benchmark items, and every window of every document is searched in it. Windows of a few lengths slide over the
 whole text; a window's latent vector is the difference of two running sums. A window close to an item is a candidate; the
 candidate's words and the item's are then compared by their longest common subsequence, and for paraphrases also the item's answer.
 """
@@ -25,8 +25,6 @@ COLUMNS = 1 << 15
 RANK = 64
 # Words of one passage, for frequencies and the SVD.
 PASSAGE = 48
-# The bound of the sample the SVD is fitted on.
-FIT_DOCUMENTS = 6000
 COSINE = 0.6
 # Share of an item's words found in order: enough alone, or enough when its answer is found too.
 SAME, LIKE, ANSWER = 0.8, 0.6, 0.75
@@ -34,7 +32,7 @@ SAME, LIKE, ANSWER = 0.8, 0.6, 0.75
 LEAST_WORDS = 8
 # Items searched in one pass over the corpus.
 ITEMS_AT_ONCE = 20_000
-_CHUNK = 1024
+_CHUNK = 256
 _PIECE = 1 << 19
 
 
@@ -117,7 +115,7 @@ class Space:
     projection: np.ndarray
 
 
-def fit(docs: DataFrame, items: DataFrame, rank: int = RANK, documents: int = FIT_DOCUMENTS, passage: int = PASSAGE, seed: int = 7) -> Space:
+def fit(docs: DataFrame, items: DataFrame, rank: int = RANK, passage: int = PASSAGE, seed: int = 7) -> Space:
     texts = docs.select(F.col("text").cast("string").alias("text"))
     item_texts = items.select(F.col("text").cast("string").alias("text"))
     counted = texts.union(item_texts).mapInArrow(_frequencies(passage), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
@@ -127,12 +125,11 @@ def fit(docs: DataFrame, items: DataFrame, rank: int = RANK, documents: int = FI
     for term, k in counts.items():
         frequency[term] = k
     idf = np.log((n + 1) / (frequency + 1)) ** 2 + 0.01
-    ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
-    sample = kept(docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.col("text").cast("string").alias("text")).union(item_texts))
+    every = texts.union(item_texts)
 
     def step(basis: np.ndarray) -> np.ndarray:
         out = np.zeros_like(basis)
-        chunks = sample.mapInArrow(_gram(basis.astype(np.float32), idf, passage), "base long, sums binary").groupBy("base").applyInPandas(_add, "base long, sums binary")
+        chunks = every.mapInArrow(_gram(basis.astype(np.float32), idf, passage), "base long, sums binary").groupBy("base").applyInPandas(_add, "base long, sums binary")
         for row in chunks.toLocalIterator():
             part = np.frombuffer(row["sums"], np.float32).reshape(-1, basis.shape[1])
             out[row["base"] : row["base"] + len(part)] = part
