@@ -34,10 +34,11 @@ LEAST_WORDS = 8
 ITEMS_AT_ONCE = 20_000
 _CHUNK = 256
 _PIECE = 1 << 19
+_PART = 4096
 
 
 def _columns(hashes: np.ndarray) -> np.ndarray:
-    return (hashes % np.uint64(COLUMNS)).astype(np.int64)
+    return (hashes % np.uint64(COLUMNS)).astype(np.uint16)
 
 
 def _passages(piece, size: int) -> np.ndarray:
@@ -49,6 +50,15 @@ def _passages(piece, size: int) -> np.ndarray:
     return np.cumsum(new) - 1
 
 
+def _cells(columns: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words in the order of their columns, inside a column by passage; where each distinct (column, passage) begins in it; how many words each has."""
+    # Sorting 16-bit numbers is a radix sort, which keeps the passages in order.
+    order = np.argsort(columns, kind="stable")
+    column, turn = columns[order], passage[order]
+    first = np.flatnonzero(np.append(True, (column[1:] != column[:-1]) | (turn[1:] != turn[:-1])))
+    return order, first, np.diff(np.append(first, len(order)))
+
+
 def _frequencies(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals, n = np.zeros(COLUMNS, np.int64), 0
@@ -56,8 +66,9 @@ def _frequencies(size: int):
             for _, _, piece in pieces(batch.column(0), letters=True):
                 passage = _passages(piece, size)
                 if len(passage):
-                    seen = np.unique(passage * COLUMNS + _columns(piece.hashes()))
-                    totals += np.bincount(seen % COLUMNS, minlength=COLUMNS)
+                    columns = _columns(piece.hashes())
+                    order, first, _ = _cells(columns, passage)
+                    totals += np.bincount(columns[order[first]], minlength=COLUMNS)
                     n += int(passage[-1]) + 1
         some = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(totals[some], n))], names=["term", "n"])
@@ -65,18 +76,23 @@ def _frequencies(size: int):
     return run
 
 
-def _entries(piece, idf: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(passage, column, weight) of the passages' TF-IDF rows, each of unit length."""
-    passage = _passages(piece, size)
-    cells, counts = np.unique(passage * COLUMNS + _columns(piece.hashes()), return_counts=True)
-    rows, columns = cells // COLUMNS, cells % COLUMNS
-    weights = counts * idf[columns]
-    length = np.sqrt(np.bincount(rows, weights**2))
-    return rows, columns, (weights / np.maximum(length[rows], 1e-12)).astype(np.float32)
+def _sums_of(rows: np.ndarray, pick: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of ``rows[pick]`` over the runs that begin at ``first``; picked in parts that a processor's cache holds."""
+    out = np.empty((len(first), rows.shape[1]), rows.dtype)
+    ends = np.append(first, len(pick))
+    at = 0
+    while at < len(first):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + _PART, side="right")) - 1)
+        np.add.reduceat(rows[pick[ends[at] : ends[to]]], ends[at:to] - ends[at], axis=0, out=out[at:to])
+        at = to
+    return out
 
 
 def _gram(basis: np.ndarray, idf: np.ndarray, size: int):
-    """Sums A' (A basis) over a task's passages, in chunks of columns."""
+    """Sums A' (A basis) over a task's passages, in chunks of columns. A passage's row of A has the TF-IDF weights of its words and unit length.
+
+    A weight is the sum over a word's places of its column's idf, so both products are sums over places of rows that hold the idf already."""
+    scaled = (idf[:, None] * basis).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, any_row = np.zeros(basis.shape, np.float32), False
@@ -85,14 +101,16 @@ def _gram(basis: np.ndarray, idf: np.ndarray, size: int):
                 if not len(piece.doc):
                     continue
                 any_row = True
-                rows, columns, weights = _entries(piece, idf, size)
-                first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-                latent = np.add.reduceat(basis[columns] * weights[:, None], first, axis=0)
-                order = np.argsort(columns, kind="stable")
+                passage, columns = _passages(piece, size), _columns(piece.hashes())
+                order, first, counts = _cells(columns, passage)
+                square = np.bincount(passage[order[first]], (counts * idf[columns[order[first]]]) ** 2)
+                latent = _sums_of(scaled, columns, np.flatnonzero(np.append(True, passage[1:] != passage[:-1])))
+                latent /= np.maximum(square, 1e-24).astype(np.float32)[:, None]
                 at = columns[order]
                 starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-                total[at[starts]] += np.add.reduceat(latent[rows[order]] * weights[order][:, None], starts, axis=0)
+                total[at[starts]] += _sums_of(latent, passage[order], starts)
         if any_row:
+            total *= idf[:, None].astype(np.float32)
             for base in range(0, len(total), _CHUNK):
                 yield pa.RecordBatch.from_arrays([pa.array([base], pa.int64()), pa.array([total[base : base + _CHUNK].tobytes()], pa.binary())], names=["base", "sums"])
 
@@ -125,11 +143,12 @@ def fit(docs: DataFrame, items: DataFrame, rank: int = RANK, passage: int = PASS
     for term, k in counts.items():
         frequency[term] = k
     idf = np.log((n + 1) / (frequency + 1)) ** 2 + 0.01
-    every = texts.union(item_texts)
+    # Every task gives sums of the size of the space, so there are as many tasks as cores and not as the corpus has splits.
+    every = texts.union(item_texts).coalesce(max(2, docs.sparkSession.sparkContext.defaultParallelism))
 
     def step(basis: np.ndarray) -> np.ndarray:
         out = np.zeros_like(basis)
-        chunks = every.mapInArrow(_gram(basis.astype(np.float32), idf, passage), "base long, sums binary").groupBy("base").applyInPandas(_add, "base long, sums binary")
+        chunks = every.mapInArrow(_gram(basis, idf, passage), "base long, sums binary").groupBy("base").applyInPandas(_add, "base long, sums binary")
         for row in chunks.toLocalIterator():
             part = np.frombuffer(row["sums"], np.float32).reshape(-1, basis.shape[1])
             out[row["base"] : row["base"] + len(part)] = part
