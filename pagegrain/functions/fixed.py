@@ -168,6 +168,8 @@ LISTING_PATH = (r"(?i)/(index|archives?|directory|sitemap|contents|toc|tags?|top
                 r"catalogue|browse|all|list|lists|glossary|a-z)(/|$|\.)")
 PAGE_PRICE = (r"(?:A\$|AU\$|US\$|C\$|NZ\$|\$|€|£)\s?\d[\d,]*(?:\.\d{2})?"
               r"|(?<![\w.,])\d{1,3}(?:[.\s ]\d{3})*(?:,\d{2}|,-)?\s?(?:€|EUR|kr|zł|Kč|Ft|CHF|lei|лв)(?!\w)")
+# Every price of the pattern above holds one of these.
+PRICE_MARKERS = ("$", "€", "£", "EUR", "kr", "zł", "Kč", "Ft", "CHF", "lei", "лв")
 ZERO_PRICE = r"^\D*0+(?:[.,]0+|,-)?\D*$"
 UNRENDERED = r"\{\{\s*[\w.$]+\s*\}\}|\$\{\s*[\w.]+\s*\}|\b(?:NaN|undefined)\b|\[object Object\]"
 INTERACTION_GATE = (r"(?i)\b(?:select|choose|pick|enter|add)\b[^.!?]{0,80}?\bto (?:see|view|get|show|check)\b"

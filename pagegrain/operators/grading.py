@@ -80,9 +80,17 @@ def nothing_on_page(text: Column, content: Column, has_data: Column) -> Column:
     return (F.trim(F.coalesce(text, F.lit(""))) == "") & ~has_data & ~low.contains("<a ") & ~low.contains("<form")
 
 
+def shown_prices(text: Column) -> Column:
+    """The prices of a text in which one may be zero; a text without a zero and a currency has none such and is not searched."""
+    maybe = text.contains("0") & contains_any(text, fixed.PRICE_MARKERS)
+    return F.when(maybe, find_all(text, fixed.PAGE_PRICE, 0)).otherwise(F.array().cast("array<string>"))
+
+
 def placeholder(text: Column, zero_prices: Column, real_prices: Column) -> Column:
     """Why the text is an unrendered placeholder; null when it is not."""
-    prose = F.regexp_replace(text, r"\]\([^)]*\)|https?://\S+", " ")
+    # Every leak starts with one of these, and no link cut out of the text makes one: other texts are not searched.
+    hinted = contains_any(text, ("{{", "${", "NaN", "undefined", "[object"))
+    prose = F.when(hinted, F.regexp_replace(text, r"\]\([^)]*\)|https?://\S+", " ")).otherwise("")
     leaks = count_of(prose, fixed.UNRENDERED)
     return first_of([((zero_prices > 0) & (real_prices == 0), "prices not loaded"),
                      ((leaks >= 3) & (leaks * 4000 >= F.length(prose)), "unrendered template values")])

@@ -90,9 +90,9 @@ _LEAKS = f"len(regexp_extract_all({_PROSE}, {duck.text(fixed.UNRENDERED)}))"
 @query("g6_placeholder", f"""{READS} SELECT event_id, CASE WHEN contains(body, '$0.00') THEN 'prices not loaded'
   WHEN {_LEAKS} >= 3 AND {_LEAKS} * 4000 >= length({_PROSE}) THEN 'unrendered template values' END AS placeholder FROM reads""")
 def g6(t):
-    shown = F.regexp_extract_all("body", F.lit(fixed.PAGE_PRICE), F.lit(0))
-    real = F.size(F.filter(shown, lambda price: ~price.rlike(fixed.ZERO_PRICE)))
-    return t.reads.select("event_id", grading.placeholder(F.col("body"), F.size(shown) - real, real).alias("placeholder"))
+    rows = t.reads.select("event_id", "body", grading.shown_prices(F.col("body")).alias("shown"))
+    rows = rows.select("event_id", "body", F.size("shown").alias("n"), F.size(F.filter("shown", lambda price: price.rlike(fixed.ZERO_PRICE))).alias("zero"))
+    return rows.select("event_id", grading.placeholder(F.col("body"), F.col("zero"), F.col("n") - F.col("zero")).alias("placeholder"))
 
 
 @query("g7_paywall", f"{READS} SELECT event_id, {duck.like('body', fixed.PAYWALL)} AS paywall FROM reads")
