@@ -19,12 +19,13 @@ def domain_hits(results: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.groupBy("query_id").agg(F.max(F.coalesce("hit", F.lit(False))).alias("domain_hit"))
 
 
-def without_domains(rows: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
+def without_domains(rows: DataFrame, excluded: DataFrame) -> DataFrame:
     """Rows whose host is not an excluded domain or below one. ``excluded(domain)`` is a short list the user gives; the join
-    size is left to the planner, which broadcasts it only while it is small."""
-    parents = rows.select(key, F.explode(urls.host_suffixes(urls.bare_host("url"))).alias("domain"))
-    bad = parents.join(excluded, "domain", "left_semi").select(key).distinct()
-    return rows.join(bad, key, "left_anti")
+    size is left to the planner, which broadcasts it only while it is small. Only distinct hosts are expanded to their suffixes."""
+    host = urls.bare_host("url")
+    parents = rows.select(host.alias("_host")).distinct().select("_host", F.explode(urls.host_suffixes(F.col("_host"))).alias("domain"))
+    bad = parents.join(excluded, "domain", "left_semi").select("_host").distinct()
+    return rows.withColumn("_host", host).join(bad, "_host", "left_anti").drop("_host")
 
 
 def fresh_cases(candidates: DataFrame, used_hosts: DataFrame) -> DataFrame:

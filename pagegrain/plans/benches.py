@@ -243,9 +243,8 @@ def k8(t):
 
 @query("k9_without_domains", f"{HITS} SELECT query_id, rank, item_id, url FROM hits WHERE NOT ({duck.bare_host('url')} = 'github.com' OR ends_with({duck.bare_host('url')}, '.example.com') OR {duck.bare_host('url')} = 'example.com')")
 def k9(t):
-    rows = t.hits.withColumn("hit_id", F.struct("query_id", "source", "rank", "item_id", "url", "extra_stars"))
     excluded = t.spark.createDataFrame([("github.com",), ("example.com",)], "domain string")
-    return joins.without_domains(rows, excluded, "hit_id").select("query_id", "rank", "item_id", "url")
+    return joins.without_domains(t.hits, excluded).select("query_id", "rank", "item_id", "url")
 
 
 _BR = "CASE WHEN len(string_split(h, '.')) >= 3 AND string_split(h, '.')[-2] IN ('co', 'com', 'org', 'net', 'gov', 'govt', 'ac') THEN string_split(h, '.')[-3] ELSE string_split(h, '.')[-2] END"
