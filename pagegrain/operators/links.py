@@ -118,13 +118,13 @@ def result_images(pages: DataFrame, terms: Column) -> DataFrame:
     """Distinct images whose alt text or file name says the query, counted from eight up."""
     rows = pages.select("page_id", F.col("url").alias("base"), terms.alias("terms"),
                         F.explode(find_all(F.col("html"), r"(?i)<img\b[^>]*>", 0)).alias("tag"))
-    rows = rows.select("page_id", "terms", attribute(F.col("tag"), "alt").alias("alt"),
-                       urls.path(urls.resolve("base", F.replace(attribute(F.col("tag"), "src"), F.lit("&amp;"), F.lit("&")))
-                                 ).alias("path"), attribute(F.col("tag"), "src").alias("src")).where(F.col("src") != "")
+    # One projection per step and no filter between them, so that a path is worked out once per tag and not once per term.
+    rows = rows.select("page_id", "base", "terms", attribute(F.col("tag"), "alt").alias("alt"), attribute(F.col("tag"), "src").alias("src"))
+    rows = rows.select("page_id", "terms", "alt", "src", urls.path(urls.resolve("base", F.replace("src", F.lit("&amp;"), F.lit("&")))).alias("path"))
     said = F.lower(F.concat_ws(" ", unescape(F.col("alt")), F.replace(F.regexp_extract("path", "([^/]*)$", 1), F.lit("_"),
                                                                       F.lit(" "))))
-    named = rows.where(F.exists("terms", lambda term: F.contains(said, term)))
-    counts = named.groupBy("page_id").agg(F.countDistinct("path").alias("result_images"))
+    named = (F.col("src") != "") & F.exists(F.array(said), lambda text: F.exists("terms", lambda term: F.contains(text, term)))
+    counts = rows.select("page_id", F.when(named, F.col("path")).alias("path")).groupBy("page_id").agg(F.countDistinct("path").alias("result_images"))
     return counts.where(F.col("result_images") >= 8)
 
 
