@@ -1,7 +1,7 @@
 """Site graphs and listings: maps, bounded crawls, pagination chains, sitemap walks, overlap ledgers and best reads.
 
-Loops run level by level. A level is one join against the edges and one anti-join against what was seen; each level is
-checkpointed, so a lost executor replays one level and the plan never grows.
+Loops run level by level. A level is one join against the edges and one anti-join against what was seen; the edges are worked out
+once, and each level is written once, so a lost executor replays one level and no round rewrites the levels before it.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pagegrain.functions import urls
 from pagegrain.functions.columns import first_of
 from pagegrain.functions.ordering import rank_in_group, running_sum
-from pagegrain.session import cut
+from pagegrain.session import cut, kept, new_folder
 
 
 # Positions of one chunk of a ranking.
@@ -58,7 +58,7 @@ def crawl(edges: DataFrame, start: str, max_depth: int = 2, limit: int | None =
     for prefix in disallowed or []:
         barred = barred | path.startswith(prefix)
     verdict = first_of([(~site | ~inside, "outside"), (filtered, "filtered"), (barred, "robots")], "ok")
-    normal = edges.select(urls.crawl_normal("src").alias("src"), urls.crawl_normal("dst").alias("url")).distinct()
+    normal = kept(edges.select(urls.crawl_normal("src").alias("src"), urls.crawl_normal("dst").alias("url")).distinct())
     frontier = spark.range(1).select(urls.crawl_normal(F.lit(start)).alias("url"), F.lit(0).alias("depth"))
     seen, pages = frontier.select("url"), frontier
     skips = spark.createDataFrame([], "reason string, n long")
@@ -68,34 +68,38 @@ def crawl(edges: DataFrame, start: str, max_depth: int = 2, limit: int | None =
         if depth == 1 and seeds is not None:
             found = found.unionByName(seeds.select(urls.crawl_normal("url").alias("url")))
         fresh = found.distinct().join(seen, "url", "left_anti").withColumn("verdict", verdict)
-        fresh = cut(fresh)
+        fresh = kept(fresh)
         level = fresh.where(F.col("verdict") == "ok").select("url", F.lit(depth).alias("depth"))
         if limit is not None:
             level = level.orderBy("url").limit(max(limit - total, 0))
-            level = cut(level)
+            level = kept(level)
         n = level.count()
         dropped = fresh.where(F.col("verdict").isin("filtered", "robots")).groupBy(F.col("verdict").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
         skips = skips.unionByName(dropped)
         if n == 0:
             break
-        pages, frontier, total = cut(pages.unionByName(level)), level, total + n
-        seen = pages.select("url").unionByName(fresh.where(F.col("verdict") != "ok").select("url"))
-        seen = cut(seen)
+        # Rows beyond the limit count as seen: the limit is reached, so the walk ends with the next level.
+        pages, frontier, total, seen = pages.unionByName(level), level, total + n, seen.unionByName(fresh.select("url"))
     skipped = skips.groupBy("reason").agg(F.sum("n").alias("n"))
     return pages, skipped
 
 
 def sitemap_walk(children: DataFrame, roots: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Every sitemap reachable from ``roots(sitemap)`` over ``children(sitemap, child)``, once: sitemap, depth."""
-    seen = roots.select("sitemap").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
+    spark, links, base = children.sparkSession, kept(children.select("sitemap", "child").distinct()), new_folder(children.sparkSession)
+
+    def seen() -> DataFrame:
+        # One scan over the folders of all levels, which packs their files.
+        return spark.read.schema("sitemap string, depth int").parquet(base)
+
+    roots.select("sitemap").distinct().write.parquet(f"{base}/depth=0")
     for depth in itertools.count(1) if max_rounds is None else range(1, max_rounds + 1):
-        found = children.join(frontier.select("sitemap"), "sitemap").select(F.col("child").alias("sitemap")).distinct()
-        frontier = cut(found.join(seen.select("sitemap"), "sitemap", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        last, known = seen().where(F.col("depth") == depth - 1), seen()
+        if last.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        found = links.join(last.select("sitemap"), "sitemap").select(F.col("child").alias("sitemap")).distinct()
+        found.join(known.select("sitemap"), "sitemap", "left_anti").write.parquet(f"{base}/depth={depth}")
+    return seen()
 
 
 def _doubled(state: DataFrame, missing: str) -> DataFrame:

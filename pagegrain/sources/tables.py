@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagegrain.session import SPREAD, join_by_measure
+from pagegrain.session import SPREAD, join_by_measure, widen_shuffles
 
 BASE = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
         "conversations").split()
@@ -17,6 +17,8 @@ BASE = ("region nation customer supplier part orders lineitem events documents e
 WIDE_ROWS = ("pages", "documents", "events", "part", "conversations")
 # Narrow tables whose rows become pages, cards and reads: a file of a few megabytes is scanned by a few tasks, so it is dealt out by rows.
 ROWS_A_TASK = {"part": 4_000, "events": 20_000}
+# Rows of a table for which a shuffle starts with one more partition: what a task sorts or aggregates does not grow with the table.
+ROWS_A_PARTITION = {"part": 10_000, "events": 50_000, "orders": 200_000, "lineitem": 200_000}
 
 # name -> (views and tables it reads, SQL)
 VIEWS: dict[str, tuple[list[str], str]] = {}
@@ -55,29 +57,38 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
-        self._tasks: dict[str, int] = {}
+        self._counts: dict[str, int] = {}
         join_by_measure(spark)
 
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def _rows(self, name: str) -> int:
+        if name not in self._counts:
+            self._counts[name] = self._read(name).count()
+        return self._counts[name]
+
     def _spread(self, name: str) -> int:
         """Partitions to deal a table out to: as many as the session asks for, else one per so many rows of a narrow table, so that a task's
         share does not grow with the table. Tables of whole texts are read as they are split, and never shuffled before their first operator."""
         asked = int(self.spark.conf.get(SPREAD, "0"))
         if name in ROWS_A_TASK and not asked:
-            if name not in self._tasks:
-                tasks = -(-self._read(name).count() // ROWS_A_TASK[name])
-                self._tasks[name] = tasks if tasks > 1 else 0
-            return self._tasks[name]
+            tasks = -(-self._rows(name) // ROWS_A_TASK[name])
+            return tasks if tasks > 1 else 0
         return asked if name in WIDE_ROWS else 0
 
+    def _widen(self, name: str) -> None:
+        if name in ROWS_A_PARTITION and not int(self.spark.conf.get(SPREAD, "0")):
+            widen_shuffles(self.spark, -(-self._rows(name) // ROWS_A_PARTITION[name]))
+
     def base(self, name: str) -> DataFrame:
+        self._widen(name)
         df = self._read(name)
         tasks = self._spread(name)
         return df.repartition(tasks) if tasks else df
 
     def _scan_sql(self, name: str) -> str:
+        self._widen(name)
         tasks = self._spread(name)
         hint = f"/*+ REPARTITION({tasks}) */ " if tasks else ""
         return f"{name} AS (SELECT {hint}* FROM parquet.`{self.sf_dir}/{name}.parquet`)"
