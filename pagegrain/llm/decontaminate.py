@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from pagegrain.llm.common import kept, small
 from pagegrain.llm.textops import pieces
+from pagegrain.session import shuffles_removed
 
 COLUMNS = 1 << 15
 RANK = 64
@@ -34,7 +35,8 @@ LEAST_WORDS = 8
 ITEMS_AT_ONCE = 20_000
 _CHUNK = 256
 _PIECE = 1 << 19
-_PART = 4096
+# Rows added in one run, and runs added together.
+_RUN, _PART = 64, 512
 
 
 def _columns(hashes: np.ndarray) -> np.ndarray:
@@ -77,27 +79,42 @@ def _frequencies(size: int):
 
 
 def _sums_of(rows: np.ndarray, pick: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of ``rows[pick]`` over the runs that begin at ``first``; picked in parts that a processor's cache holds."""
-    out = np.empty((len(first), rows.shape[1]), rows.dtype)
-    ends = np.append(first, len(pick))
-    at = 0
-    while at < len(first):
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + _PART, side="right")) - 1)
-        np.add.reduceat(rows[pick[ends[at] : ends[to]]], ends[at:to] - ends[at], axis=0, out=out[at:to])
-        at = to
-    return out
+    """Sums of ``rows[pick]`` over the runs that begin at ``first``. Runs are cut into short ones; of as many as a processor's cache holds, longest
+    first, the first rows are added at once, then the second ones, and so on."""
+    ends, pick = np.append(first, len(pick)), pick.astype(np.intp)
+    per = -(-np.diff(ends) // _RUN)
+    own = np.cumsum(per) - per
+    begin = np.repeat(ends[:-1] - own * _RUN, per) + np.arange(int(per.sum())) * _RUN
+    size = np.minimum(np.repeat(ends[1:], per) - begin, _RUN)
+    order = np.argsort((_RUN - size).astype(np.uint8), kind="stable")
+    begin, size = begin[order], size[order]
+    out, sums, read = np.empty((len(begin), rows.shape[1]), rows.dtype), *np.empty((2, _PART, rows.shape[1]), rows.dtype)
+    for base in range(0, len(begin), _PART):
+        at, left = begin[base : base + _PART], size[base : base + _PART]
+        np.take(rows, pick[at], axis=0, mode="clip", out=sums[: len(at)])
+        for k in range(1, int(left[0])):
+            live = int(np.searchsorted(-left, -k))
+            np.take(rows, pick[at[:live] + k], axis=0, mode="clip", out=read[:live])
+            sums[:live] += read[:live]
+        out[order[base : base + _PART]] = sums[: len(at)]
+    if len(out) == len(first):
+        return out
+    found, many = out[own], np.flatnonzero(per > 1)
+    cut = np.cumsum(per[many]) - per[many]
+    found[many] = _sums_of(out, np.repeat(own[many] - cut, per[many]) + np.arange(int(per[many].sum())), cut)
+    return found
 
 
 def _gram(basis: np.ndarray, idf: np.ndarray, size: int):
     """Sums A' (A basis) over a task's passages, in chunks of columns. A passage's row of A has the TF-IDF weights of its words and unit length.
 
     A weight is the sum over a word's places of its column's idf, so both products are sums over places of rows that hold the idf already."""
-    scaled = (idf[:, None] * basis).astype(np.float32)
+    scaled, shape = (idf[:, None] * basis).astype(np.float32), basis.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, any_row = np.zeros(basis.shape, np.float32), False
+        total, any_row = np.zeros(shape, np.float32), False
         for batch in batches:
-            for _, _, piece in pieces(batch.column(0), letters=True, limit=_PIECE):
+            for _, _, piece in pieces(batch.column(0), letters=True):
                 if not len(piece.doc):
                     continue
                 any_row = True
@@ -136,7 +153,8 @@ class Space:
 def fit(docs: DataFrame, items: DataFrame, rank: int = RANK, passage: int = PASSAGE, seed: int = 7) -> Space:
     texts = docs.select(F.col("text").cast("string").alias("text"))
     item_texts = items.select(F.col("text").cast("string").alias("text"))
-    counted = texts.union(item_texts).mapInArrow(_frequencies(passage), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    with shuffles_removed(docs.sparkSession):
+        counted = texts.union(item_texts).mapInArrow(_frequencies(passage), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     counts = {row["term"]: row["n"] for row in counted}
     n = counts.pop(-1, 0)
     frequency = np.zeros(COLUMNS)
@@ -148,8 +166,9 @@ def fit(docs: DataFrame, items: DataFrame, rank: int = RANK, passage: int = PASS
 
     def step(basis: np.ndarray) -> np.ndarray:
         out = np.zeros_like(basis)
-        chunks = every.mapInArrow(_gram(basis, idf, passage), "base long, sums binary").groupBy("base").applyInPandas(_add, "base long, sums binary")
-        for row in chunks.toLocalIterator():
+        with shuffles_removed(docs.sparkSession):
+            rows = every.mapInArrow(_gram(basis, idf, passage), "base long, sums binary").groupBy("base").applyInPandas(_add, "base long, sums binary").collect()
+        for row in rows:
             part = np.frombuffer(row["sums"], np.float32).reshape(-1, basis.shape[1])
             out[row["base"] : row["base"] + len(part)] = part
         return out
@@ -229,7 +248,7 @@ class Search:
     def windows(self, piece, hashes: np.ndarray) -> dict[tuple[int, int], list[list[int]]]:
         """(text, item) -> word ranges around close windows, merged where they touch."""
         found: dict[tuple[int, int], list[list[int]]] = {}
-        sums = running_sums(self.space.projection[_columns(hashes)])
+        sums = running_sums(np.take(self.space.projection, _columns(hashes).astype(np.intp), axis=0, mode="clip"))
         counts = np.diff(piece.first)
         for size, own, vectors in self.classes:
             stride = max(1, size // 3)
@@ -241,8 +260,10 @@ class Search:
             end = np.minimum(begin + size, piece.first[1:][doc])
             for base in range(0, len(doc), 8192):
                 part = slice(base, base + 8192)
-                close = _unit(sums[end[part]] - sums[begin[part]]) @ vectors
-                for at, which in zip(*(x.tolist() for x in np.nonzero(close >= COSINE))):
+                latent = np.take(sums, end[part], axis=0, mode="clip")
+                latent -= np.take(sums, begin[part], axis=0, mode="clip")
+                close = _unit(latent) @ vectors
+                for at, which in zip(*(x.tolist() for x in np.divmod(np.flatnonzero(close >= COSINE), len(own)))):
                     at += base
                     text, item = int(doc[at]), int(own[which])
                     reach = len(self.items[item].words) // 2
