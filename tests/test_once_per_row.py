@@ -59,3 +59,17 @@ def test_every_marker_holds_a_mark():
     import re
     for marker, _ in fixed.CURRENCY_PREFIX + fixed.CURRENCY_SUFFIX:
         assert re.search(prices._MARKED, marker)
+
+
+def test_search_words_are_made_where_hits_meet_their_query(spark):
+    from pagegrain.operators import search
+    hits = spark.createDataFrame([(1, 1, "https://a.test/x", "Red ring", "a ring", None, 5.0), (1, 2, "https://a.test/x", "Red ring", "a ring", None, 5.0),
+                                  (2, 1, "https://b.test/y", "Blue", "none", None, 5.0)],
+                                 "query_id long, pos long, url string, title string, snippet string, published string, stars double")
+    queries = spark.createDataFrame([(1, "red ring", None), (2, "paper on ring gear", None)], "query_id long, query string, recency string")
+    got = search.check_results(hits, queries, F.lit("2026-01-01").cast("timestamp"))
+    plan = got.select("query_id", "relevance", "phrase_passes")._jdf.queryExecution().optimizedPlan().toString()
+    # Words are made above the join, and none goes through the windows over a result set.
+    assert "title_words" not in plan[plan.index("Join "):] and "RepartitionByExpression" in plan
+    assert "title_words" not in plan[:plan.index("Window ")]
+    assert {(row["query_id"], row["pos"]): row["passed"] for row in got.collect()} == {(1, 1): True, (1, 2): False, (2, 1): False}
