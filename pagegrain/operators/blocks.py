@@ -446,7 +446,8 @@ def to_markdown(pages: DataFrame) -> DataFrame:
     raw = found.groupBy("page_id", "block").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda piece: piece["text"]), "").alias("text"),
         *[F.min_by(name, "pos").alias(name) for name in ("kind", "quotes", "indent", "marker", "grid", "line", "cell")])
-    lines = raw.withColumn("text", F.when(F.col("kind") == "pre", _bare(F.col("text"))).otherwise(_finished(F.col("text"))))
+    # Written once, read twice: as cells and as other lines. Pages are not tokenized a second time.
+    lines = kept(raw.withColumn("text", F.when(F.col("kind") == "pre", _bare(F.col("text"))).otherwise(_finished(F.col("text")))))
     # Cells to rows, rows to tables: a table is as wide as its widest row.
     cells = lines.where("kind = 'cell'").withColumn("text", F.replace(F.regexp_replace("text", r"\s+", " "), F.lit("|"), F.lit("\\|")))
     grid = cells.groupBy("page_id", "grid", "line").agg(

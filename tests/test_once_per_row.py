@@ -73,3 +73,13 @@ def test_search_words_are_made_where_hits_meet_their_query(spark):
     assert "title_words" not in plan[plan.index("Join "):] and "RepartitionByExpression" in plan
     assert "title_words" not in plan[:plan.index("Window ")]
     assert {(row["query_id"], row["pos"]): row["passed"] for row in got.collect()} == {(1, 1): True, (1, 2): False, (2, 1): False}
+
+
+def test_pages_are_tokenized_once(spark):
+    from pagegrain.operators import blocks
+    html = "<h1>Head</h1><p>Some <b>text</b></p><table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2</td></tr></table>"
+    pages = spark.createDataFrame([(1, "https://a.test/", html), (2, "https://a.test/b", "")], "page_id long, url string, html string")
+    made = blocks.to_markdown(pages)
+    assert "MapInPandas" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {row["page_id"]: row["markdown"] for row in made.collect()} == {
+        1: "# Head\n\nSome **text**\n\n| A | B |\n| --- | --- |\n| 1 | 2 |\n", 2: ""}
