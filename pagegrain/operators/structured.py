@@ -5,13 +5,15 @@ JSON stays in the JVM as VARIANT. A tree is walked one level at a time, until no
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagegrain.functions import fixed, texts, urls
 from pagegrain.functions.columns import blank_to_null, c, each, find, find_all, first_of, unescape, words_in
 from pagegrain.operators.links import attribute
-from pagegrain.session import cut
+from pagegrain.session import cut, kept
 
 _LD = r"""(?is)<script\b[^>]*\btype\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script\s*>"""
 _EMBEDDED = r"""(?is)<script\b[^>]*\btype\s*=\s*["']application/json["'][^>]*>(.*?)</script\s*>"""
@@ -113,12 +115,16 @@ def meta_tags(pages: DataFrame) -> DataFrame:
 
 # ---- values -----------------------------------------------------------------------------
 def _json_path(json: Column, path: str) -> Column:
-    """A dotted path inside a JSON object; a list on the way gives its first element."""
+    """A dotted path inside a JSON object; a list on the way gives its first element. Keys that the text does not hold are not parsed for."""
     parts = path.split(".")
+    told = F.lit(True)
+    for part in parts:
+        if re.fullmatch(r"[A-Za-z0-9_@-]+", part):  # spelt the same in JSON
+            told = told & F.contains(json, F.lit(f'"{part}"'))
     spots = ["$" + "".join(f"['{part}']" for part in parts)]
     for at in range(1, len(parts)):
         spots.append("$" + "".join(f"['{part}']" + ("[0]" if index + 1 == at else "") for index, part in enumerate(parts)))
-    return F.coalesce(*[F.get_json_object(json, spot) for spot in spots])
+    return F.when(told, F.coalesce(*[F.get_json_object(json, spot) for spot in spots]))
 
 
 def _unlisted(raw: Column) -> Column:
@@ -150,7 +156,6 @@ def _typed_text(raw: Column, number: Column, kind: Column) -> Column:
 
 
 def candidate_paths(name: str, spec: dict) -> list[str]:
-    import re
     paths = list(spec.get("x-paths") or []) + fixed.SCHEMA_SYNONYMS.get(re.sub("[^a-z0-9]", "", name.lower()), [])
     return list(dict.fromkeys(paths + [name]))
 
@@ -199,7 +204,8 @@ def preferred_objects(schema: dict, nodes: DataFrame, candidates: DataFrame) ->
 
 def fill_schema(schema: dict, nodes: DataFrame, meta: DataFrame, embedded: DataFrame) -> DataFrame:
     """Each property of a schema from the first synonym that gives a value of its type: page_id, property, value, source."""
-    candidates = schema_candidates(schema, nodes)
+    # Read twice: to choose the objects, and for their values.
+    candidates = kept(schema_candidates(schema, nodes))
     chosen = preferred_objects(schema, nodes, candidates).withColumn("preferred", F.lit(0))
     from_nodes = candidates.join(chosen, ["page_id", "ord"], "left").select(
         "page_id", "property", "priority", F.coalesce("preferred", F.lit(1)).alias("tier"), "ord", "value",

@@ -83,3 +83,18 @@ def test_pages_are_tokenized_once(spark):
     assert "MapInPandas" not in made._jdf.queryExecution().optimizedPlan().toString()
     assert {row["page_id"]: row["markdown"] for row in made.collect()} == {
         1: "# Head\n\nSome **text**\n\n| A | B |\n| --- | --- |\n| 1 | 2 |\n", 2: ""}
+
+
+def test_values_of_a_schema_are_read_once(spark):
+    from pagegrain.operators import structured
+    schema = {"title": "Product", "properties": {"name": {"type": "string"}, "price": {"type": "number"}, "brand": {"type": "string"}}}
+    html = ('<script type="application/ld+json">{"@type":"Product","name":"Ring","offers":[{"price":"5.50"}],"brand":{"name":"Acme"}}</script>'
+            '<meta name="description" content="x">')
+    pages = spark.createDataFrame([(1, "https://a.test/", html)], "page_id long, url string, html string")
+    filled = structured.fill_schema(schema, structured.jsonld_nodes(pages), structured.meta_tags(pages), structured.embedded_json(pages))
+    assert "get_json_object" not in filled._jdf.queryExecution().optimizedPlan().toString()
+    assert {row["property"]: row["value"] for row in filled.collect()} == {"name": "Ring", "price": "5.5", "brand": "Acme"}
+    # Keys with marks that JSON spells in another way are looked up as before.
+    rows = spark.createDataFrame([('{"a":[{"b":"x"}],"cé":"y"}',)], "json string")
+    got = rows.select(structured._json_path(F.col("json"), "a.b"), structured._json_path(F.col("json"), "cé"), structured._json_path(F.col("json"), "b.a")).first()
+    assert tuple(got) == ("x", "y", None)
